@@ -6,13 +6,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import line_dedup, simhash
+from . import decontaminate, langid, line_dedup, packing, simhash, tokenfile
 
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_decontamination(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contaminated(documents(spark, sf_dir), benchmark)
+
+
 def op5_line_dedup(spark, sf_dir):
     out = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -23,7 +28,32 @@ def op10_simhash(spark, sf_dir):
     return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def vocabulary(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_best_fit_packing(spark, sf_dir):
+    out = packing.sequences(documents(spark, sf_dir).select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op8_token_files(spark, sf_dir):
+    return tokenfile.token_table(documents(spark, sf_dir).select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    out = langid.predict(docs, langid.fit(docs, ~langid.held_out()))
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op9_language_id": op9_language_id,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_files": op8_token_files,
     "op5_line_dedup": op5_line_dedup,
     "op10_simhash": op10_simhash,
 }
