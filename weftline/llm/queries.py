@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, packing, simhash, tokenfile
+from . import decontaminate, langid, line_dedup, packing, repeats, simhash, tokenfile
 
 
 def documents(spark, sf_dir):
@@ -18,6 +18,11 @@ def op1_decontamination(spark, sf_dir):
     return decontaminate.contaminated(documents(spark, sf_dir), benchmark)
 
 
+def op2_substring_dedup(spark, sf_dir):
+    out = repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_line_dedup(spark, sf_dir):
     out = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -54,6 +59,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_files": op8_token_files,
+    "op2_substring_dedup": op2_substring_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op10_simhash": op10_simhash,
 }
