@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, packing, repeats, simhash, tokenfile
+from . import decontaminate, langid, line_dedup, packing, repeats, sharding, simhash, tokenfile, topk
 
 
 def documents(spark, sf_dir):
@@ -23,6 +23,11 @@ def op2_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_exact_top_k(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op5_line_dedup(spark, sf_dir):
     out = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -39,6 +44,10 @@ def vocabulary(name):
     return public_tokenizers.path(name)
 
 
+def op6_sharding(spark, sf_dir):
+    return sharding.shard(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     out = packing.sequences(documents(spark, sf_dir).select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -57,9 +66,11 @@ def op9_language_id(spark, sf_dir):
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op9_language_id": op9_language_id,
+    "op6_sharding": op6_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_files": op8_token_files,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_line_dedup": op5_line_dedup,
     "op10_simhash": op10_simhash,
 }
@@ -67,6 +78,15 @@ QUERIES = {
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE = {
+    "op4_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.e, d.e)::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id AND len(q.e) = len(d.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op5_line_dedup": f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
