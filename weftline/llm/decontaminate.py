@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import prepare
 
 N, WINDOW = 3, 3
 BLOCK_NGRAMS = 200_000
@@ -170,37 +170,44 @@ def blocks(benchmark: DataFrame, item_id: str, item_text: str):
 SCHEMA = "doc_id long, item_id long, score double, begin_word long, end_word long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each document and test item that it holds a copy of: doc_id,
-    item_id, score (0 to 1, the alignment's score as a share of a full copy's),
-    begin_word and end_word (the passage, in words of letters and digits).
-
-    Null or empty texts and items, and items without an id, match nothing. Rows
-    without an id are left out, rows that repeat an id are judged one by one and
-    equal findings of theirs are one row. Items that repeat an id are judged one
-    by one. Empty tables give an empty table. Other columns are not read.
-    """
+def seeded(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str, item_text: str):
+    """Broadcasts of the blocks, with their seeds chosen by counts over all of docs."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    out = None
+    texts = docs.select(F.col(text_col).cast("string").alias("t"))
     for block in blocks(benchmark, item_id, item_text):
         held = spark.sparkContext.broadcast(block)
 
         def count(batches, held=held):
             seen = np.zeros(max(1, len(held.value.grams)), np.int64)
             for b in batches:
-                for text in b.column(1).to_pylist():
+                for text in b.column(0).to_pylist():
                     _, gram = held.value.hits(held.value.ids(words(text)))
                     seen[np.unique(gram)] += 1
             at = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["gram", "df"])
 
         df = np.zeros(len(block.grams), np.int64)
-        for r in rows.mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect():
+        for r in texts.mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect():
             df[r["gram"]] = r["df"]
         block.choose(df)
-        chosen = spark.sparkContext.broadcast(block)
+        yield spark.sparkContext.broadcast(block)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row for each document and test item that it holds a copy of: doc_id,
+    item_id, score (0 to 1, the alignment's score as a share of a full copy's),
+    begin_word and end_word (the passage, in words of letters and digits).
+
+    Null or empty texts and items, and items without an id, match nothing. Rows
+    without an id are left out, rows that repeat an id are judged one by one and
+    equal findings of theirs are one row. Items that repeat an id are judged one
+    by one. Empty tables give an empty table. Other columns are not read.
+    """
+    spark = docs.sparkSession
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    out = None
+    for chosen in seeded(rows, benchmark, "t", item_id, item_text):
 
         def search(batches, held=chosen):
             for b in batches:
@@ -214,7 +221,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.distinct() if out is not None else spark.createDataFrame([], SCHEMA)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the documents that hold a copy of a test item. Rows without an id stay."""
-    gone = written(contaminated(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias("__gone")).distinct(), "leaks")
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that hold no copy of a test item. Rows are
+    judged one by one in their own tasks; nothing is shuffled but small counts."""
+    at, out = docs.columns.index(text_col), docs
+    for chosen in seeded(docs, benchmark, text_col, item_id, item_text):
+
+        def keep(batches, held=chosen):
+            for b in batches:
+                yield b.filter(pa.array([next(held.value.matches(held.value.ids(words(x))), None) is None for x in b.column(at).to_pylist()], pa.bool_()))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out

@@ -212,6 +212,22 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that have a letter and whose language has a
+    probability of ``min_score`` or more. Rows are judged one by one in their own
+    tasks; nothing is shuffled."""
+    prepare(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            got = [held.value.predict(x) for x in b.column(at).to_pylist()]
+            yield b.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that nothing is learned from: crc32 of the id as text leaves 2 by 4. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

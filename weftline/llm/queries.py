@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, packing, repeats, sharding, simhash, tokenfile, topk
+from . import decontaminate, langid, line_dedup, packing, repeats, sharding, simhash, tokenfile, topk, urlfilter
 
 
 def documents(spark, sf_dir):
@@ -23,6 +23,20 @@ def op2_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+#: The rules of op3: fixed values.
+RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op3_url_filter(spark, sf_dir):
+    return urlfilter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+
+
 def op4_exact_top_k(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
@@ -70,6 +84,7 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_files": op8_token_files,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_url_filter": op3_url_filter,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_line_dedup": op5_line_dedup,
     "op10_simhash": op10_simhash,
