@@ -50,7 +50,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     c = np.where(letter, c, np.uint32(32))
     stay = letter.copy()
     stay[1:] |= letter[:-1]
-    c = np.concatenate([[32], c[stay], [32]]).astype(np.uint32)
+    c = np.concatenate([[32], c[stay], [32] if letter[-1] else []]).astype(np.uint32)
     count = np.zeros(FEATURES, np.int64)
     for i in range(0, len(c), 1 << 16):
         x = c[i:i + (1 << 16) + 2]
