@@ -64,15 +64,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Input columns named n_lines or n_dropped are replaced.
     """
     gone = dropped_positions(docs, id_col, text_col, min_len, min_docs)
+    # Names of docs may clash with any of these, so its columns travel in a struct and come out last.
     other = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     row = F.struct(*[F.col(f"`{c}`") for c in other]) if other else F.lit(None)
-    base = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    met = base.join(gone, "id", "left")
-    n = F.size("lines")  # with a second use of it, the optimiser keeps the split in a step of its own
-    at = F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.transform(at, lambda p: F.get(F.col("lines"), p)), "\n"))
-    return (
-        met.withColumn("lines", lines_of(F.col("text")))
-        .select(*[F.col("row").getField(c).alias(c) for c in other], kept.alias(text_col), n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
-    )
+    base = docs.select(row.alias("_row"), F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    met = base.join(gone, "id", "left").select("_row", "_text", F.col("gone").alias("_gone"), lines_of(F.col("_text")).alias("_lines"))
+    n = F.size("_lines")  # with a second use of it, the optimiser keeps the split in a step of its own
+    at = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone"))
+    kept = F.when(F.col("_gone").isNull(), F.coalesce("_text", F.lit(""))).otherwise(
+        F.array_join(F.transform(at, lambda p: F.get(F.col("_lines"), p)), "\n"))
+    done = met.select("_row", kept.alias("_kept"), n.cast("long").alias("_n"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_m"))
+    return done.select(*[F.col("_row").getField(c).alias(c) for c in other], F.col("_kept").alias(text_col), F.col("_n").alias("n_lines"), F.col("_m").alias("n_dropped"))
