@@ -7,8 +7,8 @@ shards' residual capacity is highest.
 2. Groups of more than 1/LARGE of a shard's bytes, tokens or rows (at most
    3 * LARGE * shards of them) are placed by the driver, largest first; a group
    that no shard can hold is cut into equal parts.
-3. All other groups are packed by their partitions into as many bundles as there
-   are shards; the driver then places the bundles (partitions * shards of them).
+3. All other groups are packed by their partitions into FINE bundles for each
+   shard; the driver then places the bundles (partitions * shards * FINE of them).
 4. Rows meet their group's place by a join whose sides both have plain exchanges,
    so that a text that a third of all rows hold is split. The joined rows are
    written with a running number for each partition and shard; a sum over these
@@ -27,6 +27,10 @@ from .common import width, written
 LARGE = 64
 #: Partitions that pack groups, at most.
 PACKERS = 512
+#: Bundles of a partition for each shard.
+FINE = 4
+#: Bytes, tokens and rows in the dot product. The law is near equal bytes, so bytes weigh most.
+WEIGHTS = np.array([8.0, 1.0, 1.0])
 
 
 def place(sizes: np.ndarray, load: np.ndarray, capacity: np.ndarray) -> np.ndarray:
@@ -37,7 +41,7 @@ def place(sizes: np.ndarray, load: np.ndarray, capacity: np.ndarray) -> np.ndarr
     full = load / unit
     out = np.empty(len(x), np.int64)
     for i in np.argsort(-x.max(axis=1), kind="stable").tolist():
-        k = int(((1.0 - full) @ x[i]).argmax())
+        k = int(((1.0 - full) @ (WEIGHTS * x[i])).argmax())
         full[k] += x[i]
         out[i] = k
     load[:] = full * unit
@@ -88,15 +92,15 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     def bundle(batches):
         from pyspark import TaskContext
 
-        pid = TaskContext.get().partitionId()
+        pid, bins = TaskContext.get().partitionId(), shards * FINE
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         v = np.concatenate([np.stack([b.column(c).to_numpy().astype(float) for c in ("bytes", "tokens", "n")], axis=1) for b in got])
-        to = place(v, np.zeros((shards, 3)), v.sum(axis=0) / shards)
+        to = place(v, np.zeros((bins, 3)), v.sum(axis=0) / bins)
         i = 0
         for b in got:
-            yield pa.RecordBatch.from_arrays([b.column("h1"), b.column("h2"), pa.array(np.full(b.num_rows, pid * shards) + to[i:i + b.num_rows]), b.column("bytes"), b.column("tokens"), b.column("n")], ["h1", "h2", "bundle", "bytes", "tokens", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("h1"), b.column("h2"), pa.array(np.full(b.num_rows, pid * bins) + to[i:i + b.num_rows]), b.column("bytes"), b.column("tokens"), b.column("n")], ["h1", "h2", "bundle", "bytes", "tokens", "n"])
             i += b.num_rows
 
     small = groups.where(~is_large).repartition(min(PACKERS, width(spark)), "h1").mapInArrow(bundle, "h1 long, h2 long, bundle long, bytes long, tokens long, n long")
