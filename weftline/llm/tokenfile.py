@@ -73,10 +73,9 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     v = v.reshape(n, BLOCK)
     low = v.min(axis=1)
     v -= low[:, None]
-    bits = np.frexp(v.astype(np.float64))[1].astype(np.uint8)
     at = int(np.ceil(PERCENTILE * BLOCK)) - 1
-    w = np.partition(bits, at, axis=1)[:, at] if n else np.empty(0, np.uint8)
-    odd = bits > w[:, None]
+    w = np.frexp(np.partition(v, at, axis=1)[:, at].astype(np.float64))[1].astype(np.uint8)  # bits of the percentile
+    odd = v > ((np.uint64(1) << w.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     exc = odd.sum(axis=1)
     start = np.zeros(n + 1, np.uint64)
     np.cumsum(6 + w.astype(np.int64) * (BLOCK // 8) + exc * 5, out=start[1:], dtype=np.uint64)
@@ -85,12 +84,14 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     buf[begin[:, None] + np.arange(4)] = low.astype("<u4").view(np.uint8).reshape(n, 4)
     buf[begin + 4] = w
     buf[begin + 5] = exc
-    plain = np.where(odd, 0, v).astype(np.uint64)
+    plain = np.where(odd, np.uint32(0), v)
+    view = memoryview(buf)
     for x in np.unique(w[w > 0]).tolist():
         of = np.flatnonzero(w == x)
-        words = shift_in(np.ascontiguousarray(plain[of].reshape(-1, 64).T), x)
-        data = np.ascontiguousarray(words.T).astype("<u8").view(np.uint8).reshape(len(of), -1)
-        buf[(begin[of] + 6)[:, None] + np.arange(data.shape[1])] = data
+        words = shift_in(np.ascontiguousarray(plain[of].reshape(-1, 64).T).astype(np.uint64), x)
+        data, size = memoryview(np.ascontiguousarray(words.T).astype("<u8").tobytes()), x * BLOCK // 8
+        for k, b in enumerate((begin[of] + 6).tolist()):
+            view[b:b + size] = data[k * size:(k + 1) * size]
     row, place = np.nonzero(odd)
     k = np.arange(len(row)) - np.repeat(np.cumsum(exc) - exc, exc)
     head = begin[row] + 6 + w[row].astype(np.int64) * (BLOCK // 8)
@@ -104,19 +105,19 @@ def decode_blocks(start: np.ndarray, buf: np.ndarray, first: int = 0) -> np.ndar
     begins at byte ``first`` of the block section."""
     begin = start[:-1].astype(np.int64) - first
     n = len(begin)
-    low = buf[begin[:, None] + np.arange(4)].reshape(-1).view("<u4").astype(np.uint64)
+    low = buf[begin[:, None] + np.arange(4)].reshape(-1).view("<u4")
     w, exc = buf[begin + 4].astype(np.int64), buf[begin + 5].astype(np.int64)
-    out = np.zeros((n, BLOCK), np.uint64)
+    out, view = np.zeros((n, BLOCK), np.uint32), memoryview(np.ascontiguousarray(buf))
     for x in np.unique(w[w > 0]).tolist():
         of = np.flatnonzero(w == x)
-        data = buf[(begin[of] + 6)[:, None] + np.arange(x * BLOCK // 8)]
-        words = np.ascontiguousarray(data).view("<u8").reshape(-1, x)
-        out[of] = shift_out(np.ascontiguousarray(words.T), x).T.reshape(len(of), BLOCK)
+        size = x * BLOCK // 8
+        words = np.frombuffer(b"".join([view[b:b + size] for b in (begin[of] + 6).tolist()]), "<u8").reshape(-1, x)
+        out[of] = np.ascontiguousarray(shift_out(np.ascontiguousarray(words.T), x).astype(np.uint32).T).reshape(len(of), BLOCK)
     row = np.repeat(np.arange(n), exc)
     k = np.arange(len(row)) - np.repeat(np.cumsum(exc) - exc, exc)
     head = begin[row] + 6 + w[row] * (BLOCK // 8)
     out[row, buf[head + k]] = buf[(head + exc[row] + 4 * k)[:, None] + np.arange(4)].reshape(-1).view("<u4")
-    return (out + low[:, None]).astype(np.uint32).reshape(-1)
+    return (out + low[:, None]).reshape(-1)
 
 
 def to_bytes(doc_ids: list[int], ids: list[np.ndarray]) -> bytes:

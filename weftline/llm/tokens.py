@@ -9,11 +9,12 @@ tokenizer's own.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
 #: Pieces in either of the two generations that one Python worker keeps.
-CACHE_PIECES = 350_000
+CACHE_PIECES = 500_000
 #: ASCII signs at a word's end that make a pre-token of their own after a letter.
 SIGNS = ".,;:!?$%&*#()"
 #: Byte-level alphabets write a byte as itself if printable in Latin-1, else as the next free code point from 256 on.
@@ -25,7 +26,30 @@ SAFE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 _open: dict = {}
 
 
-def plain(piece: str) -> bool:
+class Unsafe(Exception):
+    """A piece that does not stand between places where every text is cut."""
+
+
+class Known(dict):
+    """Piece -> ids, learned on demand. Two generations: when the newer one is
+    full it takes the older one's place, and what is used again comes back."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn, self.older = learn, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.learn(piece)
+        if len(self) > CACHE_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
+def is_plain(piece: str) -> bool:
     """A word, a space and a word, or a line end."""
     word = piece[1:] if piece[:1] == " " else piece
     return piece == "\n" or bool(word) and not word[0].isspace() and not word[-1].isspace()
@@ -42,9 +66,32 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.byte_level = byte_level
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.kind = {2: "H", 4: "I"}[self.dtype.itemsize]
+        self.words = Known(self.learn_word)
+        self.plain = Known(self.learn_plain)
+        self.safe = Known(self.whole)
+
+    def whole(self, piece: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def learn_word(self, piece: str) -> bytes:
+        """Pieces that end in a letter or digit, and signs and line ends alone."""
+        if piece in (",", ".", "\n"):
+            return self.whole(piece)
+        if not piece[-1:].isalnum() or not is_plain(piece):
+            raise Unsafe
+        return self.word(piece) or self.whole(piece)
+
+    def learn_plain(self, piece: str) -> bytes:
+        if self.byte_level and not is_plain(piece):
+            raise Unsafe
+        base = piece.rstrip(SIGNS)
+        if len(base) == len(piece):
+            return self.word(piece) or self.whole(piece)
+        last = base if self.byte_level else base.lower()
+        ids = last[-1:].isalnum() and (self.plain.get(base) or self.word(base))
+        return ids + self.safe[piece[len(base):]] if ids else self.whole(piece)
 
     def word(self, piece: str) -> bytes | None:
         """The ids of letters with perhaps a space before them, one pre-token; else None."""
@@ -58,62 +105,27 @@ class Encoder:
             if max(letters) >= "\u0250":
                 return None
             letters = letters.encode().decode("latin-1").translate(ALPHABET)
-        return np.array([t.id for t in self.model.tokenize("\u0120" + letters if spaced else letters)], self.dtype).tobytes()
-
-    def learn(self, pieces) -> None:
-        """Put the pieces' ids into the cache."""
-        if len(self.known) > CACHE_PIECES:
-            self.known, self.older = {}, self.known
-        known, rest = self.known, []
-        for piece in pieces:
-            ids = self.older.get(piece)
-            if ids is None:
-                base = piece.rstrip(SIGNS)
-                ids = base and self.word(base)
-                if not ids or len(base) < len(piece) and piece[len(base):] not in known:
-                    rest.append(piece)
-                    if ids:
-                        rest.append(piece[len(base):])
-                    continue
-                if len(base) < len(piece):
-                    ids += known[piece[len(base):]]
-            known[piece] = ids
-        for i in range(0, len(rest), 4096):
-            part = rest[i:i + 4096]
-            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, self.dtype)
-            ends = np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
-            at = 0
-            for piece, end in zip(part, ends.tolist()):
-                known[piece] = ids[at:end].tobytes()
-                at = end
-
-    def pieces(self, text: str) -> list[str]:
+        return array(self.kind, [t.id for t in self.tokenize("\u0120" + letters if spaced else letters)]).tobytes()
+
+    def encoded(self, text: str) -> bytes:
+        """The ids of a text, without special tokens, in this encoder's dtype."""
         if not self.byte_level:
-            return text.replace("\n", " ").split(" ")
+            return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))
         if "\0" not in text:
-            found = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            if "" not in found and " " not in found and all(map(plain, {p for p in found if p not in self.known})):
-                return found
-        return SAFE.split(text)
+            cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+            if not any(x in text for x in (".,", ",.", "..", ",,")):
+                try:  # commas and full stops apart: where all pieces end in letters or digits, they are pre-tokens
+                    return b"".join(map(self.words.__getitem__, (cut + "\0").replace(",\0", "\0,\0").replace(".\0", "\0.\0")[:-1].split("\0")))
+                except Unsafe:
+                    pass
+            try:
+                return b"".join(map(self.plain.__getitem__, cut.split("\0")))
+            except Unsafe:
+                pass
+        return b"".join(map(self.safe.__getitem__, SAFE.split(text)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, without special tokens."""
-        out = []
-        for text in texts:
-            if not text:
-                out.append(np.empty(0, self.dtype))
-                continue
-            found = self.pieces(text)
-            ids = list(map(self.known.get, found))
-            if None in ids:
-                new = {p for p, x in zip(found, ids) if x is None}
-                if len(self.known) > CACHE_PIECES:
-                    new.update(found)
-                self.learn(new)
-                ids = map(self.known.__getitem__, found)
-            out.append(np.frombuffer(b"".join(ids), self.dtype))
-        return out
+        return [np.frombuffer(self.encoded(x) if x else b"", self.dtype) for x in texts]
 
 
 def encoder(path: str, byte_level: bool) -> Encoder:
