@@ -93,6 +93,17 @@ QUERIES = {
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE = {
+    "op2_substring_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+k AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+x AS (SELECT doc_id, list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' '))) AS hs FROM d WHERE len(w) >= 50),
+s AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM x),
+f AS (SELECT h, min(doc_id) AS first FROM s GROUP BY h),
+g AS (SELECT s.doc_id, s.i FROM s JOIN f ON s.h = f.h WHERE f.first < s.doc_id),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM g),
+j AS (SELECT k.doc_id, k.p, k.word, r.p IS NOT NULL AS gone FROM k LEFT JOIN r ON k.doc_id = r.doc_id AND k.p = r.p),
+o AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM j GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(o.n, 0) AS n_removed, sha256(coalesce(o.kept, '')) AS kept_sha256 FROM d LEFT JOIN o ON d.doc_id = o.doc_id""",
     "op4_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
