@@ -199,7 +199,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "file_no", "path", "n_docs", "n_ids"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(4 * width(spark), "id").sortWithinPartitions("id")
+    dealt = rows.repartitionByRange(2 * width(spark), "id").sortWithinPartitions("id")
     return written(dealt.mapInArrow(run, "part int, file_no int, path string, n_docs long, n_ids long"), "manifest")
 
 
@@ -232,7 +232,7 @@ def read_tokens(manifest: DataFrame, digest: bool = True) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>")
     table = spark.createDataFrame(rows, "path string, first long")
     if rows:
-        table = table.repartition(min(len(rows), 4 * width(spark)))
+        table = table.repartition(min(len(rows), width(spark)))
     return table.mapInArrow(run, schema)
 
 
