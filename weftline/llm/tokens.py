@@ -13,7 +13,7 @@ from array import array
 
 import numpy as np
 
-#: Pieces in either of the two generations that one Python worker keeps.
+#: Pieces in either of the two generations that one Python worker keeps, about 200 bytes each.
 CACHE_PIECES = 500_000
 #: ASCII signs at a word's end that make a pre-token of their own after a letter.
 SIGNS = ".,;:!?$%&*#()"
@@ -34,15 +34,15 @@ class Known(dict):
     """Piece -> ids, learned on demand. Two generations: when the newer one is
     full it takes the older one's place, and what is used again comes back."""
 
-    def __init__(self, learn):
+    def __init__(self, learn, share: float = 1.0):
         super().__init__()
-        self.learn, self.older = learn, {}
+        self.learn, self.older, self.size = learn, {}, int(CACHE_PIECES * share)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             ids = self.learn(piece)
-        if len(self) > CACHE_PIECES:
+        if len(self) > self.size:
             self.older = dict(self)
             self.clear()
         self[piece] = ids
@@ -69,8 +69,8 @@ class Encoder:
         self.tokenize = self.tokenizer.model.tokenize
         self.kind = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.words = Known(self.learn_word)
-        self.plain = Known(self.learn_plain)
-        self.safe = Known(self.whole)
+        self.plain = Known(self.learn_plain, 0.3 if byte_level else 1.0)
+        self.safe = Known(self.whole, 0.1)
 
     def whole(self, piece: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
