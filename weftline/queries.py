@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import names, texts
 from weftline.functions import normalizers as N
-from weftline.operators import analytics, chunk, extract, graph, profile, query, resolve, store
+from weftline.operators import analytics, catalog, chunk, extract, graph, profile, query, resolve, store
 from weftline.plans import ontology
 from weftline.plans.mapping import MappingSpec
 from weftline.streaming.incremental import event_counts
@@ -704,3 +704,235 @@ def page_chunks(spark, sf_dir):
 def extract_triples(spark, sf_dir):
     """The default extractor over all documents; tested against the rule itself."""
     return extract.extracted_graph(extract.extract(table(spark, sf_dir, "documents"), id_cols=("doc_id",)))[1]
+
+
+# -- catalogue and the rest of the inventory ------------------------------------------------
+
+
+@registered("""
+SELECT c_nationkey AS owner, trim(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '-', 'g'), '-') AS slug, count(*) AS n FROM customer GROUP BY ALL""")
+def knowledge_base_slugs(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.groupBy(F.col("c_nationkey").alias("owner"), names.kb_slug(F.col("c_mktsegment")).alias("slug")).agg(F.count("*").alias("n"))
+
+
+@registered("""
+SELECT DISTINCT 'o' || (c_nationkey % 3) AS owner_id, trim(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM customer""")
+def knowledge_base_create(spark, sf_dir):
+    """Idempotent on owner and slug."""
+    new = table(spark, sf_dir, "customer").select(F.concat(F.lit("o"), F.col("c_nationkey") % 3).alias("owner_id"), F.col("c_mktsegment").alias("name"))
+    one = catalog.create_knowledge_bases(new.limit(0).withColumn("slug", F.lit("")), new.where("owner_id = 'o1'"))
+    return catalog.create_knowledge_bases(one, new).select("owner_id", "slug")
+
+
+@registered("""
+SELECT o_custkey AS kb_id, max(o_orderkey) AS ontology_id, count(*) AS versions FROM orders GROUP BY 1""")
+def ontology_latest(spark, sf_dir):
+    """Versions are numbered as they are added; the current one is the last."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ontology_id"), F.col("o_custkey").alias("kb_id"), F.lit(None).cast("string").alias("document_id"))
+    none = o.limit(0).withColumn("version", F.lit(0))
+    halves = catalog.add_ontologies(catalog.add_ontologies(none, o.where("ontology_id <= 500")), o.where("ontology_id > 500"))
+    return catalog.current_ontologies(halves).select("kb_id", "ontology_id", F.col("version").cast("long").alias("versions"))
+
+
+@registered("""
+SELECT n_nationkey AS document_id, string_agg(c_name, ',' ORDER BY c_custkey) AS names FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
+def document_with_chunks(spark, sf_dir):
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    docs = catalog.with_chunks(n.select(F.col("n_nationkey").alias("document_id")), c.select(F.col("c_nationkey").alias("document_id"), F.col("c_custkey").alias("idx"), F.col("c_name").alias("content")))
+    joined = F.array_join(F.transform("chunks", lambda x: x["content"]), ",")
+    return docs.select("document_id", F.when(F.size("chunks") > 0, joined).alias("names"))
+
+
+@registered("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
+def list_newest(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderdate", "created_at")
+    return catalog.newest_first(o, "o_orderkey", 20).select("o_orderkey", F.col("created_at").alias("o_orderdate"))
+
+
+@registered("""
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size % 4 = 0 ELSE p_size % 3 = 0 END AS valid FROM part""")
+def category_check(spark, sf_dir):
+    p, s = table(spark, sf_dir, "part"), F.col("p_size")
+    kind = F.when(s % 2 == 0, "Named Entity").otherwise("Concept/Idea")
+    category = F.when(s % 2 == 0, F.when(s % 4 == 0, "people").otherwise("ideas")).otherwise(F.when(s % 3 == 0, "theories").otherwise("events"))
+    return p.select("p_partkey", catalog.category_is_valid(kind, category).alias("valid"))
+
+
+@registered("SELECT p_partkey, p_size % 3 <> 2 AS is_csv FROM part")
+def file_type_check(spark, sf_dir):
+    s = F.col("p_size") % 3
+    name, mime = F.when(s == 0, "A.CSV").otherwise("a.txt"), F.when(s == 1, "Text/CSV")
+    return table(spark, sf_dir, "part").select("p_partkey", catalog.is_csv(name, mime).alias("is_csv"))
+
+
+@registered("""
+SELECT user_id, count(*) AS total_cards, count(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-02') AS cards_due, round(avg(value), 6) AS average_ease,
+  count(*) FILTER (WHERE ts::DATE = DATE '2024-01-02') AS reviewed_today FROM events GROUP BY 1""")
+def user_statistics(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").alias("due_at"), F.col("value").alias("ease"), F.col("ts").alias("reviewed_at"))
+    return query.user_statistics(e, F.lit("2024-01-02").cast("timestamp")).withColumn("average_ease", F.round("average_ease", 6))
+
+
+@registered("""
+SELECT event_id AS card_id FROM events WHERE user_id = (SELECT min(user_id) FROM events) AND ts <= TIMESTAMP '2030-01-01' ORDER BY ts, event_id LIMIT 10""")
+def due_cards(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    user = e.agg(F.min("user_id")).first()[0]
+    cards = e.select("user_id", F.col("event_id").alias("card_id"), F.col("ts").alias("due_at"))
+    return catalog.due_cards(cards, user, F.lit("2030-01-01").cast("timestamp"), 10).select("card_id")
+
+
+@registered(f"""
+WITH {BASE_SQL}, l AS (SELECT DISTINCT node_id FROM nodes WHERE document_id IN ('doc1', 'doc2')),
+s AS (SELECT src, dst FROM edges WHERE document_id IN ('doc1', 'doc2') OR src IN (FROM l) OR dst IN (FROM l))
+SELECT node_id FROM l UNION SELECT src FROM s UNION SELECT dst FROM s""")
+def visible_nodes(spark, sf_dir):
+    n, e, _ = base_graph(spark, sf_dir)
+    return analytics.visible_subgraph(with_documents(n), e, ["doc1", "doc2"])[0].select("node_id")
+
+
+@registered(f"""
+WITH {BASE_SQL} SELECT d.document_id, d.title FROM docs d WHERE d.document_id IN (SELECT document_id FROM nodes WHERE node_id = 'customer:1')""")
+def linked_documents(spark, sf_dir):
+    n, _, d = base_graph(spark, sf_dir)
+    return store.linked_documents(d, with_documents(n), "customer:1").select("document_id", "title")
+
+
+@registered(f"WITH {BASE_SQL} SELECT d.document_id FROM docs d WHERE d.document_id NOT IN (SELECT document_id FROM nodes WHERE node_id = 'customer:1')")
+def available_documents(spark, sf_dir):
+    n, _, d = base_graph(spark, sf_dir)
+    return store.linked_documents(d, with_documents(n), "customer:1", False).select("document_id")
+
+
+@registered(f"WITH {BASE_SQL} SELECT node_id, document_id FROM nodes WHERE document_id = 'doc5'")
+def document_entities(spark, sf_dir):
+    return store.document_entities(base_graph(spark, sf_dir)[0], "doc5").select("node_id", "document_id")
+
+
+@registered(f"WITH {BASE_SQL} SELECT src, predicate, dst FROM edges WHERE document_id = 'doc5'")
+def document_relationships(spark, sf_dir):
+    return store.document_relationships(base_graph(spark, sf_dir)[1], "doc5").select("src", "predicate", "dst")
+
+
+@registered(f"WITH {BASE_SQL} SELECT src, predicate, dst FROM edges WHERE src <> 'nation:3' AND dst <> 'nation:3'")
+def remove_node(spark, sf_dir):
+    n, e, _ = base_graph(spark, sf_dir)
+    return store.remove_node(n, e, "nation:3")[1].select("src", "predicate", "dst")
+
+
+@registered(f"WITH {BASE_SQL} SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM edges")
+def undirected_edges(spark, sf_dir):
+    _, e, _ = base_graph(spark, sf_dir)
+    both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return store.undirected(both)
+
+
+@registered("SELECT event_id, event_type FROM events")
+def insert_missing(spark, sf_dir):
+    """Insert or leave: known keys stay as they are."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return store.insert_missing(e.where("event_id % 2 = 0"), e.withColumn("event_type", F.when(F.col("event_id") % 2 == 0, "changed").otherwise(F.col("event_type"))), ["event_id"])
+
+
+@registered("""
+SELECT o_orderkey, upper(trim(regexp_replace(upper(o_orderpriority), '[^A-Z0-9]+', '_', 'g'), '_')) AS predicate FROM orders WHERE o_orderkey % 2 = 0""")
+def relation_types(spark, sf_dir):
+    """Relations as arrays: those with fewer than three parts are left out, types cleaned."""
+    o = table(spark, sf_dir, "orders")
+    rel = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.lit("x"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    return store.whole_relations(o.select(rel.alias("relation"))).select(F.col("src").cast("long").alias("o_orderkey"), "predicate")
+
+
+@registered("""
+SELECT l_linenumber AS page_number, count(*) AS chunks FROM lineitem GROUP BY 1 ORDER BY 1 LIMIT 5""")
+def page_distribution(spark, sf_dir):
+    return chunk.page_distribution(table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("page_number")))
+
+
+@registered("SELECT '| ' || n_nationkey || ' | ' || n_name || ' |' AS line FROM nation")
+def markdown_table(spark, sf_dir):
+    return profile.markdown_table(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+
+
+@registered("SELECT doc_id, '{\"id\":' || doc_id || '}' AS json FROM documents")
+def json_from_reply(spark, sf_dir):
+    reply = F.concat(F.lit("Here:\n```json\n{\"id\": "), "doc_id", F.lit("}\n```\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", texts.json_from_reply(reply).alias("json"))
+
+
+@registered("""
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Page 2 of 9' ELSE 'Chunk 4' END || ' | ' || source AS context FROM documents""")
+def chunk_context(spark, sf_dir):
+    even = F.col("doc_id") % 2 == 0
+    page = F.when(even, 2)
+    return table(spark, sf_dir, "documents").select("doc_id", texts.chunk_context(page, F.lit(9), F.lit(4), F.col("source")).alias("context"))
+
+
+@registered("SELECT doc_id, lang || ',x' AS tags, 'topic' || ',' || lang AS categories FROM documents")
+def enrich_metadata(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    arrays = d.select("doc_id", F.array("lang", "lang").alias("tags"), F.array(F.lit("x"), F.col("lang")).alias("topics"), F.array(F.lit("topic")).alias("categories"), F.array("lang").alias("keywords"))
+    out = extract.enrich_metadata(arrays)
+    return out.select("doc_id", F.array_join("tags", ",").alias("tags"), F.array_join("categories", ",").alias("categories"))
+
+
+@registered(f"""
+WITH {MENTIONS_SQL} SELECT entity_id, resolved_id, CASE WHEN entity_id LIKE '%1' THEN 'exact' ELSE 'manual' END AS strategy, CASE WHEN entity_id LIKE '%2' THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM m""")
+def map_defaults(spark, sf_dir):
+    """Rows of a resolution map with what they lack."""
+    m = resolve.resolution_map(mentions(spark, sf_dir), fold=False)
+    m = m.withColumn("strategy", F.when(~F.col("entity_id").like("%1"), "manual")).withColumn("confidence", F.when(F.col("entity_id").like("%2"), 0.5))
+    return resolve.filled_map(m)
+
+
+@registered(f"""
+WITH {MENTIONS_SQL}, {RELATIONS_SQL} SELECT rid AS resolved_relationship_id, relationship_id, document_id FROM p""")
+def resolution_provenance(spark, sf_dir):
+    t = resolve.resolve(mentions(spark, sf_dir), relations(spark, sf_dir), fold=False)
+    return t["resolved_relationship_mentions"].select("resolved_relationship_id", "relationship_id", "document_id")
+
+
+@registered(f"""
+WITH {MENTIONS_SQL}, d AS (SELECT * FROM m WHERE document_id IN ('d0', 'd2'))
+SELECT resolved_id, count(*) AS mention_count FROM d GROUP BY 1""")
+def resolve_documents(spark, sf_dir):
+    """Resolution of some documents only."""
+    m = resolve.in_scope(mentions(spark, sf_dir), ["d0", "d2"])
+    return resolve.resolved_entities(m, fold=False).select("resolved_id", "mention_count")
+
+
+@registered("""
+SELECT DISTINCT sha256(array_to_string(['1', 'doc' || c_nationkey, 'customer:' || c_custkey], chr(31))) AS entity_key, 'customer:' || c_custkey AS node_id FROM customer WHERE c_nationkey = 3""")
+def stored_nodes(spark, sf_dir):
+    """Stable keys for the rows of a store."""
+    n = base_graph(spark, sf_dir)[0].where("document_id = 'doc3' and type = 'customer'").withColumn("properties", F.lit(None).cast("map<string,string>"))
+    return store.stored_nodes(n, 1, "doc3").select("entity_key", "node_id")
+
+
+@registered(f"""
+WITH {BASE_SQL}, c AS (SELECT node_id FROM nodes WHERE type = 'customer')
+SELECT src, predicate, dst, 1.0::DOUBLE AS confidence FROM edges WHERE src IN (FROM c) AND dst IN (FROM c)
+UNION ALL SELECT src, predicate, dst, 1.0 FROM edges WHERE predicate = 'lives_in' AND document_id = 'doc3'""")
+def stored_edges(spark, sf_dir):
+    """Only edges whose ends are both among the saved nodes."""
+    n, e, _ = base_graph(spark, sf_dir)
+    own = n.where("document_id = 'doc3' and type <> 'order'")
+    return store.stored_edges(e.select("src", "predicate", "dst"), own, 1, "doc3").select("src", "predicate", "dst", "confidence")
+
+
+@registered(f"""
+WITH RECURSIVE {RING_SQL}, w(s, node_id) AS (SELECT node_id, node_id FROM nodes UNION SELECT s, b FROM w JOIN x ON a = node_id)
+SELECT component, count(*) AS size FROM (SELECT node_id, min(s) AS component FROM w GROUP BY 1) GROUP BY 1""")
+def communities(spark, sf_dir):
+    """Sizes of connected components."""
+    return analytics.communities(*nation_ring(spark, sf_dir))
+
+
+@registered(f"""
+WITH RECURSIVE {RING_SQL}, w(s, node_id) AS (SELECT node_id, node_id FROM nodes UNION SELECT s, b FROM w JOIN x ON a = node_id),
+c AS (SELECT DISTINCT m FROM (SELECT node_id, min(s) AS m FROM w GROUP BY 1)), t AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS e)
+SELECT n AS nodes, e AS edges, e::DOUBLE / (n::DOUBLE * (n - 1)::DOUBLE) AS density, 2 * e::DOUBLE / n::DOUBLE AS average_degree, 0 AS documents, (SELECT count(*) FROM c) AS components,
+  (SELECT count(*) FROM nodes WHERE node_id NOT IN (SELECT a FROM x)) AS isolates FROM t""")
+def graph_metrics(spark, sf_dir):
+    return analytics.metrics(*nation_ring(spark, sf_dir))
