@@ -71,6 +71,31 @@ def test_forest_connects_what_is_linked():
                     assert (label[i] == label[j]) == (find(int(part[i])) == find(int(part[j])))
 
 
+def test_large_cells_are_cut_into_blocks(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    fp = sorted({b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 3))) for b in base for _ in range(25)})
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fp], "fp long")
+
+    def found():
+        root = {x: x for x in fp}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for r in simhash.links(df).collect():
+            a, b = find(r.a & (1 << 64) - 1), find(r.b & (1 << 64) - 1)
+            root[max(a, b)] = min(a, b)
+        return {x: find(x) for x in fp}
+
+    whole = found()
+    monkeypatch.setattr(simhash, "CELL", 4)
+    label = plain_components(dict(enumerate(fp)))
+    assert found() == whole == {x: fp[label[i]] for i, x in enumerate(fp)}
+
+
 def near(docs_df):
     return {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(docs_df).collect()}
 

@@ -11,7 +11,9 @@
    every linked pair meets in one cell at least.
 4. In a cell pairs are verified exactly by Hamming distance. A cell returns a
    forest of links (fewer than it has fingerprints), never all pairs. Cells come
-   sorted and one at a time, so a task holds one cell and one batch.
+   sorted and one at a time, so a task holds one cell and one batch. A cell of
+   more than CELL fingerprints is cut into blocks, and each pair of blocks is a
+   cell of its own, so no cell outgrows a task.
 5. Components over distinct fingerprints, in rounds of joins.
 
 Equal texts are one distinct fingerprint before anything is joined.
@@ -30,6 +32,9 @@ from .common import components, prepare, text_bytes, width, written
 SEGMENTS, SEGMENT_BITS, HALF = 16, 4, 8
 #: The grid's radius and the split in two halves are for this many differing bits or fewer.
 MAX_BITS = 4
+#: Fingerprints of a cell, or of a block of one.
+CELL = 100_000
+KEY_BITS = 25
 #: Cells of more fingerprints than this are searched from one fingerprint to the next instead of pair by pair.
 DENSE = 256
 
@@ -153,7 +158,21 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
 
-    dealt = distinct.select("fp").mapInArrow(spread, "cell long, fp long")
+    def count(batches):
+        for batch in batches:
+            fp = batch.column(0).to_numpy()
+            for i in range(0, len(fp), 20_000):
+                key, n = np.unique(cells(fp[i:i + 20_000])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["cell", "n"])
+
+    fps = distinct.select("fp")
+    sizes = fps.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > CELL)
+    large = written(sizes.select("cell", F.ceil(F.col("n") / CELL).cast("long").alias("blocks")), "large")
+    dealt = fps.mapInArrow(spread, "cell long, fp long").join(large, "cell", "left")
+    own = F.pmod(F.xxhash64("fp"), "blocks")
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.least(k, own) * F.col("blocks") + F.greatest(k, own))
+    dealt = dealt.select(F.explode(F.coalesce(pairs, F.array(F.lit(0).cast("long")))).alias("pair"), "cell", "fp")
+    dealt = dealt.select((F.shiftleft("pair", KEY_BITS) + F.col("cell")).alias("cell"), "fp")
     return dealt.repartition(4 * width(spark), "cell").sortWithinPartitions("cell").mapInArrow(search, "a long, b long")
 
 
