@@ -26,7 +26,7 @@ from .common import width, written
 
 LARGE = 64
 #: Partitions that pack groups, at most.
-PACKERS = 512
+PACKERS = 8192
 #: Bundles of a partition for each shard.
 FINE = 4
 #: Bytes, tokens and rows in the dot product. The law is near equal bytes, so bytes weigh most.
