@@ -39,3 +39,26 @@ def test_stages_against_plain_versions(spark, sf):
 def test_run_is_all_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 100
+
+
+def test_edge_cases_pass_every_stage(spark, clashing, sf):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names."""
+    words = " ".join(f"word{chr(97 + i % 26)}" for i in range(400))
+    rows = [(1, words), (1, words), (2, words), (3, None), (4, ""), (5, "123"), (None, "text without an id"), (6, "long " * 60_000), (7, "a\n\nb")]
+    df = clashing(rows).selectExpr("doc_id", "text", "nullif(lang, if(doc_id = 2, 'en', '')) as lang", "cast(null as string) as source", "nullif(n_chars, 0) as n_chars", "id", "t", "lines", "gone", "fp")
+    ids = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, sf)
+        assert df.columns == corpus_pipeline.COLUMNS, name
+        path = f"{spark.conf.get('spark.checkpoint.dir')}/edge-{name}"
+        df.write.mode("overwrite").parquet(path)
+        df = spark.read.parquet(path)
+        ids.append(sorted(r.doc_id or 0 for r in df.collect()))
+    assert ids == [[0, 1, 1, 2, 6, 7], [0, 1, 1, 2, 6, 7], [0, 1, 1, 6, 7], [0, 1, 1, 6, 7]]
+    packed = corpus_pipeline.STAGES[-1][1](spark, df, sf).collect()
+    assert {r.doc_id for r in packed} == {None, 1, 6, 7} and max(r.piece for r in packed) > 20
+
+
+def test_empty_tables_pass_every_stage(spark, docs, sf):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs([]), sf).collect() == [], name
