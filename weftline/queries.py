@@ -431,9 +431,9 @@ def merge_nodes(spark, sf_dir):
 
 @registered(f"""
 WITH {BASE_SQL}
-SELECT label AS name, string_agg(DISTINCT document_id, ',' ORDER BY document_id) AS documents FROM nodes WHERE contains(lower(label), 'urgent') OR contains(lower(label), 'an') GROUP BY 1 HAVING contains(lower(label), 'an') ORDER BY 1 LIMIT 10""")
+SELECT label AS name, string_agg(DISTINCT document_id, ',' ORDER BY document_id) AS documents FROM nodes WHERE contains(lower(label), 'tion_1') GROUP BY 1 ORDER BY 1 LIMIT 10""")
 def search_entities(spark, sf_dir):
-    out = store.search_entities(base_graph(spark, sf_dir)[0], "AN")
+    out = store.search_entities(base_graph(spark, sf_dir)[0], "Tion_1")
     return out.select("name", F.array_join("documents", ",").alias("documents"))
 
 
@@ -523,11 +523,11 @@ def graph_density(spark, sf_dir):
 
 
 @registered(f"""
-WITH {BASE_SQL} SELECT node_id FROM nodes WHERE type = 'customer' AND node_id NOT IN (SELECT src FROM edges WHERE predicate = 'placed')""")
+WITH {BASE_SQL} SELECT node_id FROM nodes WHERE type = 'customer' AND node_id NOT IN (SELECT src FROM edges WHERE dst LIKE 'order:%00')""")
 def graph_isolates(spark, sf_dir):
-    """Customers without an order."""
+    """Customers without an order whose key ends in 00."""
     n, e, _ = base_graph(spark, sf_dir)
-    return analytics.isolates(n.where("type = 'customer'"), e.where("predicate = 'placed'")).select("node_id")
+    return analytics.isolates(n.where("type = 'customer'"), e.where("dst like 'order:%00'")).select("node_id")
 
 
 @registered(f"""
