@@ -41,7 +41,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a written table that nothing reads any more."""
+    spark, path = df.sparkSession, df.written_to
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def width(spark: SparkSession) -> int:
@@ -75,7 +84,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        return written(out.where("u <> v").distinct(), "star")
+        out = written(out.where("u <> v").distinct(), "star")
+        discard(least), discard(e)
+        return out
 
     e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     sign = None

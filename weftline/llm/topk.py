@@ -111,8 +111,8 @@ def bound(q: Tree, a: int, d: Tree, b: int) -> float:
 
 
 def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """(id, dim, v): floor(scale * x) of each component as packed 64-bit floats of
-    32 bits where they fit; only whole, finite vectors."""
+    """(id, dim, v): floor(scale * x) of each component, as packed doubles; only
+    whole, finite vectors."""
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x"))
 
     def run(batches):
