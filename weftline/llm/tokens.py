@@ -49,10 +49,8 @@ class Known(dict):
         return ids
 
 
-def is_plain(piece: str) -> bool:
-    """A word, a space and a word, or a line end."""
-    word = piece[1:] if piece[:1] == " " else piece
-    return piece == "\n" or bool(word) and not word[0].isspace() and not word[-1].isspace()
+def is_plain(word: str) -> bool:
+    return bool(word) and not word[0].isspace() and not word[-1].isspace()
 
 
 class Encoder:
@@ -68,29 +66,34 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.tokenize = self.tokenizer.model.tokenize
         self.kind = {2: "H", 4: "I"}[self.dtype.itemsize]
-        self.words = Known(self.learn_word)
-        self.plain = Known(self.learn_plain, 0.3 if byte_level else 1.0)
-        self.safe = Known(self.whole, 0.1)
+        self.plain = Known(self.learn_spaced if byte_level else self.learn)
+        self.safe = Known(self.learn_safe, 0.4)
 
     def whole(self, piece: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def learn_word(self, piece: str) -> bytes:
-        """Pieces that end in a letter or digit, and signs and line ends alone."""
-        if piece in (",", ".", "\n"):
+    def learn_spaced(self, piece: str) -> bytes:
+        """\0 and a word that no space precedes, a line end, or a word after a space."""
+        if piece == "\n":
             return self.whole(piece)
-        if not piece[-1:].isalnum() or not is_plain(piece):
+        word = piece[1:] if piece[:1] == "\0" else piece
+        if not is_plain(word):
             raise Unsafe
-        return self.word(piece) or self.whole(piece)
+        return self.learn(word if word is not piece else " " + word)
 
-    def learn_plain(self, piece: str) -> bytes:
-        if self.byte_level and not is_plain(piece):
-            raise Unsafe
+    def learn_safe(self, piece: str) -> bytes:
+        """A piece with its own white space; a word, perhaps after a space, goes the short way."""
+        return self.learn(piece) if is_plain(piece[piece[:1] == " ":]) and "\0" not in piece else self.whole(piece)
+
+    def learn(self, piece: str) -> bytes:
         base = piece.rstrip(SIGNS)
         if len(base) == len(piece):
             return self.word(piece) or self.whole(piece)
         last = base if self.byte_level else base.lower()
-        ids = last[-1:].isalnum() and (self.plain.get(base) or self.word(base))
+        if not last[-1:].isalnum():
+            return self.whole(piece)
+        key = base[1:] if self.byte_level and base[:1] == " " else "\0" + base if self.byte_level else base
+        ids = self.plain.get(key) or self.word(base)
         return ids + self.safe[piece[len(base):]] if ids else self.whole(piece)
 
     def word(self, piece: str) -> bytes | None:
@@ -112,15 +115,9 @@ class Encoder:
         if not self.byte_level:
             return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))
         if "\0" not in text:
-            cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
-            if not any(x in text for x in (".,", ",.", "..", ",,")):
-                try:  # commas and full stops apart: where all pieces end in letters or digits, they are pre-tokens
-                    return b"".join(map(self.words.__getitem__, (cut + "\0").replace(",\0", "\0,\0").replace(".\0", "\0.\0")[:-1].split("\0")))
-                except Unsafe:
-                    pass
             try:
-                return b"".join(map(self.plain.__getitem__, cut.split("\0")))
-            except Unsafe:
+                return b"".join(map(self.plain.__getitem__, ("\0" + text.replace("\n", " \n \0")).split(" ")))
+            except Unsafe:  # white space in a row, or at an end
                 pass
         return b"".join(map(self.safe.__getitem__, SAFE.split(text)))
 
