@@ -81,3 +81,15 @@ def test_query_on_whole_table(spark, sf):
         a, b = ([vocab.setdefault(w, len(vocab)) for w in ws] for ws in (bench[i], texts[d]))
         best = D.align(np.array(a), np.array(b))[0] / len(a)
         assert D.MIN_SCORE <= s <= best + 1e-9
+
+
+def test_copies_with_every_fourth_or_fifth_word_replaced(spark, docs):
+    """Three successive words at most (four of five) are intact; every broken n-gram is in no document."""
+    bench = [(k, " ".join(f"i{k}w{p}" for p in range(n))) for k, n in ((14, 15), (24, 40), (34, 200), (15, 15), (25, 40), (35, 200))]
+    rows = []
+    for k, text in bench:
+        step = k % 10
+        copy = [f"new{p}" if p % step == step - 1 else w for p, w in enumerate(text.split())]
+        rows.append((k, " ".join(["before"] * 20 + copy + ["after"] * 20)))
+    assert set(found(docs(rows), items(spark, bench))) == {(i, i) for i, _ in rows}
+    assert D.clean(docs(rows), items(spark, bench)).count() == 0

@@ -1,18 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds join passages of the corpus to
-test items, then Smith-Waterman alignment scores exact, edited and paraphrased
-copies.
+"""Benchmark decontamination: n-gram seeds join passages of the corpus to test
+items, then Smith-Waterman alignment scores exact, edited and paraphrased copies.
 
 1. Test items go in blocks of BLOCK_NGRAMS distinct n-grams at most, so what is
    broadcast has a fixed bound whatever the benchmark's size; each block is held
    against all documents.
-2. One pass counts, over all documents, how many hold each n-gram of the block.
-3. Seeds: in every run of WINDOW successive n-grams of an item the rarest one (by
-   that count, then from the left). A copied stretch of WINDOW + N - 1 words holds
-   a seed however often it was copied: rarity is relative, nothing is cut off.
-4. A second pass looks the seeds up in each document. Hits of an item that lie on
-   near diagonals form one passage; passage and item are aligned word by word.
-
-Documents stay in their tasks: no shuffle but the small counts, no hot key.
+2. Seeds: every n-gram of an item, however often documents hold it. A copy with N
+   successive words intact anywhere holds a seed.
+3. One pass looks the seeds up in each document. Hits of an item that lie on near
+   diagonals form one passage. A passage with fewer words of the item than the
+   least score asks for cannot reach it; the others are aligned word by word.
+
+Documents stay in their tasks: no shuffle but of the findings, no hot key.
 """
 
 from __future__ import annotations
@@ -27,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-N, WINDOW = 3, 3
+N = 3
 BLOCK_NGRAMS = 200_000
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Least alignment score, as a share of the score of a full copy.
@@ -75,9 +73,12 @@ class Block:
         self.vocab: dict[str, int] = {}
         self.items = [(i, np.array([self.vocab.setdefault(w, len(self.vocab)) for w in ws], np.int64)) for i, ws in items]
         self.grams: dict[int, int] = {}
-        self.of_item = []
-        for _, x in self.items:
-            self.of_item.append([self.grams.setdefault(g, len(self.grams)) for g in self.keys(x).tolist()])
+        #: n-gram -> [(item's place in the block, position in it)]
+        self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, (_, x) in enumerate(self.items):
+            for p, g in enumerate(self.keys(x).tolist()):
+                self.seeds[self.grams.setdefault(g, len(self.grams))].append((k, p))
+        self.of_item = [np.unique(x) for _, x in self.items]
         self.sorted = np.array(sorted(self.grams), np.int64)
         self.number = np.array([self.grams[g] for g in self.sorted.tolist()], np.int64)
 
@@ -114,23 +115,11 @@ class Block:
         found = self.sorted[i] == key
         return at[found], self.number[i[found]]
 
-    def choose(self, df: np.ndarray) -> None:
-        """Set the seeds: n-gram -> [(item's place in the block, position in it)]."""
-        self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, grams in enumerate(self.of_item):
-            rare = df[grams]
-            picked = {i + int(rare[i:i + WINDOW].argmin()) for i in range(max(1, len(grams) - WINDOW + 1))} if grams else set()
-            for p in sorted(picked):
-                self.seeds[grams[p]].append((k, p))
-        self.is_seed = np.zeros(max(1, len(self.grams)), bool)
-        self.is_seed[list(self.seeds)] = True
-
     def matches(self, x: np.ndarray):
         """(item_id, score, begin, end) of the best passage for each item met."""
         at, gram = self.hits(x)
-        keep = self.is_seed[gram] if len(gram) else []
         met: dict[int, set[int]] = defaultdict(set)
-        for p, g in zip(at[keep].tolist(), gram[keep].tolist()):
+        for p, g in zip(at.tolist(), gram.tolist()):
             for k, q in self.seeds[g]:
                 met[k].add(p - q)
         for k, diagonals in met.items():
@@ -141,7 +130,8 @@ class Block:
             for d in sorted(diagonals) + [None]:
                 if span is not None and (d is None or d > span[1] + n):
                     lo, hi = max(0, span[0] - n // 2), min(len(x), span[1] + n + n // 2)
-                    s, b, e = align(item, x[lo:hi])
+                    shared = np.count_nonzero(np.isin(x[lo:hi], self.of_item[k]))  # the score is no higher
+                    s, b, e = align(item, x[lo:hi]) if MATCH * shared >= least * MATCH * n else best
                     if s > best[0]:
                         best = (s, lo + b, lo + e)
                     span = None
@@ -170,27 +160,11 @@ def blocks(benchmark: DataFrame, item_id: str, item_text: str):
 SCHEMA = "doc_id long, item_id long, score double, begin_word long, end_word long"
 
 
-def seeded(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str, item_text: str):
-    """Broadcasts of the blocks, with their seeds chosen by counts over all of docs."""
+def seeded(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str):
+    """Broadcasts of the blocks."""
     spark = docs.sparkSession
     prepare(spark)
-    texts = docs.select(F.col(text_col).cast("string").alias("t"))
     for block in blocks(benchmark, item_id, item_text):
-        held = spark.sparkContext.broadcast(block)
-
-        def count(batches, held=held):
-            seen = np.zeros(max(1, len(held.value.grams)), np.int64)
-            for b in batches:
-                for text in b.column(0).to_pylist():
-                    _, gram = held.value.hits(held.value.ids(words(text)))
-                    seen[np.unique(gram)] += 1
-            at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["gram", "df"])
-
-        df = np.zeros(len(block.grams), np.int64)
-        for r in texts.mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect():
-            df[r["gram"]] = r["df"]
-        block.choose(df)
         yield spark.sparkContext.broadcast(block)
 
 
@@ -207,7 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     out = None
-    for chosen in seeded(rows, benchmark, "t", item_id, item_text):
+    for chosen in seeded(rows, benchmark, item_id, item_text):
 
         def search(batches, held=chosen):
             for b in batches:
@@ -223,9 +197,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that hold no copy of a test item. Rows are
-    judged one by one in their own tasks; nothing is shuffled but small counts."""
+    judged one by one in their own tasks; nothing is shuffled."""
     at, out = docs.columns.index(text_col), docs
-    for chosen in seeded(docs, benchmark, text_col, item_id, item_text):
+    for chosen in seeded(docs, benchmark, item_id, item_text):
 
         def keep(batches, held=chosen):
             for b in batches:
