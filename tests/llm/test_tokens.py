@@ -9,6 +9,8 @@ from hypothesis import strategies as st
 from weftline.llm import packing, queries, tokenfile
 from weftline.llm.tokens import Encoder
 
+Tokenizer = pytest.importorskip("tokenizers").Tokenizer
+
 P = pytest.importorskip("public_tokenizers")
 BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 PARTS = ["a", "the", "Word", " ", "  ", "\n", "\n\n", ".", ",", "!", "_", "'s", "9", "é", "\t", "\r", "\0", " . ", "$$$", "İ", "́", "。", "ª", "²", "<|endoftext|>", "\x1c", " "]
@@ -25,6 +27,31 @@ def test_encoder_equals_the_tokenizer(path, byte_level, monkeypatch):
         assert got.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+SPECIAL = ["<|endoftext|>", "end <|endoftext|> next", "<|endoftext|><|endoftext|>", "a<|startoftext|>b", "<|ENDOFTEXT|> x", " <|endoftext|>", "<|endoftext|>\n", "<|endoftext", "x <|startoftext|> <|endoftext|> y" * 50]
+
+
+@pytest.mark.parametrize(("path", "byte_level"), [(BYTES, True), (WORDS, False)])
+def test_added_tokens_in_texts_are_as_in_the_library(path, byte_level, docs):
+    """Against a tokenizer of its own, as loaded, without any setting."""
+    fresh, e, rng = Tokenizer.from_file(path), Encoder(path, byte_level), random.Random(3)
+    texts = SPECIAL + ["".join(rng.choice(PARTS + SPECIAL[:1]) for _ in range(rng.randint(1, 14))) for _ in range(2000)]
+    assert e.fast
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in e.encode(texts)] == want
+    rows = list(enumerate(SPECIAL))
+    got = packing.token_pieces(docs(rows), path, byte_level=byte_level).collect()
+    assert sum(r.length for r in got) == sum(len(w) + 1 for w in want[:len(SPECIAL)])
+    files = {r.doc_id: r.n_tokens for r in tokenfile.token_table(docs(rows), path, byte_level=byte_level).collect()}
+    assert files == {i: len(want[i]) + 1 for i, _ in rows}
+
+
+def test_files_of_another_kind_go_through_the_library():
+    e, fresh = Encoder(WORDS, True), Tokenizer.from_file(WORDS)  # the kind that this file is not
+    assert not e.fast
+    for t in ["Some  words\nand more", "x" * 5000, "<|endoftext|> é"]:
+        assert np.frombuffer(e.encoded(t), e.dtype).tolist() == fresh.encode(t, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=700), max_size=6))
 def test_file_round_trip(docs):

@@ -3,11 +3,14 @@
 A byte-pair encoder works on pre-tokens. A text is cut only where its
 pre-tokenizer would cut it anyway, distinct pieces are encoded once by the
 tokenizer itself and their ids kept in a bounded cache, so the result is the
-tokenizer's own.
+tokenizer's own. This holds for the two kinds of file in KINDS. Files of any
+other kind, and texts with the string of an added token (which the library takes
+out before anything else), are encoded by the library as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -23,6 +26,24 @@ ALPHABET = {b: b for b in _same} | {b: 256 + i for i, b in enumerate(b for b in
 #: Between a non-space and a single space or line end that a non-space follows, byte-level pre-tokenizers always cut.
 SAFE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
+#: What of a tokenizer file decides where it cuts, by whether its pieces keep white space.
+KINDS = {
+    True: {
+        "normalizer": None,
+        "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+        "post_processor": None,
+        "suffix": None,
+    },
+    False: {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+        "post_processor": None,
+        "suffix": "</w>",
+    },
+}
+
 _open: dict = {}
 
 
@@ -53,6 +74,12 @@ def is_plain(word: str) -> bool:
     return bool(word) and not word[0].isspace() and not word[-1].isspace()
 
 
+def known_kind(file: dict, byte_level: bool) -> bool:
+    model = file["model"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    return plain and not file["truncation"] and not file["padding"] and KINDS[byte_level] == {k: file[k] for k in ("normalizer", "pre_tokenizer", "post_processor")} | {"suffix": model.get("end_of_word_suffix")}
+
+
 class Encoder:
     """byte_level: the pre-tokenizer keeps white space in its pieces; otherwise it
     drops white space, and texts are cut at spaces and line ends."""
@@ -60,8 +87,12 @@ class Encoder:
     def __init__(self, path: str, byte_level: bool):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.fast = known_kind(file, byte_level)
+        self.added = [t["content"] for t in file["added_tokens"]]
+        self.fast &= all(x.isascii() and not t["normalized"] for x, t in zip(self.added, file["added_tokens"]))
         self.byte_level = byte_level
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.tokenize = self.tokenizer.model.tokenize
@@ -111,7 +142,9 @@ class Encoder:
         return array(self.kind, [t.id for t in self.tokenize("\u0120" + letters if spaced else letters)]).tobytes()
 
     def encoded(self, text: str) -> bytes:
-        """The ids of a text, without special tokens, in this encoder's dtype."""
+        """The ids of a text as the library gives them without adding special tokens, in this encoder's dtype."""
+        if not self.fast or any(x in text for x in self.added):
+            return self.whole(text)
         if not self.byte_level:
             return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))
         if "\0" not in text:
