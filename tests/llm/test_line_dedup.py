@@ -57,3 +57,9 @@ def test_query_on_whole_table(spark, sf):
 def test_main_path_is_native(spark, sf):
     plan = queries.op5_line_dedup(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_columns_that_clash_in_another_case(docs):
+    df = docs([(1, "a\nb"), (2, None)]).selectExpr("*", "'x' as N_LINES", "'y' as N_Dropped", "'z' as ID", "'v' as GONE")
+    got = line_dedup.line_dedup(df).select("doc_id", "n_lines", "n_dropped", "text", "id", "gone").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, 0, "a\nb", "z", "v"), (2, 1, 0, "", "z", "v")]

@@ -61,11 +61,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null or empty text: one empty line, text becomes "". Rows that repeat an id
     count as one document and lose the same positions. A null id: nothing is
     dropped from it and it does not count. An empty table gives an empty table.
-    Input columns named n_lines or n_dropped are replaced.
+    Input columns named n_lines or n_dropped, in any case, are replaced; so is any
+    other spelling of text_col.
     """
     gone = dropped_positions(docs, id_col, text_col, min_len, min_docs)
     # Names of docs may clash with any of these, so its columns travel in a struct and come out last.
-    other = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    other = [c for c in docs.columns if c.lower() not in (text_col.lower(), "n_lines", "n_dropped")]
     row = F.struct(*[F.col(f"`{c}`") for c in other]) if other else F.lit(None)
     base = docs.select(row.alias("_row"), F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     met = base.join(gone, "id", "left").select("_row", "_text", F.col("gone").alias("_gone"), lines_of(F.col("_text")).alias("_lines"))
