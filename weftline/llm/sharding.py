@@ -10,7 +10,8 @@ shards' residual capacity is highest.
 3. All other groups are packed by their partitions into FINE bundles for each
    shard; the driver then places the bundles (partitions * shards * FINE of them).
 4. Rows meet their group's place by a join whose sides both have plain exchanges,
-   so that a text that a third of all rows hold is split. The joined rows are
+   so that a text that a third of all rows hold is split. The rows of a cut group
+   are dealt out in turn by each task, whatever their ids. The joined rows are
    written with a running number for each partition and shard; a sum over these
    counts gives gapless slots without a sort.
 """
@@ -84,10 +85,10 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         v = np.array([g["bytes"], g["tokens"], g["n"]], float)
         k = min(int(g["n"]), max(1, int(np.ceil((v[[0, 2]] / capacity[[0, 2]]).max()))))
         for p in range(k):
-            parts.append((g["h1"], g["h2"], p, k))
+            parts.append((g["h1"], g["h2"], p))
             sizes.append(v / k)
     where = place(np.array(sizes).reshape(-1, 3), load, capacity)
-    fixed = spark.createDataFrame([(*p, int(s)) for p, s in zip(parts, where)], "h1 long, h2 long, part int, parts int, shard int")
+    fixed = spark.createDataFrame([(*p, int(s)) for p, s in zip(parts, where)], "h1 long, h2 long, part int, shard int")
 
     def bundle(batches):
         from pyspark import TaskContext
@@ -109,24 +110,33 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     where = place(np.array([[float(x) for x in r[1:]] for r in sums]).reshape(-1, 3), load, capacity)
     of_bundle = spark.createDataFrame([(r["bundle"], int(s)) for r, s in zip(sums, where)], "bundle long, shard int")
     places = written(
-        small.join(F.broadcast(of_bundle), "bundle").select("h1", "h2", F.lit(0).alias("part"), F.lit(1).alias("parts"), "shard")
-        .unionAll(fixed).groupBy("h1", "h2").agg(F.max("parts").alias("parts"), F.map_from_entries(F.collect_list(F.struct("part", "shard"))).alias("to")), "places")
+        small.join(F.broadcast(of_bundle), "bundle").select("h1", "h2", F.lit(0).alias("part"), "shard")
+        .unionAll(fixed).groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("part", "shard")))["shard"].alias("to")), "places")
 
     def number(batches):
         from pyspark import TaskContext
 
-        pid, seen = TaskContext.get().partitionId(), np.zeros(shards, np.int64)
+        pid, seen, turn = TaskContext.get().partitionId(), np.zeros(shards, np.int64), {}
         for b in batches:
-            s = b.column("shard").to_numpy()
+            to = b.column("to")
+            ends = to.offsets.to_numpy()
+            s = to.values.to_numpy()[ends[:-1]].copy()  # one place, but for cut groups
+            cut = np.flatnonzero(np.diff(ends) > 1)
+            hashes = np.stack([b.column(c).to_numpy()[cut] for c in ("h1", "h2")], axis=1)
+            for group in np.unique(hashes, axis=0):
+                own = cut[(hashes == group).all(axis=1)]
+                places = to.values.to_numpy()[ends[own[0]]:ends[own[0] + 1]]
+                at = turn.get(tuple(group), pid)  # tasks begin at different places
+                s[own] = places[(at + np.arange(len(own))) % len(places)]
+                turn[tuple(group)] = at + len(own)
             at = np.empty(len(s), np.int64)
             for k in np.unique(s).tolist():
                 own = s == k
                 at[own] = seen[k] + np.arange(own.sum())
                 seen[k] += own.sum()
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "size", "text_crc32", "shard")), pa.array(np.full(len(s), pid, np.int64)), pa.array(at)], ["doc_id", "size", "text_crc32", "shard", "pid", "at"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "size", "text_crc32")), pa.array(s), pa.array(np.full(len(s), pid, np.int64)), pa.array(at)], ["doc_id", "size", "text_crc32", "shard", "pid", "at"])
 
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    met = rows.join(places, ["h1", "h2"]).select("doc_id", "size", "text_crc32", F.col("to")[part].alias("shard"))
+    met = rows.join(places, ["h1", "h2"]).select("doc_id", "size", "text_crc32", "h1", "h2", "to")
     dealt = written(met.mapInArrow(number, "doc_id long, size long, text_crc32 long, shard int, pid long, at long"), "dealt")
     base, offsets = [0] * shards, []
     for r in dealt.groupBy("shard", "pid").count().orderBy("shard", "pid").toLocalIterator():
