@@ -90,6 +90,22 @@ def test_token_files(clashing, docs, monkeypatch):
     assert sorted((r.doc_id, r.start, r.n_tokens) for r in twice) == [(1, 0, 2), (1, 2, 2)]
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_rows_of_one_id_are_dealt_over_tasks(spark, docs, hot):
+    rows = [(hot, f"text {i}") for i in range(10_000)]
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/hot-{hot}"
+    manifest = tokenfile.write_tokens(docs(rows), BYTES, folder, end_id=2)
+    parts = [r.n_docs for r in manifest.collect()]
+    assert sum(parts) == 10_000 and len(parts) > 2 and max(parts) < 5_000
+    got = tokenfile.read_tokens(manifest).collect()
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    want = {zlib.crc32(np.array([*Tokenizer.from_file(BYTES).encode("text 5").ids, 2], "<u4").tobytes())}
+    assert want <= {r.ids_crc32 for r in got} and len(got) == 10_000
+
+
 def test_token_files_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in queries.documents(spark, sf).collect()]
     assert sorted(map(tuple, queries.op8_token_files(spark, sf).collect()), key=lambda r: r[1]) == want_tokens(rows)

@@ -164,8 +164,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
     """Encode every whole text and write the ids in ascending order of ids. The
     manifest: (part, file_no, path, n_docs, n_ids), in file order by (part,
     file_no). Null texts: no ids but the end id. Rows that repeat an id stay, next
-    to one another. Rows without an id come first, under the smallest integer.
-    An empty table: an empty manifest."""
+    to one another and in no fixed order, and may be dealt over several tasks. Rows
+    without an id come first, under the smallest integer. An empty table: an empty
+    manifest. Other columns are not read."""
     spark = docs.sparkSession
     prepare(spark)
     file_system(folder)[0].create_dir(file_system(folder)[1], recursive=True)
@@ -199,7 +200,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "file_no", "path", "n_docs", "n_ids"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(2 * width(spark), "id").sortWithinPartitions("id")
+    # The row's number splits the range of an id that many rows have.
+    rows = rows.withColumn("no", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(2 * width(spark), "id", "no").sortWithinPartitions("id", "no").select("id", "text")
     return written(dealt.mapInArrow(run, "part int, file_no int, path string, n_docs long, n_ids long"), "manifest")
 
 
@@ -237,6 +240,8 @@ def read_tokens(manifest: DataFrame, digest: bool = True) -> DataFrame:
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int | None = 2, byte_level: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write to a new folder in the shared one, and read back."""
+    """Write to a new folder in the shared one, and read back; see write_tokens for
+    what nulls, repeated ids and empty tables give. Rows come in any order; those
+    that repeat an id have a ``start`` each."""
     spark: SparkSession = docs.sparkSession
     return read_tokens(write_tokens(docs, tokenizer, new_folder(spark, "tokens"), end_id, byte_level, id_col, text_col))
