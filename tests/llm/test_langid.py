@@ -1,5 +1,8 @@
+import math
+import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,8 +18,6 @@ def test_features_and_unknown():
 
 
 def test_temperature_lowers_overconfidence():
-    import numpy as np
-
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 4000)
     z = np.zeros((4000, 2))
@@ -51,3 +52,97 @@ def test_held_out_accuracy(spark):
     assert {r.doc_id for r in got} == set(lang)
     own = [r for r in got if r.held_out]
     assert len(own) > 150 and sum(r.lang_pred == lang[r.doc_id] for r in own) >= 0.97 * len(own)
+
+
+def plain_features(text):
+    """{hash of an n-gram: count} by loops over a text's characters."""
+    t, out = text.lower(), {}
+    clean = []
+    for ch in t:
+        if ch.isalpha():
+            clean.append(ord(ch))
+        elif not clean or clean[-1] != 32:
+            clean.append(32)
+    c = ([] if clean[0] == 32 else [32]) + clean + ([] if clean[-1] == 32 else [32])
+    m = 0xFFFFFFFF
+    for i in range(len(c)):
+        g1 = c[i] * 0x9E3779B1 & m
+        grams = [g1]
+        if i + 1 < len(c):
+            g2 = ((g1 ^ 0x5BD1E995) * 0x85EBCA6B + c[i + 1] * 0xC2B2AE35) & m
+            grams.append(g2)
+        if i + 2 < len(c):
+            grams.append(((g2 ^ g2 >> 15) * 0x27D4EB2F + c[i + 2] * 0x165667B1) & m)
+        for g in grams:
+            k = ((g ^ g >> 13) * 0x9E3779B1 & m) >> 32 - langid.BITS
+            out[k] = out.get(k, 0) + 1
+    return out
+
+
+def test_features_against_plain_loops():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice("aBc é1 .,\n") for _ in range(rng.randint(1, 30))) + "x"
+        at, count = langid.features(text)
+        assert dict(zip(at.tolist(), count.tolist())) == plain_features(text)
+
+
+def plain_ftrl(rows, labels, k, d, epochs=3, alpha=0.5, beta=1.0, l1=0.002, l2=0.002):
+    z, n = [[0.0] * k for _ in range(d + 1)], [[0.0] * k for _ in range(d + 1)]
+
+    def weight(j, c):
+        a, b = (0.0, 0.0) if j == d else (l1, l2)
+        if abs(z[j][c]) <= a:
+            return 0.0
+        return -(z[j][c] - math.copysign(a, z[j][c])) / ((beta + math.sqrt(n[j][c])) / alpha + b)
+
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            x = dict(zip(*(a.tolist() for a in rows[i]))) | {d: 1.0}
+            w = {j: [weight(j, c) for c in range(k)] for j in x}
+            s = [sum(v * w[j][c] for j, v in x.items()) for c in range(k)]
+            e = [math.exp(v - max(s)) for v in s]
+            for j, v in x.items():
+                for c in range(k):
+                    g = v * (e[c] / sum(e) - (labels[i] == c))
+                    sigma = (math.sqrt(n[j][c] + g * g) - math.sqrt(n[j][c])) / alpha
+                    z[j][c] += g - sigma * w[j][c]
+                    n[j][c] += g * g
+    return np.array([[weight(j, c) for c in range(k)] for j in range(d + 1)])
+
+
+def test_ftrl_against_plain_loops():
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4)) for _ in range(60)]
+    labels = np.array([int(at[0]) % 3 for at, _ in rows])
+    for l1 in (0.002, 1.0):  # the second leaves weights at zero
+        w, bias = langid.ftrl(rows, labels, 3, 12, l1=l1)
+        assert np.allclose(np.vstack([w, bias]), plain_ftrl(rows, labels, 3, 12, l1=l1), atol=1e-12)
+        assert (w == 0).any() == (l1 == 1.0)
+
+
+@pytest.mark.parametrize("one_id", [7, None])
+def test_repeated_and_null_ids_are_sampled_like_any_other(spark, docs, one_id, monkeypatch):
+    rows = [(one_id, f"the cat and the dog number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", "en") for i in range(10_000)]
+    rows += [(one_id, f"le chat et le chien {chr(97 + i)}", "fr") for i in range(26)] + [(one_id, f"der Hund und die Katze {chr(97 + i % 20)}", "de") for i in range(4000)]
+    df = spark.createDataFrame([(i, t, g, "s", 0) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    sizes = {}
+    kept = langid.ftrl
+    monkeypatch.setattr(langid, "ftrl", lambda x, y, *a, **k: sizes.update(n=len(x), y=sorted(set(y.tolist()))) or kept(x, y, *a, **k))
+    model = langid.fit(df, F.lit(True), per_language=200)
+    assert model.languages == ["de", "en", "fr"] and sizes["y"] == [0, 1, 2]
+    assert 0.75 * 246 <= sizes["n"] <= 246
+    assert sum(model.predict(t)[0] == g for _, t, g in rows) >= 0.99 * len(rows)
+
+
+def test_hundreds_of_languages(spark):
+    rng = random.Random(4)
+    names = [f"l{i:03d}" for i in range(600)]
+    own = {g: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for g in names}
+    rows = [(i * 10 + k, " ".join(rng.choice(own[g]) for _ in range(12)), g) for i, g in enumerate(names) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(df, F.lit(True), per_language=6)
+    assert model.languages == names
+    right = sum(r.lang_pred == r.lang for r in langid.predict(df, model).join(df, "doc_id").collect())
+    assert right >= 0.95 * len(rows)

@@ -3,9 +3,11 @@ character n-grams, trained by follow-the-regularised-leader with elastic-net
 penalties, then temperature calibration.
 
 Document frequencies are counted over all training rows. The classifier is
-fitted on a sample bounded by PER_LANGUAGE rows a language (in expectation),
-chosen by a hash of the id; its features come to the driver as packed arrays. The
-model has a fixed size (FEATURES x languages), so it is broadcast.
+fitted on a sample of at most PER_LANGUAGE rows a language and about SAMPLE in
+all, those with the lowest hash of id and text; its features come to the driver as
+packed arrays. Every language of the training rows is learned, however many there
+are. The model holds the weights of the features in the sample, FEATURES x
+languages at most, so it is broadcast.
 """
 
 from __future__ import annotations
@@ -14,18 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import discard, prepare, written
 
 BITS = 16
 FEATURES = 1 << BITS
-#: Sampled training rows of a language, in expectation.
+#: Sampled training rows of a language, at most.
 PER_LANGUAGE = 1000
-#: A fit takes so many languages at most; the commonest.
-LANGUAGES = 512
-HELD_BACK = 5  # one in so many sampled rows is kept for the calibration
+#: Sampled training rows of all languages: with more than SAMPLE / PER_LANGUAGE languages each has an equal share, of one row at least.
+SAMPLE = 40_000
+HELD_BACK = 5  # each fifth sampled row of a language is kept for the calibration
 UNKNOWN = "und"
 
 _letters: list = []
@@ -74,12 +76,13 @@ def weighted(at: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
 class Model:
     languages: list[str]
     idf: np.ndarray
-    weights: np.ndarray  # FEATURES x languages
+    place: np.ndarray  # feature -> row of weights; the last row is zero
+    weights: np.ndarray  # features in the sample + 1, x languages
     bias: np.ndarray
     temperature: float
 
     def logits(self, at: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return weighted(at, count, self.idf) @ self.weights[at] + self.bias
+        return weighted(at, count, self.idf) @ self.weights[self.place[at]] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         f = features(text)
@@ -95,11 +98,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def ftrl(rows: list, labels: np.ndarray, n_classes: int, idf: np.ndarray, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
-    """FTRL-proximal, one row at a time in an order fixed by a seed; the bias has no penalty."""
-    z, n = np.zeros((FEATURES + 1, n_classes)), np.zeros((FEATURES + 1, n_classes))
-    penalty1 = np.full(FEATURES + 1, l1)[:, None]
-    penalty2 = np.full(FEATURES + 1, l2)[:, None]
+def ftrl(rows: list, labels: np.ndarray, n_classes: int, n_features: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
+    """FTRL-proximal over rows of (feature numbers, values), one row at a time in an
+    order fixed by a seed; the bias has no penalty."""
+    z, n = np.zeros((n_features + 1, n_classes)), np.zeros((n_features + 1, n_classes))
+    penalty1 = np.full(n_features + 1, l1)[:, None]
+    penalty2 = np.full(n_features + 1, l2)[:, None]
     penalty1[-1] = penalty2[-1] = 0
 
     def solve(at):
@@ -107,7 +111,7 @@ def ftrl(rows: list, labels: np.ndarray, n_classes: int, idf: np.ndarray, epochs
         w = -(zi - np.sign(zi) * penalty1[at]) / ((beta + np.sqrt(ni)) / alpha + penalty2[at])
         return np.where(np.abs(zi) <= penalty1[at], 0.0, w)
 
-    x = [(np.append(at, FEATURES), np.append(weighted(at, count, idf), 1.0)) for at, count in rows]
+    x = [(np.append(at, n_features), np.append(v, 1.0)) for at, v in rows]
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(x)):
@@ -120,7 +124,7 @@ def ftrl(rows: list, labels: np.ndarray, n_classes: int, idf: np.ndarray, epochs
             sigma = (np.sqrt(n[at] + g2) - np.sqrt(n[at])) / alpha
             z[at] += g - sigma * w
             n[at] += g2
-    w = solve(np.arange(FEATURES + 1))
+    w = solve(np.arange(n_features + 1))
     return w[:-1], w[-1]
 
 
@@ -144,53 +148,78 @@ def calibrated(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+def drawn(rows: DataFrame, per_language: int) -> tuple[DataFrame, int, dict[str, int]]:
+    """rows (id, text, lang) with ``draw``, a hash of id and text; each language's
+    share of the sample; and for each language a bound of draw that about twice as
+    many different rows, one at least, do not exceed."""
+    rows = rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "id", "text"), 2))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("n"), F.min("draw").alias("least")).orderBy("lang").collect()
+    top = 1 << 62
+    share = max(1, min(per_language, SAMPLE // max(1, len(counts))))
+    return rows, share, {r["lang"]: max(r["least"], min(top, 2 * share * (top // max(1, r["n"])))) for r in counts}
+
+
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Learn from the rows where ``train`` holds and the language is not null."""
+    """Learn from the rows where ``train`` holds and the language is not null.
+
+    The sample has ``per_language`` different rows of each language at most, all of
+    them where there are fewer; equal rows (id, text and language) count once in it,
+    so neither null nor repeated ids change its size. A null text or one without a
+    letter teaches nothing. No training rows: a model of no languages. Very long
+    texts count by the logarithm of their n-grams like any other. Other columns are
+    not read. The driver holds the sample's features (SAMPLE rows) and two numbers
+    for each of these and language.
+    """
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return Model([], np.ones(FEATURES), np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
-    languages = sorted(r["lang"] for r in counts)
-    chance = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / (1 << 30)
-    picked = F.coalesce(draw < chance[F.col("lang")], F.lit(False))
+    rows = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows, share, bound = drawn(rows, per_language)
+    if not bound:
+        return Model([], np.ones(FEATURES), np.zeros(FEATURES, np.int64), np.zeros((1, 0)), np.zeros(0), 1.0)
+    languages = sorted(bound)
+    limits = spark.sparkContext.broadcast(bound)  # a number a language
 
     def run(batches):
-        seen, n = np.zeros(FEATURES, np.int64), 0
+        seen, n, taken = np.zeros(FEATURES, np.int64), 0, set()
         for b in batches:
             out = []
-            for i, text, lang, pick in zip(*(c.to_pylist() for c in b.columns)):
+            for text, lang, draw in zip(*(c.to_pylist() for c in b.columns)):
                 f = features(text)
                 if f is None:
                     continue
                 seen[f[0]] += 1
                 n += 1
-                if pick:
-                    out.append((i, lang, f[0].astype("<u4").tobytes(), f[1].astype("<u4").tobytes()))
+                if draw <= limits.value[lang] and (lang, draw) not in taken:
+                    taken.add((lang, draw))
+                    out.append((draw, lang, f[0].astype("<u4").tobytes(), f[1].astype("<u4").tobytes()))
             if out:
-                i, lang, at, count = zip(*out)
+                draw, lang, at, count = zip(*out)
                 k = len(out)
-                yield pa.RecordBatch.from_arrays([pa.array([-1] * k), pa.array([0] * k), pa.array(i, pa.int64()), pa.array(lang), pa.array(at, pa.binary()), pa.array(count, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([-1] * k), pa.array([0] * k), pa.array(draw, pa.int64()), pa.array(lang), pa.array(at, pa.binary()), pa.array(count, pa.binary())], names)
         at = np.append(np.flatnonzero(seen), FEATURES)
         k = len(at)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(seen[at[:-1]], n)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names)
 
-    names = ["feature", "df", "id", "lang", "at", "count"]
-    found = written(rows.select(F.col("id").cast("long"), "text", "lang", picked.alias("pick")).mapInArrow(run, "feature long, df long, id long, lang string, at binary, count binary"), "features")
+    names = ["feature", "df", "draw", "lang", "at", "count"]
+    found = written(rows.select("text", "lang", "draw").mapInArrow(run, "feature long, df long, draw long, lang string, at binary, count binary"), "features")
     df = np.zeros(FEATURES + 1, np.int64)
     for r in found.where("feature >= 0").groupBy("feature").agg(F.sum("df").alias("df")).collect():
         df[r["feature"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    x, y = [], []
-    for r in found.where("feature < 0").select("id", "lang", "at", "count").orderBy("id", "lang").toLocalIterator():
+    first = Window.partitionBy("lang").orderBy("draw")
+    sample = found.where("feature < 0").dropDuplicates(["lang", "draw"]).withColumn("no", F.row_number().over(first)).where(F.col("no") <= share)
+    x, y, back, number = [], [], [], {lang: k for k, lang in enumerate(languages)}
+    for r in sample.select("draw", "lang", "at", "count", "no").orderBy("draw", "lang").toLocalIterator():
         x.append((np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["count"], "<u4")))
-        y.append(languages.index(r["lang"]))
-    y = np.array(y, np.int64)
-    back = np.arange(len(y)) % HELD_BACK == HELD_BACK - 1
-    w, bias = ftrl([f for f, b in zip(x, back) if not b], y[~back], len(languages), idf)
-    model = Model(languages, idf, w, bias, 1.0)
+        y.append(number[r["lang"]])
+        back.append(r["no"] % HELD_BACK == 0)
+    discard(found)
+    used = np.unique(np.concatenate([f[0] for f in x])) if x else np.empty(0, np.int64)
+    place = np.full(FEATURES, len(used), np.int64)
+    place[used] = np.arange(len(used))
+    y, back = np.array(y, np.int64), np.array(back, bool)
+    w, bias = ftrl([(place[at], weighted(at, count, idf)) for (at, count), b in zip(x, back) if not b], y[~back], len(languages), len(used))
+    model = Model(languages, idf, place, np.append(w, np.zeros((1, len(languages))), axis=0), bias, 1.0)
     logits = np.array([model.logits(*f) for f, b in zip(x, back) if b]).reshape(-1, len(languages))
     model.temperature = calibrated(logits, y[back])
     return model
@@ -215,7 +244,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def identified(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that have a letter and whose language has a
     probability of ``min_score`` or more. Rows are judged one by one in their own
-    tasks; nothing is shuffled."""
+    tasks; nothing is shuffled. Null texts and texts without a letter go, with a
+    model of no languages all rows do. Null and repeated ids make no difference. An
+    empty table gives an empty table. Columns of docs may have any name."""
     prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
