@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from weftline.llm import decontaminate as D
@@ -93,3 +95,52 @@ def test_copies_with_every_fourth_or_fifth_word_replaced(spark, docs):
         rows.append((k, " ".join(["before"] * 20 + copy + ["after"] * 20)))
     assert set(found(docs(rows), items(spark, bench))) == {(i, i) for i, _ in rows}
     assert D.clean(docs(rows), items(spark, bench)).count() == 0
+
+
+def test_items_of_one_and_two_words_in_long_texts(spark, docs):
+    text = "look at seven wizards watching a zebra now today"
+    bench = [(1, "seven wizards"), (2, "zebra"), (3, "seven wizards watching"), (4, "wizards seven"), (5, "look at"), (6, "$$ !"), (7, "today")]
+    got = found(docs([(1, text), (2, "seven wizards"), (3, "a zebra"), (4, "Seven. Wizards " + "word " * 50_000)]), items(spark, bench))
+    assert got == {(d, i): 1.0 for d, i in [(1, 1), (1, 2), (1, 3), (1, 5), (1, 7), (2, 1), (3, 2), (4, 1)]}
+
+
+def plain_found(texts, bench):
+    """The best alignment of each item with each whole text, without seeds."""
+    out = set()
+    for d, t in texts:
+        for i, b in bench:
+            vocab = {}
+            x, y = ([vocab.setdefault(w, len(vocab)) for w in D.words(s)] for s in (b, t))
+            if x and y and D.align(np.array(x), np.array(y))[0] >= D.least_score(len(x)):
+                out.add((d, i))
+    return out
+
+
+def edited(rng, words, share):
+    out = []
+    for w in words:
+        kind = rng.random() / share if share else 9
+        if kind < 0.6:
+            out.append(f"new{rng.randint(0, 10**6)}")
+        elif kind < 0.8:
+            out += [w, f"more{rng.randint(0, 10**6)}"]
+        elif kind >= 1:
+            out.append(w)
+    return out
+
+
+def test_recall_on_edited_copies(spark, docs):
+    """Against alignment of every pair: nothing more, and nine in ten or more at each share of edited words."""
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(60)]
+    bench = [(k, " ".join(rng.choice(common) if rng.random() < 0.3 else f"i{k}w{p}" for p in range(rng.randint(6, 40)))) for k in range(30)]
+    texts = []
+    for share in (0.0, 0.1, 0.2, 0.3):
+        for k, b in bench:
+            noise = [rng.choice(common) for _ in range(60)]
+            texts.append((len(texts), " ".join(noise[:30] + edited(rng, b.split(), share) + noise[30:])))
+    got, want = set(found(docs(texts), items(spark, bench))), plain_found(texts, bench)
+    assert got <= want and len(want) > 100
+    for s in range(4):
+        own = {p for p in want if p[0] // 30 == s}
+        assert len(own & got) >= 0.9 * len(own), (s, len(own & got), len(own))

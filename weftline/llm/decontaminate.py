@@ -5,7 +5,8 @@ items, then Smith-Waterman alignment scores exact, edited and paraphrased copies
    broadcast has a fixed bound whatever the benchmark's size; each block is held
    against all documents.
 2. Seeds: every n-gram of an item, however often documents hold it. A copy with N
-   successive words intact anywhere holds a seed.
+   successive words intact anywhere holds a seed. An item of fewer words is one
+   seed of its own length, looked up in every document.
 3. One pass looks the seeds up in each document. Hits of an item that lie on near
    diagonals form one passage. A passage with fewer words of the item than the
    least score asks for cannot reach it; the others are aligned word by word.
@@ -30,8 +31,8 @@ BLOCK_NGRAMS = 200_000
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Least alignment score, as a share of the score of a full copy.
 MIN_SCORE = 0.45
-#: Items of fewer words than this share words with any text by chance; they are only found as whole copies.
-SHORT = 8
+#: Texts share a few words by chance, so an alignment must also be worth so many matched words, or the whole item where it has no more.
+MIN_WORDS = 5
 
 WORD = re.compile(r"\w+")
 
@@ -40,6 +41,11 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def least_score(n: int) -> float:
+    """What an alignment with an item of n words must reach."""
+    return max(MIN_SCORE * MATCH * n, MATCH * min(n, MIN_WORDS))
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     """Smith-Waterman with linear gaps: (score, begin, end) of the best local
     alignment's place in the passage."""
@@ -79,19 +85,19 @@ class Block:
             for p, g in enumerate(self.keys(x).tolist()):
                 self.seeds[self.grams.setdefault(g, len(self.grams))].append((k, p))
         self.of_item = [np.unique(x) for _, x in self.items]
+        self.lengths = sorted({min(N, len(x)) for _, x in self.items})
         self.sorted = np.array(sorted(self.grams), np.int64)
         self.number = np.array([self.grams[g] for g in self.sorted.tolist()], np.int64)
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
-        """n-grams of word ids as one number each; short texts: padded to one n-gram."""
-        if not len(x):
+    def keys(self, x: np.ndarray, n: int = N) -> np.ndarray:
+        """n-grams of word ids as one number each, apart from those of any other n; a
+        text of fewer words is one n-gram of its own length."""
+        n = min(n, len(x))
+        if not n:
             return np.empty(0, np.int64)
-        if len(x) < N:
-            x = np.append(x, [-1] * (N - len(x)))
-        base = np.int64(1 << 20)
-        key = np.zeros(len(x) - N + 1, np.int64)
-        for k in range(N):
-            key = key * base + x[k:len(x) - N + 1 + k] + 1
+        key = np.zeros(len(x) - n + 1, np.int64)
+        for k in range(n):
+            key = key * np.int64(1 << 20) + x[k:len(x) - n + 1 + k] + 1
         return key
 
     def ids(self, ws: list[str]) -> np.ndarray:
@@ -100,20 +106,21 @@ class Block:
 
     def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in x of the block's n-grams, and which these are."""
-        if len(x) < N or not len(self.sorted):
-            short = self.keys(x)[:1] if len(x) and len(self.sorted) else np.empty(0, np.int64)
-            at = np.flatnonzero(np.isin(short, self.sorted))
-            return at, self.number[np.searchsorted(self.sorted, short[at])]
-        whole = np.ones(len(x) - N + 1, bool)
-        for k in range(N):
-            whole &= x[k:len(x) - N + 1 + k] >= 0
-        at = np.flatnonzero(whole)
-        key = np.zeros(len(at), np.int64)
-        for k in range(N):
-            key = key * np.int64(1 << 20) + x[at + k] + 1
-        i = np.minimum(np.searchsorted(self.sorted, key), len(self.sorted) - 1)
-        found = self.sorted[i] == key
-        return at[found], self.number[i[found]]
+        at, gram = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for n in self.lengths:
+            if len(x) < n:
+                continue
+            whole = np.ones(len(x) - n + 1, bool)
+            for k in range(n):
+                whole &= x[k:len(x) - n + 1 + k] >= 0
+            p = np.flatnonzero(whole)
+            key = np.zeros(len(p), np.int64)
+            for k in range(n):
+                key = key * np.int64(1 << 20) + x[p + k] + 1
+            i = np.minimum(np.searchsorted(self.sorted, key), len(self.sorted) - 1)
+            found = self.sorted[i] == key
+            at.append(p[found]), gram.append(self.number[i[found]])
+        return np.concatenate(at), np.concatenate(gram)
 
     def matches(self, x: np.ndarray):
         """(item_id, score, begin, end) of the best passage for each item met."""
@@ -125,24 +132,25 @@ class Block:
         for k, diagonals in met.items():
             item_id, item = self.items[k]
             n, best = len(item), (0.0, 0, 0)
-            least = MIN_SCORE if n >= SHORT else 1.0
+            least = least_score(n)
             span = None
             for d in sorted(diagonals) + [None]:
                 if span is not None and (d is None or d > span[1] + n):
                     lo, hi = max(0, span[0] - n // 2), min(len(x), span[1] + n + n // 2)
                     shared = np.count_nonzero(np.isin(x[lo:hi], self.of_item[k]))  # the score is no higher
-                    s, b, e = align(item, x[lo:hi]) if MATCH * shared >= least * MATCH * n else best
+                    s, b, e = align(item, x[lo:hi]) if MATCH * shared >= least else best
                     if s > best[0]:
                         best = (s, lo + b, lo + e)
                     span = None
                 if d is not None:
                     span = (d if span is None else span[0], d)
-            if best[0] >= least * MATCH * n:
+            if best[0] >= least:
                 yield item_id, best[0] / (MATCH * n), best[1], best[2]
 
 
 def blocks(benchmark: DataFrame, item_id: str, item_text: str):
-    """Blocks of items, read one after another; the driver holds one block."""
+    """Blocks of items, read one after another; the driver holds one block. An item
+    is never divided: one of more than BLOCK_NGRAMS words is a block by itself."""
     held, grams = [], 0
     for r in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null").orderBy("i").toLocalIterator():
         ws = words(r["t"])
@@ -173,8 +181,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     item_id, score (0 to 1, the alignment's score as a share of a full copy's),
     begin_word and end_word (the passage, in words of letters and digits).
 
-    Null or empty texts and items, and items without an id, match nothing. Rows
-    without an id are left out, rows that repeat an id are judged one by one and
+    A copy is an alignment worth MIN_SCORE of a full copy's score and MIN_WORDS
+    matched words (items of no more words: the whole item). Null or empty texts and
+    items, items without a letter or digit and items without an id match nothing.
+    Texts of any length are searched whole. Rows without an id are left out, rows that repeat an id are judged one by one and
     equal findings of theirs are one row. Items that repeat an id are judged one
     by one. Empty tables give an empty table. Other columns are not read.
     """
@@ -196,8 +206,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that hold no copy of a test item. Rows are
-    judged one by one in their own tasks; nothing is shuffled."""
+    """The rows of docs, all columns, that hold no copy of a test item, by the rule of
+    ``contaminated``. Rows are judged one by one in their own tasks; nothing is
+    shuffled. Null and empty texts stay, and so do all rows where there are no
+    items. Null and repeated ids make no difference. An empty table gives an empty
+    table. Columns of docs may have any name."""
     at, out = docs.columns.index(text_col), docs
     for chosen in seeded(docs, benchmark, item_id, item_text):
 
