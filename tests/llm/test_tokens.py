@@ -154,6 +154,53 @@ def test_rounds_join_what_partitions_leave(spark):
     assert len({r.sequence_id for r in packing.pack(p).collect()}) == 16
 
 
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def plain_best_fit(lengths, capacity):
+    """Best-fit decreasing, bin by bin: how many bins it takes."""
+    free = []
+    for n in sorted(lengths, reverse=True):
+        fits = [(r, i) for i, r in enumerate(free) if r >= n]
+        if fits:
+            free[min(fits)[1]] -= n
+        else:
+            free.append(capacity - n)
+    return len(free)
+
+
+def test_best_fit_against_a_plain_version():
+    rng = np.random.default_rng(6)
+    for n, top in ((0, 9), (1, 9), (500, 2048), (500, 300), (800, 1200)):
+        length = rng.integers(1, top + 1, n)
+        where, offset, fill = packing.best_fit(length, 2048)
+        assert len(fill) == plain_best_fit(length.tolist(), 2048)
+        for b in range(len(fill)):
+            own = np.flatnonzero(where == b)
+            own = own[np.argsort(offset[own])]
+            assert offset[own].tolist() == [0, *np.cumsum(length[own])[:-1].tolist()] and length[own].sum() == fill[b] <= 2048
+
+
+@pytest.mark.parametrize("items", [500_000, 300])
+def test_rounds_against_best_fit_of_all(spark, monkeypatch, items):
+    """Few items a task, over many partitions: within one in a hundred of best-fit over all of them."""
+    monkeypatch.setattr(packing, "ITEMS", items)
+    rng = np.random.default_rng(7)
+    length = np.concatenate([rng.integers(1, 900, 6000), rng.integers(900, 2049, 2000), np.full(2000, 3)])
+    p = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(length.tolist())], PIECES).repartition(64)
+    got = packing.pack(p).collect()
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert len(got) == len(length) and len(bins) <= 1.01 * plain_best_fit(length.tolist(), 2048)
+
+
 def test_packing_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in queries.documents(spark, sf).collect()]
     n, least = check_packing(rows, queries.op7_best_fit_packing(spark, sf).collect())

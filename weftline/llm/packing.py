@@ -3,12 +3,16 @@
 Hierarchical residual packing: each partition packs its pieces best-fit
 decreasing and emits nearly full bins; underfull bins become the items of the
 next round over fewer partitions, until one partition is left. A bin that no
-remaining item fits is emitted as well, so what a round passes on is little.
-Plans hold ids, lengths and places only, never texts.
+remaining item fits is emitted as well, so what a round passes on is little. A
+task packs ITEMS items at a time, and a round has a partition for each ITEMS of
+them, so no task grows with the input; where rounds of more than one partition
+stop saving bins, the packing is done. Plans hold ids, lengths and places only,
+never texts.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -23,6 +27,10 @@ from .tokens import encoder
 NEARLY = 1 / 256
 #: Partitions of one round that meet in one of the next.
 FAN_IN = 8
+#: Items that a task holds and packs together.
+ITEMS = 500_000
+#: Rounds over several partitions go on while each saves this share of its bins.
+GAIN = 1 / 200
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, byte_level: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,45 +84,58 @@ def best_fit(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def packed_once(items: DataFrame, capacity: int, round_no: int) -> DataFrame:
-    """items (item, length) -> (item, bin, at, fill), each partition on its own."""
+    """items (item, length) -> (item, bin, at, fill), ITEMS of each partition at a time."""
+    most = ITEMS
 
     def run(batches):
         from pyspark import TaskContext
 
-        got = [(b.column(0), b.column(1)) for b in batches if b.num_rows]
-        if not got:
-            return
-        length = np.concatenate([x[1].to_numpy() for x in got])
-        where, at, fill = best_fit(length, capacity)
-        base = (round_no << 56) + (TaskContext.get().partitionId() << 32)
-        i = 0
-        for item, _ in got:
-            n = len(item)
-            w = where[i:i + n]
-            yield pa.RecordBatch.from_arrays([item, pa.array(base + w), pa.array(at[i:i + n]), pa.array(fill[w])], ["item", "bin", "at", "fill"])
-            i += n
+        base, got, held = (round_no << 56) + (TaskContext.get().partitionId() << 32), [], 0
+        for b in itertools.chain(batches_of(batches, most), [None]):
+            if got and (b is None or held + b.num_rows > most):
+                where, at, fill = best_fit(np.concatenate([x.column(1).to_numpy() for x in got]), capacity)
+                i = 0
+                for x in got:
+                    w = where[i:i + x.num_rows]
+                    yield pa.RecordBatch.from_arrays([x.column(0), pa.array(base + w), pa.array(at[i:i + x.num_rows]), pa.array(fill[w])], ["item", "bin", "at", "fill"])
+                    i += x.num_rows
+                base, got, held = base + len(fill), [], 0
+            if b is not None:
+                got.append(b)
+                held += b.num_rows
 
     kind = items.schema["item"].dataType.simpleString()
     return items.mapInArrow(run, f"item {kind}, bin long, at long, fill long")
 
 
+def batches_of(batches, most: int):
+    for b in batches:
+        for i in range(0, b.num_rows, most):
+            yield b.slice(i, most)
+
+
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32; lengths from 1 to
-    capacity) plus sequence_id and offset. Equal rows are packed one by one. An
-    empty table gives an empty table."""
+    capacity) plus sequence_id and offset. Equal rows are packed one by one, null
+    ids like any other. An empty table gives an empty table."""
     item = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
     first = written(packed_once(pieces.select(item.alias("item"), "length"), capacity, 0).select("item.*", "bin", "at", "fill"), "bins")
     full = capacity - int(capacity * NEARLY)
     left = first.where(F.col("fill") < full).select("bin", "fill").distinct()
     moves = None  # first bin -> bin so far, its offset there
     round_no, tasks = 0, max(1, first.rdd.getNumPartitions())
+    before = None  # items of the round before, and its partitions
     while True:
         left = written(left, "left")
         least = left.agg(F.min("fill")).first()[0]
         if least is None:
             break
         left = left.where(F.lit(capacity) - F.col("fill") >= least)
-        round_no, tasks = round_no + 1, max(1, tasks // FAN_IN)
+        n = left.count()
+        round_no, tasks = round_no + 1, max(-(-n // ITEMS), tasks // FAN_IN, 1)
+        if before and tasks >= before[1] and n > before[0] * (1 - GAIN):
+            break
+        before = n, tasks
         step = written(packed_once(left.select(F.col("bin").alias("item"), F.col("fill").alias("length")).coalesce(tasks), capacity, round_no), "step")
         if moves is None:
             moves = step.select(F.col("item").alias("bin0"), "bin", "at")
@@ -133,6 +154,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def sequences(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, byte_level: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents to packed pieces; see token_pieces and pack. Columns of docs
-    other than the two named are not read."""
+    """Documents to packed pieces, one row a piece; see token_pieces and pack for
+    what nulls, repeated rows, very long texts and empty tables give. Columns of
+    docs other than the two named are not read."""
     return pack(written(token_pieces(docs, tokenizer, capacity, end_id, byte_level, id_col, text_col), "pieces"), capacity)
