@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from weftline.llm import queries, repeats
 
@@ -63,6 +64,26 @@ def test_hot_phrase_over_several_shards(docs, monkeypatch):
     assert run(docs(rows)) == plain(rows)
 
 
+def test_one_phrase_of_very_many_windows(spark, docs):
+    """A phrase in 2,600 different contexts, each in two documents: no automaton
+    outgrows its bound, and the result is the plain one."""
+    rng = np.random.default_rng(3)
+    tries = rng.integers(0, 1 << 60, 160_000).astype(np.uint64)
+    h = repeats.stretch_hashes(repeats.word_hashes([b"p%d" % x for x in tries.tolist()]), repeats.PHRASE)
+    at = int(h.argmin())  # so low that every window with it is filed under it
+    phrase = [f"p{x}" for x in tries[at:at + repeats.PHRASE].tolist()]
+    rows = []
+    for k in range(2600):
+        body = [f"a{k}_{j}" for j in range(42)] + phrase + [f"b{k}_{j}" for j in range(42)]
+        rows += [(2 * k, " ".join(body)), (2 * k + 1, f"other{k} " + " ".join(body))]
+    df = docs(rows)
+    found = repeats.written(repeats.profile(df, 50, "doc_id", "text"), "profile")
+    _, dealt = repeats.dealt_stretches(df, found, 50, "doc_id", "text")
+    sizes = [r.n for r in dealt.where("kind = 0").groupBy("shard").agg(F.sum(F.size(F.split(F.col("words").cast("string"), " ")) - 49).alias("n")).collect()]
+    assert sum(sizes) >= 100_000 and max(sizes) <= repeats.SHARD_WINDOWS and len(sizes) > 10
+    assert run(df) == plain(rows)
+
+
 def test_repeated_and_missing_ids(docs):
     t = " ".join(f"w{i}" for i in range(60))
     got = repeats.remove_repeats(docs([(1, t), (1, t), (2, t + " more"), (None, t)])).collect()

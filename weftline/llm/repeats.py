@@ -11,12 +11,17 @@ also start in a document with a smaller id are removed.
 3. Confirmation: windows under the other phrases are counted by hash with the
    smallest and the largest id; those of two documents are recurring passages.
    Their words are taken from the document with the smallest id.
-4. Passages are dealt into shards by phrase. Each shard compiles Aho-Corasick
-   automata over the passages' words, SHARD_WINDOWS windows at a time, and all
-   stretches of documents filed under its phrases are streamed through, which
-   finds every occurrence by the words themselves.
-5. A phrase of more than HOT documents is dealt over several shards: its passages
-   go to each of these, its stretches to one.
+4. Passages are dealt into shards by phrase. A shard compiles an Aho-Corasick
+   automaton over its passages' words, and all stretches of documents filed under
+   its phrase are streamed through, which finds every occurrence by the words
+   themselves. A task holds one automaton at a time.
+5. A phrase of more than HOT documents is dealt over several shards by document:
+   its passages go to each of these, its stretches to one.
+6. A wide phrase, one of more than SHARD_WINDOWS / 2 different recurring windows,
+   is dealt by window hash too, into shards of about that many windows, so no
+   automaton outgrows SHARD_WINDOWS. Its stretches go to the shards of their own
+   windows. A shard of a wide phrase has up to SHARD_WINDOWS / 2 documents, so that
+   dealing by document does not multiply its passages.
 
 Texts are shuffled once to meet their recurring phrases; after that only the
 documents that have any go on. Aggregates combine before they shuffle, and joins
@@ -38,6 +43,7 @@ from .common import prepare, text_bytes, width, written
 
 PHRASE = 8
 HOT = 256
+#: Windows of an automaton. Their words are numbered by characters, and 50 words each are fewer than there are characters.
 SHARD_WINDOWS = 8_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -112,10 +118,9 @@ def skip_empty(run):
     return lambda batches: run(b for b in batches if b.num_rows)
 
 
-def removed_spans(docs: DataFrame, found: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(the documents with recurring phrases: id, text_hash, text; spans of words
-    to remove from these: id, text_hash, spans array of (begin, end))."""
-    spark = docs.sparkSession
+def dealt_stretches(docs: DataFrame, found: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(the documents with recurring phrases: id, text_hash, text; what shards
+    hold: shard, kind (0: passage, 1: stretch), id, text_hash, at, words)."""
     long = found.where(F.col("n_words") >= window)
     first = long.groupBy("text_hash").agg(F.min("id").alias("id"))
     own = written(long.select("id", "text_hash", "phrases", "lo", "hi").join(first, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]), "own")
@@ -140,73 +145,127 @@ def removed_spans(docs: DataFrame, found: DataFrame, window: int, id_col: str, t
 
     windows = met.select("id", "text_hash", "text", "runs").mapInArrow(hashes, "phrase long, h long, id long, at int")
     passages = windows.groupBy("phrase", "h").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.min_by("at", "id").alias("at")).where("id < last")
+    passages = written(passages.select("phrase", "id", "at"), "passages")
     starts = written(passages.groupBy("id").agg(F.collect_list("at").alias("starts")), "starts")
-    n_passages = starts.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
-    shards = max(width(spark), -(-n_passages // SHARD_WINDOWS))
+    # (id, text_hash, wide): how many windows the wide ones among a document's phrases have; as a rule none has any.
+    counted = passages.groupBy("phrase").agg(F.count("*").alias("windows")).where(F.col("windows") > SHARD_WINDOWS // 2)
+    counted = written(counted, "wide")
+    if counted.isEmpty():
+        known = met.join(starts, "id", "left").withColumn("wide", F.lit(None).cast("map<long,long>"))
+    else:
+        of_wide = met.select("id", "text_hash", F.explode("runs.phrase").alias("phrase")).distinct().join(counted, "phrase")
+        of_wide = written(of_wide.groupBy("id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("phrase", "windows"))).alias("wide")), "of_wide")
+        known = met.join(starts, "id", "left").join(of_wide, ["id", "text_hash"], "left")
+    hot, part = HOT, SHARD_WINDOWS // 2
 
     def deal(batches):
         for b in batches:
             rows = []
-            for i, th, text, runs, known in zip(*(b.column(c).to_pylist() for c in ("id", "text_hash", "text", "runs", "starts"))):
+            for i, th, text, runs, known, wide in zip(*(b.column(c).to_pylist() for c in ("id", "text_hash", "text", "runs", "starts", "wide"))):
                 ws = text.split()
                 if xxhash.xxh3_128_digest(b" ".join(ws)) != th:
                     continue
-                known = np.array(sorted(known or []), np.int64)
+                known, wide = np.array(sorted(known or []), np.int64), dict(wide or [])
+                h = stretch_hashes(word_hashes(ws), window) if wide else None
+                mix = xxhash.xxh64_intdigest(str(i)) >> 8
                 for r in runs:
-                    lo, hi, spread = r["lo"], r["hi"], -(-r["n"] // HOT)
-                    to = [xxhash.xxh64_intdigest(f"{r['phrase']} {s}") % shards for s in range(spread)]
-                    rows.append((to[i % spread], 1, i, th, lo, b" ".join(ws[lo:hi + window])))
+                    lo, hi, phrase = r["lo"], r["hi"], r["phrase"]
                     own = known[np.searchsorted(known, lo):np.searchsorted(known, hi, "right")]
-                    if len(own):
-                        for part in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
-                            p, q = int(part[0]), int(part[-1])
-                            rows += [(t, 0, i, th, p, b" ".join(ws[p:q + window])) for t in sorted(set(to))]
+                    if phrase not in wide:
+                        spread = -(-r["n"] // hot)
+                        rows.append((shard_of(phrase, 0, mix % spread), 1, i, th, lo, b" ".join(ws[lo:hi + window])))
+                        if len(own):
+                            for piece in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
+                                p, q = int(piece[0]), int(piece[-1])
+                                rows += [(shard_of(phrase, 0, s), 0, i, th, p, b" ".join(ws[p:q + window])) for s in range(spread)]
+                        continue
+                    cuts, spread = -(-wide[phrase] // part), -(-r["n"] // part)
+                    to = (h[lo:hi + 1] % np.uint64(cuts)).astype(np.int64)
+                    words = b" ".join(ws[lo:hi + window])
+                    rows += [(shard_of(phrase, c, mix % spread), 1, i, th, lo, words) for c in np.unique(to).tolist()]
+                    for p in own.tolist():
+                        words = b" ".join(ws[p:p + window])
+                        rows += [(shard_of(phrase, int(to[p - lo]), s), 0, i, th, p, words) for s in range(spread)]
+                if len(rows) > 10_000:
+                    yield dealt_rows(rows)
+                    rows = []
             if rows:
-                cols = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()))], ["shard", "kind", "id", "text_hash", "at", "words"])
+                yield dealt_rows(rows)
 
-    def locate(batches):
-        import ahocorasick
+    dealt = known.select("id", "text_hash", "text", "runs", "starts", "wide").mapInArrow(deal, "shard long, kind int, id long, text_hash binary, at int, words binary")
+    return met.select("id", "text_hash", "text"), dealt
+
+
+def removed_spans(docs: DataFrame, found: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(the documents with recurring phrases: id, text_hash, text; spans of words
+    to remove from these: id, text_hash, spans array of (begin, end))."""
+    spark = docs.sparkSession
+    met, dealt = dealt_stretches(docs, found, window, id_col, text_col)
 
-        shard, machine, letters, ready = None, None, {}, False
+    def locate(batches):
+        shard, machine = None, None
         for b in batches:
             rows = []
             for s, kind, i, th, at, words in zip(*(c.to_pylist() for c in b.columns)):
                 if s != shard:
-                    shard, machine, letters, ready = s, ahocorasick.Automaton(), {}, False
+                    shard, machine = s, Machine(window)
                 ws = words.split(b" ")
                 if kind == 0:
-                    text = "".join(letter(letters.setdefault(w, len(letters))) for w in ws)
-                    for k in range(len(text) - window + 1):
-                        machine.add_word(text[k:k + window], i)
-                    continue
-                if not ready:
-                    ready = True
-                    if len(machine):
-                        machine.make_automaton()
-                if not len(machine):
+                    machine.add(ws, i)
                     continue
-                text = "".join(letter(letters.get(w, -1)) for w in ws)
-                span = None
-                for end, first in machine.iter(text):
-                    if first < i:
-                        x, y = at + end - window + 1, at + end + 1
-                        if span and x <= span[1]:
-                            span[1] = y
-                        else:
-                            if span:
-                                rows.append((i, th, *span))
-                            span = [x, y]
-                if span:
-                    rows.append((i, th, *span))
+                rows += [(i, th, at + x, at + y) for x, y in machine.spans(ws, i)]
             if rows:
                 cols = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32()))], ["id", "text_hash", "begin", "end"])
 
-    dealt = met.join(starts, "id", "left").select("id", "text_hash", "text", "runs", "starts").mapInArrow(deal, "shard long, kind int, id long, text_hash binary, at int, words binary")
     dealt = dealt.repartition(4 * width(spark), "shard").sortWithinPartitions("shard", "kind")
     spans = dealt.mapInArrow(locate, "id long, text_hash binary, begin int, end int")
-    return met.select("id", "text_hash", "text"), spans.groupBy("id", "text_hash").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return met, spans.groupBy("id", "text_hash").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+
+
+def shard_of(phrase: int, cut: int, part: int) -> int:
+    return xxhash.xxh64_intdigest(f"{phrase} {cut} {part}") >> 1
+
+
+def dealt_rows(rows: list) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["shard", "kind", "id", "text_hash", "at", "words"])
+
+
+class Machine:
+    """An Aho-Corasick automaton over the words of a shard's windows. Passages are
+    added before the first stretch is searched."""
+
+    def __init__(self, window: int):
+        import ahocorasick
+
+        self.window, self.machine, self.letters, self.ready = window, ahocorasick.Automaton(), {}, False
+
+    def add(self, words: list[bytes], first: int) -> None:
+        number = self.letters.setdefault
+        text = "".join(letter(number(w, len(self.letters))) for w in words)
+        for k in range(len(text) - self.window + 1):
+            self.machine.add_word(text[k:k + self.window], first)
+
+    def spans(self, words: list[bytes], own: int):
+        """(begin, end) of words under windows whose first document comes before ``own``."""
+        if not len(self.machine):
+            return
+        if not self.ready:
+            self.machine.make_automaton()
+            self.ready = True
+        text, span = "".join(letter(self.letters.get(w, -1)) for w in words), None
+        for end, first in self.machine.iter(text):
+            if first < own:
+                x, y = end - self.window + 1, end + 1
+                if span and x <= span[1]:
+                    span[1] = y
+                else:
+                    if span:
+                        yield span
+                    span = [x, y]
+        if span:
+            yield span
 
 
 def letter(i: int) -> str:
