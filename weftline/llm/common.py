@@ -14,17 +14,23 @@ BATCH_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches of whole texts small enough for a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keep Arrow batches of whole texts small enough for a Python worker: lowers
+    the session's batch size to BATCH_ROWS where it is higher. Results are computed
+    later, so the setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's
-    ``spark.checkpoint.dir``. Only where that is unset (local runs and tests),
-    a temporary folder is set in its place."""
+    ``spark.checkpoint.dir``. Only where that is unset in a local run, as in tests,
+    a temporary folder is set in its place; a cluster without it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -46,11 +52,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a written table that nothing reads any more."""
-    spark, path = df.sparkSession, df.written_to
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def width(spark: SparkSession) -> int:
@@ -85,7 +92,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         else:
             out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         out = written(out.where("u <> v").distinct(), "star")
-        discard(least), discard(e)
+        discard(least, e)
         return out
 
     e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")

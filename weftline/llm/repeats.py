@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_bytes, width, written
+from .common import discard, prepare, text_bytes, width, written
 
 PHRASE = 8
 HOT = 256
@@ -128,7 +128,9 @@ def dealt_stretches(docs: DataFrame, found: DataFrame, window: int, id_col: str,
     often = written(often, "often")
     runs = own.select("id", "text_hash", F.explode(F.arrays_zip("phrases", "lo", "hi")).alias("r")).select("id", "text_hash", F.col("r.phrases").alias("phrase"), F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
     listed = runs.join(often, "phrase").groupBy("id", "text_hash").agg(F.collect_list(F.struct("phrase", "n", "lo", "hi")).alias("runs"))
-    met = written(source(docs, id_col, text_col).join(written(listed, "listed"), "id"), "met")
+    listed = written(listed, "listed")
+    met = written(source(docs, id_col, text_col).join(listed, "id"), "met")
+    discard(own, often, listed)
 
     def hashes(batches):
         for b in batches:
@@ -150,6 +152,7 @@ def dealt_stretches(docs: DataFrame, found: DataFrame, window: int, id_col: str,
     # (id, text_hash, wide): how many windows the wide ones among a document's phrases have; as a rule none has any.
     counted = passages.groupBy("phrase").agg(F.count("*").alias("windows")).where(F.col("windows") > SHARD_WINDOWS // 2)
     counted = written(counted, "wide")
+    discard(passages)
     if counted.isEmpty():
         known = met.join(starts, "id", "left").withColumn("wide", F.lit(None).cast("map<long,long>"))
     else:

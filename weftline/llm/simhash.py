@@ -207,8 +207,9 @@ def hex_fingerprint(col: str = "fp"):
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The document with the smallest id of each component; the columns of docs.
-    Rows without an id stay. Of rows that repeat an id all stay or none."""
+    """The document with the smallest id of each component; the columns of docs,
+    which may have any name. Null and empty texts are equal. Rows without an id stay.
+    Of rows that repeat an id all stay or none. An empty table gives an empty table."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
     gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
