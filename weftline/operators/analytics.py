@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import components, kept
+from .iterate import components, dropped, kept
 
 __all__ = ["closed", "components", "closeness", "communities", "degree", "density", "isolates", "metrics", "pagerank", "label_propagation", "top_degree", "totals", "visible_subgraph"]
 
@@ -50,7 +50,8 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iterations: int = 50, eps: float = 1e-6) -> DataFrame:
     """(node_id, pagerank): parallel edges count each, what sinks hold goes evenly to
-    all; ends when the ranks move by less than ``eps`` in sum."""
+    all; ends when the ranks move by less than ``eps`` in sum. A round is one job:
+    what sinks hold and how far ranks moved are measured as its table is written."""
     ids = nodes.select("node_id").distinct()
     n = ids.count()
     if not n:
@@ -58,37 +59,46 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
     inside = closed(ids, edges)
     out = inside.groupBy("src").agg(F.count("*").alias("out"))
     links = kept(inside.groupBy("src", "dst").agg(F.count("*").alias("times")).join(out, "src").select("src", "dst", (F.col("times") / F.col("out")).alias("share")), "links")
-    rank = kept(ids.join(out.withColumnRenamed("src", "node_id"), "node_id", "left").select("node_id", F.col("out").isNull().alias("sink"), F.lit(1.0 / n).alias("pagerank")), "rank")
+    sunk = F.sum(F.when(F.col("sink"), F.col("pagerank")).otherwise(0.0))
+    first = ids.join(out.withColumnRenamed("src", "node_id"), "node_id", "left").select("node_id", F.col("out").isNull().alias("sink"), F.lit(1.0 / n).alias("pagerank"))
+    rank = kept(first, "rank", sunk=sunk)
     for _ in range(max_iterations):
-        sunk = rank.where("sink").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0))).first()[0]
+        base = (1 - damping) / n + damping * rank.seen["sunk"] / n
         got = links.join(rank.select(F.col("node_id").alias("src"), "pagerank"), "src").groupBy("dst").agg(F.sum(F.col("share") * F.col("pagerank")).alias("got"))
         new = rank.join(got.withColumnRenamed("dst", "node_id"), "node_id", "left").select(
-            "node_id", "sink", F.col("pagerank").alias("old"), (F.lit((1 - damping) / n + damping * sunk / n) + damping * F.coalesce("got", F.lit(0.0))).alias("pagerank"))
-        new = kept(new, "rank")
-        moved = new.agg(F.sum(F.abs(F.col("pagerank") - F.col("old")))).first()[0]
-        rank = new.drop("old")
-        if moved < eps:
+            "node_id", "sink", F.col("pagerank").alias("old"), (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("pagerank"))
+        new = kept(new, "rank", sunk=sunk, moved=F.sum(F.abs(F.col("pagerank") - F.col("old"))))
+        dropped(rank)
+        rank = new
+        if rank.seen["moved"] < eps:
             break
+    dropped(links)
     return rank.select("node_id", "pagerank")
 
 
 def distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """(source, node_id, distance) for all nodes that ``sources`` (node_id; all nodes
     if none are given) reach over undirected edges in ``depth`` steps or fewer; the
-    source itself at 0. All-pairs work: give sources on large graphs."""
+    source itself at 0. All-pairs work: give sources on large graphs. Each step
+    writes only what it meets first; whatever is next to the last step's nodes and
+    met before was met in that step or the one before it."""
     both = closed(nodes, edges).select("src", "dst").where("src <> dst")
     pairs = kept(both.unionAll(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "pairs")
     start = (sources if sources is not None else nodes).select("node_id").distinct()
-    seen = front = kept(start.select(F.col("node_id").alias("source"), "node_id", F.lit(0).alias("distance")), "seen")
-    step = 0
-    while depth is None or step < depth:
-        step += 1
-        met = front.join(pairs, F.col("node_id") == F.col("src")).select("source", F.col("dst").alias("node_id")).distinct()
-        front = kept(met.join(seen, ["source", "node_id"], "left_anti").withColumn("distance", F.lit(step)), "front")
-        if not front.limit(1).count():
+    found = [kept(start.select(F.col("node_id").alias("source"), "node_id", F.lit(0).alias("distance")), "front")]
+    while depth is None or len(found) <= depth:
+        met = found[-1].join(pairs, F.col("node_id") == F.col("src")).select("source", F.col("dst").alias("node_id")).distinct()
+        for before in found[-2:]:
+            met = met.join(before.select("source", "node_id"), ["source", "node_id"], "left_anti")
+        front = kept(met.withColumn("distance", F.lit(len(found))), "front", n=F.count(F.lit(1)))
+        if not front.seen["n"]:
             break
-        seen = kept(seen.unionByName(front), "seen")
-    return seen
+        found.append(front)
+    dropped(pairs)
+    out = found[0]
+    for front in found[1:]:
+        out = out.unionByName(front)
+    return out
 
 
 def closeness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -107,13 +117,16 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, max_iterations: int =
     label = kept(nodes.select("node_id", F.col("node_id").alias("community")).distinct(), "label")
     for _ in range(max_iterations):
         votes = pairs.join(label.select(F.col("node_id").alias("dst"), "community"), "dst").select(F.col("src").alias("node_id"), "community", "w")
-        votes = votes.unionByName(label.withColumn("w", F.lit(1).cast("long"))).groupBy("node_id", "community").agg(F.sum("w").alias("w"))
+        votes = votes.unionByName(label.select("node_id", "community", F.lit(1).cast("long").alias("w"))).groupBy("node_id", "community").agg(F.sum("w").alias("w"))
         best = votes.groupBy("node_id").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("next"))
-        new = kept(label.join(best, "node_id").select("node_id", F.col("next").alias("community"), (F.col("next") != F.col("community")).alias("moved")), "label")
-        label = new.select("node_id", "community")
-        if not new.where("moved").limit(1).count():
+        new = label.join(best, "node_id").select("node_id", F.col("next").alias("community"), (F.col("next") != F.col("community")).alias("moved"))
+        new = kept(new, "label", moved=F.count_if("moved"))
+        dropped(label)
+        label = new
+        if not label.seen["moved"]:
             break
-    return label
+    dropped(pairs)
+    return label.select("node_id", "community")
 
 
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:

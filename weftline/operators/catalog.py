@@ -119,5 +119,21 @@ def due_cards(cards: DataFrame, user: str, now: Column, limit: int | None = None
     return out if limit is None else out.limit(limit)
 
 
+def cards_of(entities: DataFrame, user: str, first: int = 10, order: str = "node_id") -> DataFrame:
+    """Cards for a user's first entities: card_id, user_id, front."""
+    return entities.orderBy(order).limit(first).select(F.concat(F.lit("card:"), "node_id").alias("card_id"), F.lit(user).alias("user_id"), F.col("label").alias("front"))
+
+
+def cards_by_domain(cards: DataFrame, user: str, domains: list[str]) -> DataFrame:
+    """A user's cards with one of the domains (array column domains)."""
+    wanted = F.array(*map(F.lit, domains)).cast("array<string>")
+    return cards.where((F.col("user_id") == user) & F.arrays_overlap("domains", wanted))
+
+
+def save_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Chunks by id: those of a document that comes again take the place of all it had."""
+    return old.join(new.select("document_id").distinct(), "document_id", "left_anti").unionByName(new.dropDuplicates(["chunk_id"]), allowMissingColumns=True)
+
+
 def recent_reviews(reviews: DataFrame, user: str, now: Column, days: int = 7) -> DataFrame:
     return reviews.where((F.col("user_id") == user) & (F.to_date("reviewed_at") >= F.date_sub(F.to_date(now), days)))

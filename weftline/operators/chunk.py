@@ -123,16 +123,18 @@ def structured(text: str, size: int, overlap: int) -> list[tuple[int, int, str]]
     return out
 
 
-SPANS = "array<struct<begin:int,end:int,section:string>>"
+SPANS = "array<struct<begin:int,end:int,section:string,content:string>>"
 
 
 def chunk_spans(text: Column, strategy: Column, size: int, overlap: int) -> Column:
+    """A text's chunks with their content, so that what follows needs the text no more."""
+
     @F.pandas_udf(SPANS)
     def run(t: pd.Series, s: pd.Series) -> pd.Series:
         def one(x, how):
             found = structured(x, size, overlap) if how == "structured_markdown" else []
             found = found or [(a, b, "") for a, b in recursive(x, size, overlap)]
-            return [{"begin": a, "end": b, "section": p} for a, b, p in found]
+            return [{"begin": a, "end": b, "section": p, "content": x[a:b]} for a, b, p in found]
 
         return pd.Series([one(x, how) for x, how in zip(t, s)])
 
@@ -161,8 +163,8 @@ def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 200, wante
     blank texts have none."""
     how = strategy(F.col(text_col), F.col(type_col) if type_col else None, wanted)
     d = docs.select(F.col(id_col).alias("document_id"), as_text(F.col(text_col)).alias("text"), how.alias("strategy"))
-    c = d.select("document_id", "text", "strategy", F.posexplode(chunk_spans(F.col("text"), F.col("strategy"), size, overlap)).alias("idx", "s"))
-    c = c.select("document_id", "idx", F.substring("text", F.col("s.begin") + 1, F.col("s.end") - F.col("s.begin")).alias("content"), F.col("s.begin").alias("start"), F.col("s.end").alias("end"), F.col("s.section").alias("section"), "strategy")
+    c = d.select("document_id", "strategy", F.posexplode(chunk_spans(F.col("text"), F.col("strategy"), size, overlap)).alias("idx", "s"))
+    c = c.select("document_id", "idx", F.col("s.content").alias("content"), F.col("s.begin").alias("start"), F.col("s.end").alias("end"), F.col("s.section").alias("section"), "strategy")
     return with_neighbours(c.withColumn("word_count", texts.word_count(F.col("content"))))
 
 
@@ -189,10 +191,10 @@ def chunk_pages(docs: DataFrame, size: int = 1000, overlap: int = 200, id_col: s
     d = docs.select(F.col(id_col).alias("document_id"), as_text(F.col(text_col)).alias("text")).join(running_lines(docs, id_col, text_col, 0.6), "document_id", "left")
     p = d.select("document_id", F.coalesce("headers", none).alias("h"), F.coalesce("footers", none).alias("f"), F.posexplode(texts.pages(F.col("text"))).alias("page", "raw"))
     p = p.select("document_id", (F.col("page") + 1).alias("page_number"), texts.normalized_page(F.col("raw"), F.col("h"), F.col("f")).alias("text")).where("text <> ''")
-    c = p.select("document_id", "page_number", "text", F.posexplode(chunk_spans(F.col("text"), F.lit("recursive"), size, overlap)).alias("part", "s"))
+    c = p.select("document_id", "page_number", F.posexplode(chunk_spans(F.col("text"), F.lit("recursive"), size, overlap)).alias("part", "s"))
     several = F.count("*").over(Window.partitionBy("document_id", "page_number")) > 1
     idx = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number", "part")) - 1
-    c = c.select("document_id", idx.alias("idx"), F.substring("text", F.col("s.begin") + 1, F.col("s.end") - F.col("s.begin")).alias("content"), F.col("s.begin").alias("start"), F.col("s.end").alias("end"), "page_number", F.when(several, "page+recursive").otherwise("page").alias("strategy"))
+    c = c.select("document_id", idx.alias("idx"), F.col("s.content").alias("content"), F.col("s.begin").alias("start"), F.col("s.end").alias("end"), "page_number", F.when(several, "page+recursive").otherwise("page").alias("strategy"))
     return with_neighbours(c.withColumn("word_count", texts.word_count(F.col("content"))))
 
 

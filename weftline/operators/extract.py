@@ -14,6 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions import texts
+
+from .chunk import chunk_documents
+
 Extractor = Callable[[str], tuple[Iterable[str], Iterable[tuple[str, str, str]]]]
 NAME = re.compile(r"\b[A-Z]\w+(?:\s+[A-Z]\w+)*")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -52,6 +56,27 @@ def extract(docs: DataFrame, extractor: Extractor = by_capitals, id_cols: tuple[
     return docs.select(*ids, F.col(text_col)).mapInPandas(run, schema)
 
 
+def extract_routed(docs: DataFrame, extractor: Extractor = by_capitals, limit: int = 8000, size: int = 1000, overlap: int = 200, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
+    """(document_id, route, src, predicate, dst) of a batch of documents: short ones
+    whole, long ones by chunks with their findings merged, unsuitable ones not at
+    all. Each finding once a document."""
+    d = docs.select(F.col(id_col).alias("document_id"), F.col(text_col).cast("string").alias("text"))
+    d = d.withColumn("route", texts.route(F.col("text"), limit=limit))
+    whole = extract(d.where("route = 'document'"), extractor, ("document_id",)).withColumn("route", F.lit("document"))
+    parts = chunk_documents(d.where("route = 'chunk'").select("document_id", "text"), size, overlap)
+    cut = extract(parts.select("document_id", F.col("content").alias("text")), extractor, ("document_id",)).withColumn("route", F.lit("chunk"))
+    return whole.unionByName(cut).select("document_id", "route", "src", "predicate", "dst").distinct()
+
+
+def by_document(triples: DataFrame, id_col: str = "document_id") -> DataFrame:
+    """(document_id, entities, relations): each document's findings as sorted arrays.
+    Entities are also the ends of relations."""
+    named = triples.select(id_col, F.explode(F.array("src", "dst")).alias("e")).where("e is not null").groupBy(id_col).agg(F.sort_array(F.collect_set("e")).alias("entities"))
+    links = triples.where("predicate is not null").groupBy(id_col).agg(F.sort_array(F.collect_set(F.array("src", "predicate", "dst"))).alias("relations"))
+    none = F.array().cast("array<array<string>>")
+    return named.join(links, id_col, "left").select(id_col, "entities", F.coalesce("relations", none).alias("relations"))
+
+
 def extracted_graph(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct nodes and edges over all texts."""
     ends = triples.select(F.explode(F.array("src", "dst")).alias("node_id")).where("node_id is not null").distinct()

@@ -5,21 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the folder that driver and executors share and read back: lineage
-    ends here, and a lost executor costs nothing that was written."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where it
+    is unset, a local run gets a temporary one; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-graph-"))
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/graph-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return base.rstrip("/")
+
+
+def kept(df: DataFrame, tag: str, **measured: Column) -> DataFrame:
+    """Write to the shared folder and read back: lineage ends here, and a lost
+    executor costs nothing that was written. measured: aggregates by name, taken in
+    the same job; ``.seen`` of the result has their values."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/graph-{tag}-{uuid.uuid4().hex}"
+    watch = Observation() if measured else None
+    (df.observe(watch, *[c.alias(n) for n, c in measured.items()]) if measured else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to, out.seen = path, watch.get if measured else {}
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete kept frames that nothing reads any more."""
+    for df in frames:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -27,7 +46,8 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> Data
     whatever the edges' direction. Isolated nodes are components of their own.
 
     Each round every node takes the least label about it, then the label's own
-    label (pointer jumping), so long paths shrink by a factor a round.
+    label (pointer jumping), so long paths shrink by a factor a round. A round
+    leaves one table behind, and deletes those of the round before.
     """
     both = edges.select("src", "dst").where("src <> dst")
     pairs = kept(both.unionAll(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "pairs")
@@ -38,8 +58,10 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> Data
         step = kept(step, "step")
         up = step.select(F.col("node_id").alias("next"), F.col("next").alias("jump"))
         new = step.join(up, "next", "left").select("node_id", F.least("next", "jump").alias("component"), (F.col("component") != F.least("next", "jump")).alias("moved"))
-        new = kept(new, "label")
-        label = new.select("node_id", "component")
-        if not new.where("moved").limit(1).count():
-            return label
+        new = kept(new, "label", moved=F.count_if("moved"))
+        dropped(label, step)
+        label = new
+        if not new.seen["moved"]:
+            dropped(pairs)
+            return label.select("node_id", "component")
     raise RuntimeError("components did not settle")

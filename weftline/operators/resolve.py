@@ -16,27 +16,43 @@ def rewritten(edges: DataFrame, moves: DataFrame) -> DataFrame:
     return edges.join(s, "src", "left").join(d, "dst", "left").select(F.coalesce("s", "src").alias("src"), "predicate", F.coalesce("d", "dst").alias("dst")).distinct()
 
 
-def canonical_id(node_id: Column, protected=names.PROTECTED_PREFIXES, synonyms: dict[str, dict[str, str]] | None = None) -> Column:
+def canonical_id(node_id: Column, protected=names.PROTECTED_PREFIXES, synonym: Column | None = None) -> Column:
     """prefix:slug of the value. Protected prefixes, and values of which a slug
-    leaves nothing, stay as they are. synonyms: prefix -> lower-case value -> value;
-    small, part of the plan."""
-    prefix, value = names.prefix_of(node_id), names.value_of(node_id)
-    squeezed = names.squeeze(value)
-    for p, table in (synonyms or {}).items():
-        for alias, to in table.items():
-            squeezed = F.when((prefix == p) & (F.lower(names.squeeze(value)) == alias.lower()), F.lit(to)).otherwise(squeezed)
-    slugged = names.canonical_value(squeezed)
+    leaves nothing, stay as they are. synonym: a value to take in place of the id's
+    own, where it is not null."""
+    prefix = names.prefix_of(node_id)
+    value = names.squeeze(names.value_of(node_id))
+    slugged = names.canonical_value(value if synonym is None else F.coalesce(synonym, value))
     return F.when(prefix.isin(*protected) | (slugged == ""), node_id).otherwise(F.concat_ws(":", prefix, slugged))
 
 
-def resolve_entities(nodes: DataFrame, edges: DataFrame, protected=names.PROTECTED_PREFIXES, synonyms=None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, moves): ids replaced by canonical ones."""
-    moves = nodes.select(F.col("node_id").alias("old_id")).distinct().withColumn("new_id", canonical_id(F.col("old_id"), protected, synonyms))
+def canonical_moves(ids: DataFrame, protected=names.PROTECTED_PREFIXES, synonyms: dict[str, dict[str, str]] | DataFrame | None = None) -> DataFrame:
+    """(old_id, new_id) of ids (old_id). synonyms: prefix -> lower-case value ->
+    value, or a frame (prefix, alias, value) of any size; they are joined."""
+    if synonyms is None or (isinstance(synonyms, dict) and not any(synonyms.values())):
+        return ids.select("old_id", canonical_id(F.col("old_id"), protected).alias("new_id"))
+    if isinstance(synonyms, dict):
+        flat = {(p, alias.lower()): to for p, table in synonyms.items() for alias, to in table.items()}
+        synonyms = ids.sparkSession.createDataFrame([(p, a, to) for (p, a), to in flat.items()], "prefix string, alias string, value string")
+    known = synonyms.groupBy(F.col("prefix").alias("_p"), F.lower("alias").alias("_a")).agg(F.min("value").alias("_v"))
+    old = F.col("old_id")
+    met = ids.join(known, (names.prefix_of(old) == F.col("_p")) & (F.lower(names.squeeze(names.value_of(old))) == F.col("_a")), "left")
+    return met.select("old_id", canonical_id(old, protected, F.col("_v")).alias("new_id"))
 
-    def to(c: str) -> Column:
-        return canonical_id(F.col(c), protected, synonyms).alias(c)
 
-    return moves.select(F.col("new_id").alias("node_id")).distinct(), edges.select(to("src"), "predicate", to("dst")).distinct(), moves
+def resolve_entities(nodes: DataFrame, edges: DataFrame, protected=names.PROTECTED_PREFIXES, synonyms=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, moves): ids replaced by canonical ones; see canonical_moves."""
+    moves = canonical_moves(nodes.select(F.col("node_id").alias("old_id")).distinct(), protected, synonyms)
+    if synonyms is None:
+
+        def to(c: str) -> Column:
+            return canonical_id(F.col(c), protected).alias(c)
+
+        moved = edges.select(to("src"), "predicate", to("dst")).distinct()
+    else:
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("old_id")).distinct()
+        moved = rewritten(edges, canonical_moves(ends, protected, synonyms))
+    return moves.select(F.col("new_id").alias("node_id")).distinct(), moved, moves
 
 
 def merge_statistics(moves: DataFrame) -> DataFrame:

@@ -134,16 +134,50 @@ def whole_relations(df: DataFrame, relation: str = "relation") -> DataFrame:
 
 
 def merge_nodes(nodes: DataFrame, edges: DataFrame, keep: str, remove: str) -> tuple[DataFrame, DataFrame]:
-    """One node out of two: ``keep`` takes the documents and edges of ``remove``."""
+    """One node out of two: ``keep`` takes the documents and edges of ``remove``, and
+    its other columns only where it has none itself. Only the rows of the two meet in
+    an aggregate; all other nodes pass through, and without a shuffle."""
     def move(c: str) -> Column:
         return F.when(F.col(c) == remove, keep).otherwise(F.col(c)).alias(c)
 
+    two = F.coalesce(F.col("node_id").isin(keep, remove), F.lit(False))
     others = [c for c in nodes.columns if c not in ("node_id", "documents")]
-    both = nodes.withColumn("_own", F.col("node_id") == keep).withColumn("node_id", move("node_id"))
-    merged = both.groupBy("node_id").agg(
+    merged = nodes.where(two).withColumn("_own", F.col("node_id") == keep).withColumn("node_id", move("node_id")).groupBy("node_id").agg(
         *[F.max_by(c, "_own").alias(c) for c in others],
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("documents")))).alias("documents"))
-    return merged.select(*nodes.columns), edges.select(*[move(c) if c in ("src", "dst") else F.col(c) for c in edges.columns]).distinct()
+    moved = edges.select(*[move(c) if c in ("src", "dst") else F.col(c) for c in edges.columns]).distinct()
+    return nodes.where(~two).unionByName(merged.select(*nodes.columns)), moved
+
+
+def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """Nodes (node_id, documents, ...) with new ones. Of a node that is known the
+    new documents are added to the old, and other columns change where the new row
+    has a value; of new rows with one id the first by its columns counts."""
+    others = [c for c in nodes.columns if c not in ("node_id", "documents")]
+    none = F.array().cast("array<string>")
+    fresh = new.groupBy("node_id").agg(*[F.min(c).alias(f"_{c}") for c in others if c in new.columns], F.array_distinct(F.flatten(F.collect_list("documents"))).alias("_documents"))
+    met = nodes.join(fresh, "node_id", "full")
+    docs = F.array_union(F.coalesce("documents", none), F.coalesce("_documents", none))
+    return met.select("node_id", *[F.coalesce(f"_{c}", c).alias(c) if c in new.columns else F.col(c) for c in others], docs.alias("documents")).select(*nodes.columns)
+
+
+def add_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame | None = None, keys: tuple[str, ...] = ("src", "predicate", "dst")) -> DataFrame:
+    """Edges with those new ones that are not there yet by ``keys``; with ``nodes``
+    given, only those both of whose ends are nodes."""
+    if nodes is not None:
+        ids = nodes.select("node_id").distinct()
+        new = new.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    return insert_missing(edges, new, list(keys))
+
+
+def merge_extraction(nodes: DataFrame, edges: DataFrame, triples: DataFrame, document: str = "document_id") -> tuple[DataFrame, DataFrame]:
+    """A graph with what an extractor found (document, src, predicate, dst): nodes by
+    id with the documents that name them, and edges that are not there yet. Known
+    nodes keep their other columns; new ones have none."""
+    doc = F.col(document).cast("string")
+    named = triples.select(F.explode(F.array("src", "dst")).alias("node_id"), F.array(doc).alias("documents")).where("node_id is not null")
+    found = triples.where("predicate is not null").select("src", "predicate", "dst", *([doc.alias("document_id")] if "document_id" in edges.columns else []))
+    return add_nodes(nodes, named), add_edges(edges, found)
 
 
 def remove_node(nodes: DataFrame, edges: DataFrame, node_id: str) -> tuple[DataFrame, DataFrame]:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 import zipfile
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -42,6 +45,13 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, limit
     return df if limit is None else df.limit(limit)
 
 
+def read_head(spark: SparkSession, path: str, rows: int = 30) -> tuple[str, list[str], DataFrame]:
+    """(delimiter, headers, the first rows) of a CSV file."""
+    delimiter = sniff_csv(spark, path)
+    df = read_csv(spark, path, delimiter, rows)
+    return delimiter, df.columns, df
+
+
 # -- documents -------------------------------------------------------------------
 
 
@@ -64,12 +74,61 @@ def parse_docx(data: bytes) -> str:
     return "\n".join("".join(t.text or "" for t in p.iter(w + "t")) for p in root.iter(w + "p"))
 
 
+PDF_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)endobj", re.S)
+PDF_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
+#: What shows text or starts a line in a content stream: a string, an array of strings, or an operator.
+PDF_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\bT[dDm*]|'|\"|\bET\b", re.S)
+PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def pdf_string(s: bytes) -> str:
+    if s[:1] == b"<":
+        digits = re.sub(rb"\s", b"", s[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1")
+
+    def plain(m: re.Match) -> bytes:
+        x = m[1]
+        return bytes([int(x, 8) & 255]) if x[:1].isdigit() else PDF_ESCAPES.get(x, b"" if x in b"\r\n" else x)
+
+    return re.sub(rb"(?s)\\([0-7]{1,3}|.)", plain, s[1:-1]).decode("latin-1")
+
+
+def simple_pdf_pages(data: bytes) -> list[str]:
+    """Page texts of a plain PDF: pages and streams as objects of their own, streams
+    as they are or deflated, simple fonts. Anything else is an error."""
+    objects = {int(n): body for n, body in PDF_OBJECT.findall(data)}
+    pages = [b for b in objects.values() if re.search(rb"/Type\s*/Page\b(?!s)", b)]
+    if not pages:
+        raise ValueError("no page objects that can be read without a PDF library")
+    out = []
+    for page in pages:
+        lines, line = [], ""
+        found = re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", page, re.S)
+        for ref in re.findall(rb"(\d+)\s+\d+\s+R", found[1]) if found else []:
+            body = objects.get(int(ref), b"")
+            stream = PDF_STREAM.search(body)
+            content = stream[1] if stream else b""
+            if b"/FlateDecode" in body:
+                content = zlib.decompress(content)
+            elif b"/Filter" in body:
+                raise ValueError("a stream filter that needs a PDF library")
+            for shown in PDF_SHOWN.findall(content):
+                if shown[:1] in (b"(", b"<"):
+                    line += pdf_string(shown)
+                elif line:
+                    lines.append(line)
+                    line = ""
+        out.append("\n".join([*lines, line] if line else lines))
+    return out
+
+
 def parse_pdf(data: bytes) -> str:
-    """Page texts with form feeds between, where a PDF library is installed."""
+    """Page texts with form feeds between: by a PDF library where one is installed,
+    else plain files only. A file that cannot be read is an error."""
     try:
         from pypdf import PdfReader
     except ImportError:
-        return ""
+        return "\f".join(simple_pdf_pages(data))
     return "\f".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
 
 
@@ -83,9 +142,9 @@ def register_parser(extension: str, parser: Callable[[bytes], str]) -> None:
 
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*", known: DataFrame | None = None) -> DataFrame:
-    """(document_id, title, file_name, file_path, file_type, file_size, status, text)
-    of all files below a folder. Unknown types and files that cannot be parsed have
-    empty text. known: a frame with file_path; these files are left out before
+    """(document_id, title, file_name, file_path, file_type, file_size, status, text,
+    problem) of all files below a folder. Unknown types and files that cannot be
+    parsed have empty text, and problem says why; it is null otherwise. known: a frame with file_path; these files are left out before
     they are parsed."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     if known is not None:
@@ -98,14 +157,18 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*", known: DataF
             for p, size, data in pdf.itertuples(index=False):
                 name = p.rsplit("/", 1)[-1]
                 stem, _, ext = name.rpartition(".")
-                try:
-                    text = parsers.get(ext.lower(), lambda _: "")(bytes(data))
-                except Exception:  # a broken file is an empty document
-                    text = ""
-                rows.append((stem or name, name, p, ext.upper() if stem else "", size, "pending", text))
-            yield pd.DataFrame(rows, columns=["title", "file_name", "file_path", "file_type", "file_size", "status", "text"])
-
-    out = files.select("path", "length", "content").mapInPandas(run, "title string, file_name string, file_path string, file_type string, file_size long, status string, text string")
+                text, problem = "", None
+                if ext.lower() not in parsers or not stem:
+                    problem = "no parser for this type"
+                else:
+                    try:
+                        text = parsers[ext.lower()](bytes(data))
+                    except Exception as e:  # one broken file does not stop the others
+                        problem = f"{type(e).__name__}: {e}"
+                rows.append((stem or name, name, p, ext.upper() if stem else "", size, "pending", text, problem))
+            yield pd.DataFrame(rows, columns=["title", "file_name", "file_path", "file_type", "file_size", "status", "text", "problem"])
+
+    out = files.select("path", "length", "content").mapInPandas(run, "title string, file_name string, file_path string, file_type string, file_size long, status string, text string, problem string")
     return out.select(F.sha2("file_path", 256).alias("document_id"), "*")
 
 
@@ -131,6 +194,55 @@ def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.select("src", "predicate", "dst").orderBy("src", "predicate", "dst").write.mode("overwrite").json(f"{path}/relations")
 
 
+def read_graph_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What write_graph_json has written."""
+    return spark.read.schema("node_id string").json(f"{path}/entities"), spark.read.schema("src string, predicate string, dst string").json(f"{path}/relations")
+
+
+def write_graph_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """One document {"entities": [id], "relations": [[s, p, t]]}, both sorted. It
+    streams through the driver, a partition at a time: for graphs that one JSON
+    document suits."""
+    ids = nodes.select("node_id").distinct().orderBy("node_id").toLocalIterator()
+    links = edges.select("src", "predicate", "dst").distinct().orderBy("src", "predicate", "dst").toLocalIterator()
+    with created(nodes.sparkSession, path) as write:
+        for head, rows in (('{"entities": [', (json.dumps(r[0]) for r in ids)), ('], "relations": [', (json.dumps(list(r)) for r in links))):
+            write(head.encode())
+            for i, row in enumerate(rows):
+                write(((",\n" if i else "\n") + row).encode())
+        write(b"]}\n")
+
+
+@contextmanager
+def created(spark: SparkSession, path: str):
+    """A new file of any file system that Spark knows; gives a function that writes bytes."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        yield lambda data: out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def read_knowledge_bases(spark: SparkSession, path: str) -> DataFrame:
+    """(kb_id, owner_id, slug, name, description, created_at) of a registry {"items":
+    [{id, name, slug, owner_id, description, created_at}]}; empty without items."""
+    kind = "items array<struct<id:string,owner_id:string,slug:string,name:string,description:string,created_at:timestamp>>"
+    df = spark.read.schema(kind).json(path, multiLine=True)
+    return df.select(F.inline("items")).withColumnRenamed("id", "kb_id")
+
+
+def write_knowledge_bases(kbs: DataFrame, path: str) -> None:
+    """A registry that read_knowledge_bases reads, streamed through the driver."""
+    columns = ["kb_id", "owner_id", "slug", "name", "description", "created_at"]
+    made = kbs.select(*[F.col(c).alias("id" if c == "kb_id" else c) if c in kbs.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    with created(kbs.sparkSession, path) as write:
+        write(b'{"items": [')
+        for i, r in enumerate(made.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()):
+            write(((",\n" if i else "\n") + r["j"]).encode())
+        write(b"]}\n")
+
+
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A document {"entities": [id], "relations": [[s, p, t]]}, as nodes and edges."""
     df = spark.read.schema("entities array<string>, relations array<array<string>>").json(path, multiLine=True)

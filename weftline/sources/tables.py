@@ -3,9 +3,14 @@ and a version is the newest only once it is complete."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.operators.store import delete_document, upsert
+from weftline.operators.query import Options, query
+from weftline.operators.store import delete_document, insert_missing, upsert
 
 
 class VersionedTable:
@@ -49,3 +54,106 @@ class VersionedTable:
     def delete_document(self, document_id: str) -> int | None:
         old = self.read()
         return None if old is None else self.write(delete_document({"t": old}, document_id)["t"])
+
+
+class AppendedTable:
+    """A table that only grows: each batch is a folder of its own under
+    <folder>/batch=<n>, read once Spark has marked it finished. Rows lie by a hash
+    of their key, so that a batch is compared with the buckets it touches only, and
+    nothing that is written is ever written again."""
+
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, folder: str, key: str):
+        self.spark, self.folder, self.key = spark, folder, key
+        self._log = VersionedTable(spark, folder)
+
+    def batches(self) -> list[str]:
+        fs, path = self._log._fs(), self._log._path
+        if not fs.exists(path(self.folder)):
+            return []
+        found = [s.getPath() for s in fs.listStatus(path(self.folder)) if s.isDirectory() and s.getPath().getName().startswith("batch=")]
+        return sorted(p.toString() for p in found if fs.exists(path(p, "_SUCCESS")))
+
+    def _stored(self) -> DataFrame | None:
+        found = self.batches()
+        fs, path = self._log._fs(), self._log._path
+        full = [p for p in found if any(s.isDirectory() for s in fs.listStatus(path(p)))]  # a batch without new rows has no bucket
+        parts = [self.spark.read.parquet(p) for p in full]
+        out = parts[0] if parts else None
+        for p in parts[1:]:
+            out = out.unionByName(p, allowMissingColumns=True)
+        return out
+
+    def read(self) -> DataFrame | None:
+        found = self._stored()
+        return None if found is None else found.drop("bucket")
+
+    def append(self, rows: DataFrame) -> str | None:
+        """Add the rows whose key is new, each key once; the new batch's folder."""
+        rows = rows.dropDuplicates([self.key]).withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.BUCKETS)).cast("int"))
+        old = self._stored()
+        if old is not None:
+            touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+            rows = insert_missing(rows.limit(0), rows.join(old.where(F.col("bucket").isin(touched)).select(self.key), self.key, "left_anti"), [self.key])
+        path = f"{self.folder}/batch={len(self.batches()):06d}-{uuid.uuid4().hex}"
+        rows.write.partitionBy("bucket").parquet(path)
+        return path
+
+
+class KeyedStore:
+    """Rows kept by type and id: get, save, delete, exists, list and count. A type is
+    a versioned table of its own; saving replaces the rows with the same ids."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str = "id"):
+        self.spark, self.folder, self.key = spark, folder, key
+
+    def table(self, kind: str) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.folder}/{kind}")
+
+    def save(self, kind: str, rows: DataFrame, order: str | None = None) -> int:
+        return self.table(kind).upsert(rows, [self.key], order)
+
+    def all(self, kind: str, options: Options | None = None) -> DataFrame | None:
+        found = self.table(kind).read()
+        return found if found is None or options is None else query(found, options, self.key)
+
+    def get(self, kind: str, key) -> DataFrame | None:
+        found = self.table(kind).read()
+        return None if found is None else found.where(F.col(self.key) == key)
+
+    def exists(self, kind: str, key) -> bool:
+        found = self.get(kind, key)
+        return found is not None and not found.isEmpty()
+
+    def count(self, kind: str, options: Options | None = None) -> int:
+        found = self.all(kind, options)
+        return 0 if found is None else found.count()
+
+    def delete(self, kind: str, key) -> bool:
+        """True if there was such a row; without one nothing is written."""
+        if not self.exists(kind, key):
+            return False
+        self.table(kind).write(self.table(kind).read().where(~(F.col(self.key).eqNullSafe(F.lit(key)))))
+        return True
+
+
+def create_tables(spark: SparkSession, folder: str, schemas: dict[str, T.StructType]) -> list[str]:
+    """Make the tables that are not there yet, empty; their names."""
+    made = []
+    for name, schema in schemas.items():
+        t = VersionedTable(spark, f"{folder}/{name}")
+        if not t.versions():
+            t.write(spark.createDataFrame([], schema))
+            made.append(name)
+    return made
+
+
+def drop_tables(spark: SparkSession, folder: str, names: list[str]) -> list[str]:
+    """Delete tables with all their versions; the names of those that were there."""
+    gone = []
+    for name in names:
+        t = VersionedTable(spark, f"{folder}/{name}")
+        if t._fs().delete(t._path(t.folder), True):
+            gone.append(name)
+    return gone

@@ -9,28 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import resolve
-from weftline.operators.store import insert_missing
-from weftline.sources.tables import VersionedTable
+from weftline.sources.tables import AppendedTable
 
 
 class IncrementalResolver:
-    """Keeps all mentions and relations seen, each once by its id, in versioned
-    tables, and resolves over them after each batch. A batch that comes twice, as
-    after a restart, changes nothing."""
+    """Keeps all mentions and relations seen, each once by its id, in tables that
+    only grow. A batch that comes twice, as after a restart, adds nothing. What a
+    batch changes can be resolved alone, or everything."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.mentions = VersionedTable(spark, f"{folder}/mentions")
-        self.relations = VersionedTable(spark, f"{folder}/relations")
+        self.mentions = AppendedTable(spark, f"{folder}/mentions", "entity_id")
+        self.relations = AppendedTable(spark, f"{folder}/relations", "relationship_id")
 
     def add(self, mentions: DataFrame | None = None, relations: DataFrame | None = None) -> None:
-        for table, new, key in ((self.mentions, mentions, "entity_id"), (self.relations, relations, "relationship_id")):
+        for table, new in ((self.mentions, mentions), (self.relations, relations)):
             if new is not None:
-                old = table.read()
-                table.write(new.dropDuplicates([key]) if old is None else insert_missing(old, new, [key]))
+                table.append(new)
 
     def tables(self, **how) -> dict[str, DataFrame]:
         return resolve.resolve(self.mentions.read(), self.relations.read(), **how)
 
+    def touched(self, batch: DataFrame, fold: bool = True, version: int = 1) -> DataFrame:
+        """The resolved entities that a batch of mentions changes, over all mentions seen."""
+        ids = resolve.keyed_mentions(batch, fold, version).select("resolved_id").distinct()
+        own = resolve.keyed_mentions(self.mentions.read(), fold, version).join(ids, "resolved_id", "left_semi")
+        return resolve.resolved_entities(own.drop("resolved_id", "normalized_key"), fold, version)
+
     def sink(self, kind: str = "mentions") -> Callable[[DataFrame, int], None]:
         """For writeStream.foreachBatch."""
         return lambda batch, _: self.add(**{kind: batch})
