@@ -546,64 +546,58 @@ def visible_subgraph(spark, sf_dir):
     return analytics.visible_subgraph(with_documents(n), e, ["doc1", "doc2"])[1].select("src", "predicate", "dst").distinct()
 
 
-def nation_ring(spark, sf_dir):
-    """A small graph: nations and regions, nations joined to the next one of their region."""
-    n = table(spark, sf_dir, "nation")
-    nodes = n.select(F.concat(F.lit("n"), "n_nationkey").alias("node_id")).unionByName(table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node_id")))
-    other = n.select(F.col("n_nationkey").alias("k2"), F.col("n_regionkey").alias("r2"))
-    ring = n.join(other, (F.col("n_regionkey") == F.col("r2")) & (F.col("k2") > F.col("n_nationkey"))).groupBy("n_nationkey").agg(F.min("k2").alias("k2"))
-    edges = n.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst")).unionByName(ring.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("n"), "k2").alias("dst")))
-    return nodes, edges
-
-
-RING_SQL = """
-nodes AS (SELECT 'n' || n_nationkey AS node_id FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region),
-edges AS (
-  SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation
-  UNION ALL SELECT 'n' || a.n_nationkey, 'n' || min(b.n_nationkey) FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey > a.n_nationkey GROUP BY a.n_nationkey),
-x AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"""
+BASE_PAIRS = "x AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"
 
 
-@registered(f"""
-WITH RECURSIVE {BASE_SQL},
-e AS (SELECT src, dst FROM edges WHERE predicate = 'placed'), u AS (SELECT DISTINCT node_id FROM nodes)
-SELECT u.node_id, coalesce(least(u.node_id, s.m, d.m), u.node_id) AS component FROM u
-LEFT JOIN (SELECT src, least(src, min(dst)) AS m FROM e GROUP BY src) s ON u.node_id = s.src
-LEFT JOIN (SELECT e.dst, min(least(e.src, g.m)) AS m FROM e JOIN (SELECT src, min(dst) AS m FROM e GROUP BY src) g ON e.src = g.src GROUP BY e.dst) d ON u.node_id = d.dst""")
+@registered(f"WITH {BASE_SQL} SELECT DISTINCT node_id, min(node_id) OVER (PARTITION BY document_id) AS component FROM nodes")
 def components(spark, sf_dir):
-    """Components of customers and their orders, which are stars."""
+    """Components of the base graph: a nation, its customers and their orders each."""
     n, e, _ = base_graph(spark, sf_dir)
-    return analytics.components(n.select("node_id").distinct(), e.where("predicate = 'placed'"))
+    return analytics.components(n.select("node_id").distinct(), e)
 
 
 @registered(f"""
-WITH RECURSIVE {RING_SQL},
-w(s, node_id, d) AS (SELECT node_id, node_id, 0 FROM nodes UNION SELECT s, b, d + 1 FROM w JOIN x ON a = node_id WHERE d < 8),
+WITH RECURSIVE {BASE_SQL}, {BASE_PAIRS},
+w(s, node_id, d) AS (SELECT node_id, node_id, 0 FROM nodes WHERE type = 'nation' UNION SELECT s, b, d + 1 FROM w JOIN x ON a = node_id WHERE d < 4),
 m AS (SELECT s, node_id, min(d) AS d FROM w GROUP BY ALL)
-SELECT s AS node_id, round(count(*) FILTER (WHERE d > 0)::DOUBLE / sum(d)::DOUBLE, 9) AS closeness FROM m GROUP BY 1""")
+SELECT s AS node_id, coalesce(round(count(*) FILTER (WHERE d > 0)::DOUBLE / nullif(sum(d), 0)::DOUBLE, 9), 0) AS closeness FROM m GROUP BY 1""")
 def closeness(spark, sf_dir):
-    return analytics.closeness(*nation_ring(spark, sf_dir)).withColumn("closeness", F.round("closeness", 9))
+    """Of all nations, in the whole base graph."""
+    n, e, _ = base_graph(spark, sf_dir)
+    return analytics.closeness(n, e, n.where("type = 'nation'")).withColumn("closeness", F.round("closeness", 9))
 
 
 def _pagerank_sql(rounds: int) -> str:
-    steps = ["p0 AS (SELECT node_id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS p FROM nodes)"]
+    steps = ["ids AS MATERIALIZED (SELECT DISTINCT node_id FROM nodes)", "e AS MATERIALIZED (SELECT src, dst FROM edges)", "n AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM ids)", "o AS MATERIALIZED (SELECT src, count(*) AS c FROM e GROUP BY src)", "p0 AS MATERIALIZED (SELECT node_id, 1.0::DOUBLE / n AS p FROM ids, n)"]
     for i in range(rounds):
-        steps.append(f"""p{i + 1} AS (
-  SELECT n.node_id, 0.15::DOUBLE / (SELECT count(*) FROM nodes) + 0.85::DOUBLE * (SELECT coalesce(sum(p), 0) FROM p{i} WHERE node_id NOT IN (SELECT src FROM edges)) / (SELECT count(*) FROM nodes) + 0.85::DOUBLE * coalesce(g.s, 0) AS p
-  FROM nodes n LEFT JOIN (SELECT e.dst, sum(q.p / o.c) AS s FROM edges e JOIN p{i} q ON q.node_id = e.src JOIN o ON o.src = e.src GROUP BY e.dst) g ON g.dst = n.node_id)""")
-    return f"WITH {RING_SQL}, o AS (SELECT src, count(*) AS c FROM edges GROUP BY src), {', '.join(steps)} SELECT node_id, round(p, 9) AS pagerank FROM p{rounds}"
+        steps.append(f"""p{i + 1} AS MATERIALIZED (
+  SELECT ids.node_id, 0.15::DOUBLE / n.n + 0.85::DOUBLE * s.s / n.n + 0.85::DOUBLE * coalesce(g.s, 0) AS p
+  FROM ids CROSS JOIN n CROSS JOIN (SELECT coalesce(sum(p), 0) AS s FROM p{i} WHERE node_id NOT IN (SELECT src FROM o)) s
+  LEFT JOIN (SELECT e.dst, sum(q.p / o.c) AS s FROM e JOIN p{i} q ON q.node_id = e.src JOIN o ON o.src = e.src GROUP BY e.dst) g ON g.dst = ids.node_id)""")
+    return f"WITH {BASE_SQL}, {', '.join(steps)} SELECT node_id, round(p, 9) AS pagerank FROM p{rounds}"
 
 
-@registered(_pagerank_sql(8))
+@registered(_pagerank_sql(16))
 def pagerank(spark, sf_dir):
-    """Eight rounds, so that SQL can write them out."""
-    return analytics.pagerank(*nation_ring(spark, sf_dir), max_iterations=8, eps=0.0).withColumn("pagerank", F.round("pagerank", 9))
+    """Over the whole base graph until it stands still; so far SQL writes its rounds out."""
+    n, e, _ = base_graph(spark, sf_dir)
+    return analytics.pagerank(n, e, eps=1e-12).withColumn("pagerank", F.round("pagerank", 9))
 
 
-@registered()
+def _label_propagation_sql(rounds: int) -> str:
+    steps = ["l0 AS MATERIALIZED (SELECT DISTINCT node_id, node_id AS c FROM nodes)", "y AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION ALL SELECT dst, src FROM edges WHERE src <> dst)"]
+    for i in range(rounds):
+        steps.append(f"""l{i + 1} AS MATERIALIZED (
+  SELECT node_id, c FROM (SELECT node_id, c, count(*) AS w FROM (SELECT a AS node_id, c FROM y JOIN l{i} ON b = node_id UNION ALL SELECT node_id, c FROM l{i}) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY w DESC, c) = 1)""")
+    return f"WITH {BASE_SQL}, {', '.join(steps)} SELECT node_id, c AS community FROM l{rounds}"
+
+
+@registered(_label_propagation_sql(20))
 def label_propagation(spark, sf_dir):
-    """Communities; tested against a plain version, for SQL has no loop of this kind."""
-    return analytics.label_propagation(*nation_ring(spark, sf_dir))
+    """Communities of the whole base graph after 20 rounds at most."""
+    n, e, _ = base_graph(spark, sf_dir)
+    return analytics.label_propagation(n, e)
 
 
 # -- F. text -------------------------------------------------------------------------------
@@ -627,13 +621,13 @@ def doc_context(spark, sf_dir):
 
 
 MARKED_SQL = """
-d AS (SELECT doc_id, '# Title ' || doc_id || chr(10) || '![[pic.png]] **bold** and *it* `code` [[Link ' || doc_id || ']] %%note' || chr(10) || 'more%%' || chr(10) || chr(10) || chr(10) || chr(10) || regexp_replace(substr(text, 1, 200), '[*`#%\\[\\]]', '', 'g') || chr(10) || '## Part' || chr(10) || '[[' || lang || ']]' AS t FROM documents)"""
+d AS (SELECT doc_id, '# Title ' || doc_id || chr(10) || '![[pic.png]] **bold** and *it* `code` [[Link ' || doc_id || ']] %%note' || chr(10) || 'more%%' || chr(10) || chr(10) || chr(10) || chr(10) || regexp_replace(text, '[*`#%\\[\\]]', '', 'g') || chr(10) || '## Part' || chr(10) || '[[' || lang || ']]' AS t FROM documents)"""
 
 
 def marked(spark, sf_dir):
-    """Each document's beginning with markup about it: fixtures for the cleaning passes."""
+    """Each whole document with markup about it: fixtures for the cleaning passes."""
     d = table(spark, sf_dir, "documents")
-    body = F.regexp_replace(F.substring("text", 1, 200), r"[*`#%\[\]]", "")
+    body = F.regexp_replace("text", r"[*`#%\[\]]", "")
     t = F.concat(F.lit("# Title "), "doc_id", F.lit("\n![[pic.png]] **bold** and *it* `code` [[Link "), "doc_id", F.lit("]] %%note\nmore%%\n\n\n\n"), body, F.lit("\n## Part\n[["), "lang", F.lit("]]"))
     return d.select("doc_id", t.alias("text"))
 
@@ -921,18 +915,20 @@ def stored_edges(spark, sf_dir):
     return store.stored_edges(e.select("src", "predicate", "dst"), own, 1, "doc3").select("src", "predicate", "dst", "confidence")
 
 
-@registered(f"""
-WITH RECURSIVE {RING_SQL}, w(s, node_id) AS (SELECT node_id, node_id FROM nodes UNION SELECT s, b FROM w JOIN x ON a = node_id)
-SELECT component, count(*) AS size FROM (SELECT node_id, min(s) AS component FROM w GROUP BY 1) GROUP BY 1""")
+@registered(f"WITH {BASE_SQL} SELECT component, count(*) AS size FROM (SELECT DISTINCT node_id, min(node_id) OVER (PARTITION BY document_id) AS component FROM nodes) GROUP BY 1")
 def communities(spark, sf_dir):
-    """Sizes of connected components."""
-    return analytics.communities(*nation_ring(spark, sf_dir))
+    """Sizes of the base graph's connected components."""
+    n, e, _ = base_graph(spark, sf_dir)
+    return analytics.communities(n.select("node_id").distinct(), e)
 
 
 @registered(f"""
-WITH RECURSIVE {RING_SQL}, w(s, node_id) AS (SELECT node_id, node_id FROM nodes UNION SELECT s, b FROM w JOIN x ON a = node_id),
-c AS (SELECT DISTINCT m FROM (SELECT node_id, min(s) AS m FROM w GROUP BY 1)), t AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS e)
-SELECT n AS nodes, e AS edges, e::DOUBLE / (n::DOUBLE * (n - 1)::DOUBLE) AS density, 2 * e::DOUBLE / n::DOUBLE AS average_degree, 0 AS documents, (SELECT count(*) FROM c) AS components,
-  (SELECT count(*) FROM nodes WHERE node_id NOT IN (SELECT a FROM x)) AS isolates FROM t""")
+WITH {BASE_SQL}, t AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS e)
+SELECT n AS nodes, e AS edges, e::DOUBLE / (n::DOUBLE * (n - 1)::DOUBLE) AS density, 2 * e::DOUBLE / n::DOUBLE AS average_degree, (SELECT count(*) FROM docs) AS documents,
+  (SELECT count(DISTINCT document_id) FROM nodes) AS components, (SELECT count(*) FROM nodes WHERE node_id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)) AS isolates FROM t""")
 def graph_metrics(spark, sf_dir):
-    return analytics.metrics(*nation_ring(spark, sf_dir))
+    n, e, d = base_graph(spark, sf_dir)
+    return analytics.metrics(n, e, d)
+
+
+from weftline import store_queries, text_queries  # noqa: E402, F401  (they register more)
