@@ -73,17 +73,25 @@ def route(c: Column, file_type: Column | None = None, limit: int = 8000) -> Colu
     return F.when(~is_suitable(c), "skip").when(pdf | (token_estimate(c) >= limit), "chunk").otherwise("document")
 
 
+#: Words and joints of the contexts, and what a page is cleaned by: fixed values.
+CONTEXT_PARTS = ("Document", "Type", "Tags")
+NO_CONTEXT = "Personal knowledge document"
+JOINT = " | "
+LINE_ENDS, HYPHEN, BLANK_LINES = r"\r\n|\n|\r", "-\n", r"\n\s*\n\s*\n+"
+
+
 def extraction_context(title: Column, file_type: Column, tags: Column) -> Column:
     def part(name: str, c: Column) -> Column:
         return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(name + ": "), c))
 
-    t = F.concat_ws(" | ", part("Document", title), part("Type", file_type), part("Tags", F.array_join(F.slice(tags, 1, 3), ", ")))
-    return F.when(t == "", "Personal knowledge document").otherwise(t)
+    values = (title, file_type, F.array_join(F.slice(tags, 1, 3), ", "))
+    t = F.concat_ws(JOINT, *[part(n, v) for n, v in zip(CONTEXT_PARTS, values)])
+    return F.when(t == "", NO_CONTEXT).otherwise(t)
 
 
 def chunk_context(page: Column, pages: Column, idx: Column, title: Column) -> Column:
     page_text = F.when(page.isNotNull() & pages.isNotNull(), F.concat(F.lit("Page "), page, F.lit(" of "), pages)).when(page.isNotNull(), F.concat(F.lit("Page "), page))
-    return F.concat_ws(" | ", F.coalesce(page_text, F.concat(F.lit("Chunk "), idx)), title)
+    return F.concat_ws(JOINT, F.coalesce(page_text, F.concat(F.lit("Chunk "), idx)), title)
 
 
 def word_count(c: Column) -> Column:
@@ -116,9 +124,9 @@ def json_from_reply(c: Column) -> Column:
 def normalized_page(page: Column, headers: Column, footers: Column) -> Column:
     """A page without its running header and footer, words joined over line ends,
     at most one blank line in a row."""
-    lines = F.split(text(page), r"\r\n|\n|\r", -1)
+    lines = F.split(text(page), LINE_ENDS, -1)
     lines = F.when(F.array_contains(headers, strip(lines[0])), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
     last = F.element_at(lines, -1)
     lines = F.when((F.size(lines) > 1) & F.array_contains(footers, strip(last)), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    t = F.replace(F.array_join(lines, "\n"), F.lit("-\n"), F.lit(""))
-    return strip(F.regexp_replace(t, r"\n\s*\n\s*\n+", "\n\n"))
+    t = F.replace(F.array_join(lines, "\n"), F.lit(HYPHEN), F.lit(""))
+    return strip(F.regexp_replace(t, BLANK_LINES, "\n\n"))

@@ -153,25 +153,30 @@ def compiled_edges(spec: MappingSpec, columns: list[str]) -> list[tuple[str, Col
     ]
 
 
+#: Words in the name or description of an attribute that make it a label, and types that do not: fixed values.
+TITLE_WORDS = ("name", "title", "label")
+DESCRIBED_WORDS = ("name", "label", "display", "title", "identifier")
+SECOND_WORDS = ("display", "description", "full_name")
+NO_LABEL_TYPES = ("integer", "float", "date", "datetime")
+
+
 def label_order(entity: Entity) -> list[Attribute]:
     """Attributes that can label an entity, best first. Rank of an attribute:
     named like a title, described like one, named like a description, any text but
     ids and dates, anything but ids, numbers and dates; then all but ids; then the
     first one."""
-    titles, described = ("name", "title", "label"), ("name", "label", "display", "title", "identifier")
-
     def rank(a: Attribute) -> int | None:
         name, about = a.name.lower(), a.description.lower()
         is_id = name.endswith("_id")
-        if any(w in name for w in titles):
+        if any(w in name for w in TITLE_WORDS):
             return 1
-        if any(w in about for w in described):
+        if any(w in about for w in DESCRIBED_WORDS):
             return 2
-        if any(w in name for w in ("display", "description", "full_name")):
+        if any(w in name for w in SECOND_WORDS):
             return 3
         if a.type == "string" and not is_id and "date" not in name:
             return 4
-        if not is_id and a.type not in ("integer", "float", "date", "datetime"):
+        if not is_id and a.type not in NO_LABEL_TYPES:
             return 5
         return None
 

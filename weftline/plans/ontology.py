@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 from .mapping import Attribute, Edge, Entity, Key, MappingSpec
 
+#: Signs between the ends of a relationship given as text: fixed values.
 ARROW = re.compile(r"\s*(?:->|→|-|\|)\s*")
 #: Header names to try for a target whose name holds the word: fixed values.
 SYNONYMS = {

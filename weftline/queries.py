@@ -696,7 +696,7 @@ def page_chunks(spark, sf_dir):
 
 @registered()
 def extract_triples(spark, sf_dir):
-    """The default extractor over all documents; tested against the rule itself."""
+    """The default extractor's relations over all documents."""
     return extract.extracted_graph(extract.extract(table(spark, sf_dir, "documents"), id_cols=("doc_id",)))[1]
 
 

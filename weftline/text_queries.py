@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.operators import chunk, extract
-from weftline.queries import registered, table
+from weftline.queries import ORACLE, registered, table
 
 SIZE = 1000
 
@@ -90,6 +90,9 @@ def extracted_relations(spark, sf_dir):
     return t.where("predicate is not null").select("doc_id", "src", "predicate", "dst").distinct()
 
 
+ORACLE["extract_triples"] = ORACLE["extracted_relations"].replace("SELECT DISTINCT doc_id, src", "SELECT DISTINCT src")
+
+
 @registered(f"WITH {PARTS_SQL}, f AS (SELECT DISTINCT doc_id, unnest(list_transform(y, lambda z: z[1])) AS name FROM r) SELECT doc_id, string_agg(name, '|' ORDER BY name) AS names FROM f GROUP BY 1")
 def extracted_entities(spark, sf_dir):
     """The names of each document, over all its chunks or all of it."""
