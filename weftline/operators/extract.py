@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import texts
@@ -83,6 +83,58 @@ def extracted_graph(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ends, triples.where("predicate is not null").select("src", "predicate", "dst").distinct()
 
 
+def keywords(docs: DataFrame, n: int = 5, id_col: str = "document_id", text_col: str = "text", least: int = 4) -> DataFrame:
+    """(document_id, keywords): each document's n most frequent words of ``least``
+    Latin letters or more, lower-cased; of equally frequent ones the first in the
+    alphabet. Documents without such a word have none and no row. A deterministic
+    default for what a model may say better (see ``described``)."""
+    w = docs.select(F.col(id_col).alias("document_id"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]{%d,}" % least), 0)).alias("word"))
+    counted = w.groupBy("document_id", "word").agg(F.count("*").alias("c"))
+    rank = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("c"), "word"))
+    top = counted.withColumn("r", rank).where(F.col("r") <= n)
+    return top.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("r", "word")))["word"].alias("keywords"))
+
+
+def described(docs: DataFrame, model: Callable[[str], dict], id_cols: tuple[str, ...] = ("document_id",), text_col: str = "text") -> DataFrame:
+    """(ids..., topics, keywords) by a model: a function of a text that gives a
+    dictionary with these lists. Texts of ten characters or fewer, and whatever the
+    model leaves out, give empty lists; each list has its entries once, in order."""
+    ids = list(id_cols)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*ids).schema) + ", topics array<string>, keywords array<string>"
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for *own, text in pdf.itertuples(index=False):
+                said = model(text) if text is not None and len(text.strip()) > MIN_CHARS else {}
+                rows.append((*own, *[list(dict.fromkeys(str(x) for x in said.get(k) or [])) for k in ("topics", "keywords")]))
+            yield pd.DataFrame(rows, columns=[*ids, "topics", "keywords"])
+
+    return docs.select(*ids, F.col(text_col)).mapInPandas(run, schema)
+
+
+def checked(triples: DataFrame, nodes: DataFrame | None = None, predicates: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(relations that stand, issues): of (..., src, predicate, dst) those with both
+    ends and a predicate, that are no loops, whose ends are among ``nodes`` and
+    whose predicate is among ``predicates``, where these are given; others with the
+    first reason against them, in ``issue``."""
+    t = triples.where("predicate is not null or dst is not null")
+
+    def blank(c: str):
+        return F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+
+    issue = F.when(blank("src") | blank("dst"), "an end is missing").when(blank("predicate"), "no predicate").when(F.col("src") == F.col("dst"), "a loop")
+    if predicates is not None:
+        issue = issue.when(~F.col("predicate").isin(*predicates), "unknown predicate")
+    if nodes is not None:
+        known = nodes.select("node_id").distinct()
+        for c in ("src", "dst"):
+            t = t.join(known.select(F.col("node_id").alias(c), F.lit(True).alias(f"_{c}")), c, "left")
+        issue = issue.when(F.col("_src").isNull() | F.col("_dst").isNull(), "unknown node")
+    t = t.withColumn("issue", issue).select(*triples.columns, "issue")
+    return t.where("issue is null").drop("issue").distinct(), t.where("issue is not null")
+
+
 def enrich_metadata(docs: DataFrame) -> DataFrame:
     """tags with topics and categories with keywords, each once; topics and keywords: the first five."""
     return docs.withColumns({

@@ -114,6 +114,24 @@ def normalise(spec: dict | None) -> Ontology:
     return Ontology(entities, relationships)
 
 
+def suggest(profile: list[dict], name: str = "Row") -> dict:
+    """An ontology from a column profile (name, non_null, nulls, distinct,
+    inferred_type): what stands in for a model that looks at the table. The key is
+    the first column whose values are all there and all different, those that end
+    in key or id first; text columns with at most half as many values as rows, and
+    other such columns that end in key or id, are targets of has_<column>; the rest
+    are attributes."""
+    def named(c: str) -> bool:
+        return snake(c).endswith(("id", "key"))
+
+    unique = [p["name"] for p in profile if p["non_null"] and not p["nulls"] and p["distinct"] == p["non_null"]]
+    key = next(iter(sorted(unique, key=lambda c: not named(c))), None)
+    targets = [p["name"] for p in profile if p["name"] != key and p["non_null"] and 2 * p["distinct"] <= p["non_null"] and (p["inferred_type"] == "string" or named(p["name"]))]
+    attributes = [{"name": p["name"], "type": p["inferred_type"]} for p in profile if p["name"] not in (key, *targets)]
+    main = {"name": name, "attributes": attributes} | ({"key": key} if key else {})
+    return {"entities": [main, *({"name": t, "key": t} for t in targets)], "relationships": [{"predicate": f"has_{snake(t)}", "source": name, "target": t} for t in targets]}
+
+
 def main_entity(ontology: Ontology, headers: Headers) -> tuple[str, str]:
     """(entity, key column): the source of most relationships (the first of
     equals); else the first whose key is a header; else the first with a header

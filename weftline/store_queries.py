@@ -450,6 +450,17 @@ def ontology_normalised(spark, sf_dir):
     return spark.createDataFrame(rows, "kind string, name string, value string")
 
 
+@registered("""
+SELECT 'Row' AS entity, 'key' AS what, 'c_custkey' AS name UNION ALL SELECT 'Row', 'attribute', unnest(['c_name', 'c_acctbal']) UNION ALL SELECT 'Row', 'has', unnest(['c_nationkey', 'c_mktsegment'])""")
+def ontology_suggested(spark, sf_dir):
+    """From a column profile of the whole table: key, attributes and relationships."""
+    c = table(spark, sf_dir, "customer")
+    spec = ontology.suggest([r.asDict() for r in profile.column_profile(c).collect()])  # one row a column
+    main = spec["entities"][0]
+    rows = [(main["name"], "key", main["key"])] + [(main["name"], "attribute", a["name"]) for a in main["attributes"]] + [(r["source"], "has", r["target"]) for r in spec["relationships"]]
+    return spark.createDataFrame(rows, "entity string, what string, name string")
+
+
 @registered("""
 SELECT * FROM (VALUES ('entity ''Nation'': key ''n_nationkey'' is not among the headers'), ('relationship ''lives_in'': target_col ''n_nationkey'' is not among the headers')) v(issue)""")
 def ontology_validated(spark, sf_dir):

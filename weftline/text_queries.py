@@ -113,3 +113,33 @@ def extraction_routes(spark, sf_dir):
 def first_topics(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", *[F.array(*map(F.lit, "abcdefg")).alias(c) for c in ("tags", "topics", "categories", "keywords")])
     return extract.enrich_metadata(d).select("doc_id", F.array_join("topics", ",").alias("topics"))
+
+
+@registered("""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL),
+r AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS r FROM c)
+SELECT doc_id AS document_id, string_agg(word, ',' ORDER BY r) AS keywords FROM r WHERE r <= 5 GROUP BY 1""")
+def document_keywords(spark, sf_dir):
+    k = extract.keywords(table(spark, sf_dir, "documents"), id_col="doc_id")
+    return k.select("document_id", F.array_join("keywords", ",").alias("keywords"))
+
+
+@registered("SELECT doc_id, lang || ',x' AS topics, 'n' || (length(text) % 7) AS keywords FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 10")
+def described_documents(spark, sf_dir):
+    """A stand-in for a model, on all documents: a topic that comes twice stays once."""
+    d = table(spark, sf_dir, "documents").withColumn("t", F.concat("lang", F.lit("|"), "text"))
+    said = extract.described(d, lambda t: {"topics": [t.split("|")[0], "x", "x"], "keywords": [f"n{(len(t) - len(t.split('|')[0]) - 1) % 7}"]}, ("doc_id", "text"), "t")
+    return said.where(F.length(F.trim("text", F.lit(" \t\n\r"))) > 10).select("doc_id", F.array_join("topics", ",").alias("topics"), F.array_join("keywords", ",").alias("keywords"))
+
+
+@registered("""
+SELECT issue, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'an end is missing' WHEN o_orderkey % 5 = 1 THEN 'no predicate' WHEN o_orderkey % 5 = 2 THEN 'a loop' WHEN o_orderstatus NOT IN ('O', 'F') THEN 'unknown predicate'
+  WHEN o_custkey % 2 = 1 THEN 'unknown node' ELSE 'none' END AS issue FROM orders) GROUP BY 1""")
+def checked_relations(spark, sf_dir):
+    """Relations with what speaks against them; those that stand have no issue."""
+    o = table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey") % 5, F.concat(F.lit("c"), "o_custkey")
+    t = o.select("o_orderkey", c.alias("src"), F.when(k == 1, " ").otherwise(F.col("o_orderstatus")).alias("predicate"), F.when(k == 0, F.lit("")).when(k == 2, c).otherwise(F.concat(F.lit("o"), "o_orderkey")).alias("dst"))
+    nodes = o.where("o_custkey % 2 = 0").select(c.alias("node_id")).union(o.select(F.concat(F.lit("o"), "o_orderkey")))
+    good, bad = extract.checked(t, nodes, ["O", "F"])
+    return bad.groupBy("issue").agg(F.count("*").alias("n")).unionByName(good.agg(F.count("*").alias("n")).where("n > 0").select(F.lit("none").alias("issue"), "n"))
