@@ -62,8 +62,8 @@ def csv_first_rows(spark, sf_dir):
 def csv_head(spark, sf_dir):
     """Delimiter, headers and a sample in one call."""
     delimiter, headers, rows = files.read_head(spark, nation_csv(spark, sf_dir, "|"), 5)
-    head = spark.createDataFrame([(delimiter, i, h) for i, h in enumerate(headers)], "delimiter string, place int, header string")
-    return head.crossJoin(rows.agg(F.count("*").cast("int").alias("rows")))  # one row
+    n = rows.count()
+    return spark.createDataFrame([(delimiter, i, h, n) for i, h in enumerate(headers)], "delimiter string, place int, header string, rows int")
 
 
 @registered("SELECT unnest([',', ';', '|', chr(9)]) AS written, unnest([',', ';', '|', chr(9)]) AS found")
