@@ -7,8 +7,9 @@ shards' residual capacity is highest.
 2. Groups of more than 1/LARGE of a shard's bytes, tokens or rows (at most
    3 * LARGE * shards of them) are placed by the driver, largest first; a group
    that no shard can hold is cut into equal parts.
-3. All other groups are packed by their partitions into FINE bundles for each
-   shard; the driver then places the bundles (partitions * shards * FINE of them).
+3. All other groups are packed by their partitions into FINE bundles or more for
+   each shard; the driver then places the bundles (shards * BUNDLES of them, or
+   partitions * shards * FINE if that is more).
 4. Rows meet their group's place by a join whose sides both have plain exchanges,
    so that a text that a third of all rows hold is split. The rows of a cut group
    are dealt out in turn by each task, whatever their ids. The joined rows are
@@ -28,8 +29,8 @@ from .common import width, written
 LARGE = 64
 #: Partitions that pack groups, at most.
 PACKERS = 8192
-#: Bundles of a partition for each shard.
-FINE = 4
+#: Bundles of a partition for each shard, at least, and of all partitions together for each shard where these are few.
+FINE, BUNDLES = 4, 1024
 #: Bytes, tokens and rows in the dot product. The law is near equal bytes, so bytes weigh most.
 WEIGHTS = np.array([8.0, 1.0, 1.0])
 
@@ -90,10 +91,13 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     where = place(np.array(sizes).reshape(-1, 3), load, capacity)
     fixed = spark.createDataFrame([(*p, int(s)) for p, s in zip(parts, where)], "h1 long, h2 long, part int, shard int")
 
+    packers = min(PACKERS, width(spark))
+    bins = shards * max(FINE, -(-BUNDLES // packers))
+
     def bundle(batches):
         from pyspark import TaskContext
 
-        pid, bins = TaskContext.get().partitionId(), shards * FINE
+        pid = TaskContext.get().partitionId()
         got = [b for b in batches if b.num_rows]
         if not got:
             return
@@ -104,7 +108,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column("h1"), b.column("h2"), pa.array(np.full(b.num_rows, pid * bins) + to[i:i + b.num_rows]), b.column("bytes"), b.column("tokens"), b.column("n")], ["h1", "h2", "bundle", "bytes", "tokens", "n"])
             i += b.num_rows
 
-    small = groups.where(~is_large).repartition(min(PACKERS, width(spark)), "h1").mapInArrow(bundle, "h1 long, h2 long, bundle long, bytes long, tokens long, n long")
+    small = groups.where(~is_large).repartition(packers, "h1").mapInArrow(bundle, "h1 long, h2 long, bundle long, bytes long, tokens long, n long")
     small = written(small, "bundles")
     sums = small.groupBy("bundle").agg(F.sum("bytes"), F.sum("tokens"), F.sum("n")).collect()
     where = place(np.array([[float(x) for x in r[1:]] for r in sums]).reshape(-1, 3), load, capacity)
