@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from weftline.llm import jaccard, queries
 
@@ -66,3 +68,42 @@ def test_edge_cases(docs, clashing):
     assert left(jaccard.one_of_each(docs([]))) == set()
     got = [r.doc_id for r in jaccard.one_of_each(clashing([(1, "a b"), (1, "a b"), (2, "A  b"), (None, "a b"), (3, None)])).collect()]
     assert sorted(got, key=lambda i: i or 0) == [None, 1, 1, 3]
+
+
+def plain_forest(found, least):
+    root = list(range(len(found)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(found)), 2):
+        if jaccard.similarity(found[i], found[j]) >= least:
+            root[find(j)] = find(i)
+    return [find(i) for i in range(len(found))]
+
+
+def test_a_forest_connects_what_is_similar():
+    rng = random.Random(7)
+    for n, small in itertools.product((1, 2, 5, 60), (0, 3, 100)):
+        found = []
+        for _ in range(n):
+            base = set(range(rng.choice((0, 300, 900)), 1000, rng.choice((3, 7))))
+            found.append(np.array(sorted(x for x in base if rng.random() > 0.12), np.uint64))
+        found += [np.empty(0, np.uint64)] * 2
+        got = jaccard.forest(found, 0.8, small)
+        assert len(got) < len(found) and all(jaccard.similarity(found[i], found[j]) >= 0.8 for i, j in got)
+        root = list(range(len(found)))
+        for i, j in got:
+            root = [root[i] if r == root[j] else r for r in root]
+        want = plain_forest(found, 0.8)
+        assert len(set(root)) == len(set(want)) and len(set(zip(root, want))) == len(set(want))
+
+
+def test_buckets_cut_into_blocks(docs, monkeypatch):
+    texts = {**copies(60, 80, 9, 5), **{100 + i: t for i, t in copies(20, 60, 4, 6).items()}}
+    want = plain_left(texts)
+    assert 20 < len(want) < len(texts)
+    monkeypatch.setattr(jaccard, "ELEMENTS", 500)
+    assert left(jaccard.one_of_each(docs(list(texts.items())))) == want

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import grouped, prepare, written
 
 MARKUP = re.compile(r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>|&\w+;")
 LETTERS = re.compile(r"[a-z]+")
@@ -126,23 +126,6 @@ def word_counts(pages: DataFrame, html_col: str) -> DataFrame:
     return written(pages.select(F.col(html_col).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
-def grouped(run, rows: int = 50_000):
-    """The same rows as ``run`` gives, in batches of ``rows`` or more."""
-
-    def joined(batches):
-        held, n = [], 0
-        for b in run(batches):
-            held.append(b)
-            n += b.num_rows
-            if n >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return joined
-
-
 def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
     """(name, parts): each name, a run of letters, split into words."""
     spark: SparkSession = names.sparkSession
@@ -159,7 +142,7 @@ def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
                         found = list({name[j:j + n] for j in range(i, min(i + STRETCHES, len(name) - n + 1))})
                         yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), pa.array(found, pa.string())], ["k", "word"])
 
-    met = names.select(F.xxhash64("name").alias("k"), "name").mapInArrow(grouped(stretches), "k long, word string").distinct().join(words, "word")
+    met = names.select(F.xxhash64("name").alias("k"), "name").mapInArrow(grouped(stretches, 50_000), "k long, word string").distinct().join(words, "word")
     # Names with the same hash only share their words' counts.
     listed = met.groupBy("k").agg(F.collect_list(F.struct("word", "n")).alias("words"))
     both = names.withColumn("k", F.xxhash64("name")).join(listed, "k", "left").select("name", "words")
