@@ -146,3 +146,17 @@ def test_hundreds_of_languages(spark):
     assert model.languages == names
     right = sum(r.lang_pred == r.lang for r in langid.predict(df, model).join(df, "doc_id").collect())
     assert right >= 0.95 * len(rows)
+
+
+def test_temperature_against_a_grid():
+    rng = np.random.default_rng(8)
+    for scale in (0.5, 2.0, 6.0):
+        z, y = rng.normal(size=(300, 4)) * scale, rng.integers(0, 4, 300)
+        z[np.arange(300), y] += 1.5
+
+        def loss(t):
+            return -np.mean([math.log(langid.softmax(a / t)[k]) for a, k in zip(z, y)])
+
+        grid = np.exp(np.linspace(math.log(0.5), math.log(20.0), 150))
+        assert loss(langid.calibrated(z, y)) <= min(map(loss, grid)) + 1e-9
+    assert langid.calibrated(np.zeros((0, 3)), np.zeros(0, int)) == 1.0
