@@ -32,7 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import prepare, width, written
 
-NODES, SAMPLE, BLOCK, LEAF, FAN = 64, 4096, 4096, 32, 16
+NODES, SAMPLE, BLOCK, LEAF, FAN = 64, 4096, 4096, 64, 16
+#: Points of a leaf of queries: the worst kth score of a smaller set cuts more.
+QUERY_LEAF = 32
+#: Leaves that a leaf of queries meets at first; then twice as many each time, with the scores found so far.
+FIRST_LEAVES = 8
 NEVER = -np.inf
 
 
@@ -80,10 +84,11 @@ class Tree:
     from those before, until half the covering radius or FAN of them is reached. A
     child's points are nearer to its centre than to the other centres, and centres
     are at least as far from one another as the children's covering radii. Nodes of
-    LEAF points or fewer, or of equal points, have no children. order lists the
+    ``leaf`` points or fewer, or of equal points, have no children. order lists the
     points so that each node has those from begin to end."""
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, leaf: int | None = None):
+        leaf = LEAF if leaf is None else leaf
         self.x, self.order = x, np.arange(len(x))
         norms = np.sqrt((x ** 2).sum(axis=1))
         rows, todo = [], [(0, len(x), 0)]
@@ -98,7 +103,7 @@ class Tree:
             reach = float(gap.max()) if len(at) else 0.0
             rows.append((begin, end, center, reach, norm.min() if len(at) else 0.0, norm.max() if len(at) else 0.0, angle.max() + 1e-7 if len(at) else 0.0))
             self.first.append(len(todo))
-            if len(at) <= LEAF or reach == 0:
+            if len(at) <= leaf or reach == 0:
                 self.kids.append(0)
                 continue
             net, near, of = [c - begin], gap.copy(), np.zeros(len(at), np.int64)
@@ -170,7 +175,7 @@ def search(queries: Tree, q_ids: np.ndarray, data: Tree, ids: np.ndarray, kth: n
         own = a == node
         q_at, order = queries.points(node), np.argsort(-u[own])
         todo, bound = b[own][order], u[own][order]
-        best, x, i, size = Best(kth[q_at], k), queries.x[q_at], 0, 4
+        best, x, i, size = Best(kth[q_at], k), queries.x[q_at], 0, FIRST_LEAVES
         while i < len(todo):
             go = int(np.searchsorted(-bound[i:i + size], -best.kth.min(), "right"))
             if go:
@@ -283,9 +288,11 @@ def one_dim(rows: DataFrame, dim: int, asks: Column, k: int, id_col: str, meter:
             if not b.num_rows:
                 continue
             x, ids = matrix(b.column(1).to_pylist(), dim), b.column(0).to_numpy()
-            gap = ((x[:, None, :] - centers[None]) ** 2).sum(axis=2)
+            square = (x ** 2).sum(axis=1)
+            gap = np.maximum(0.0, square[:, None] + size ** 2 - 2 * (x @ centers.T))
             node = gap.argmin(axis=1)
-            norm = np.sqrt((x ** 2).sum(axis=1))
+            norm = np.sqrt(square)
+            gap = ((x - centers[node]) ** 2).sum(axis=1)
             angle = angles((x * centers[node]).sum(axis=1), norm, size[node]) + 1e-7
             kth, order = np.full(len(x), NEVER), [None] * len(x)
             at = np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False))
@@ -295,7 +302,7 @@ def one_dim(rows: DataFrame, dim: int, asks: Column, k: int, id_col: str, meter:
                 s = x[at] @ s_x.T
                 s[ids[at][:, None] == s_ids[None, :]] = NEVER
                 kth[at] = np.partition(s, len(s_x) - k, axis=1)[:, len(s_x) - k]
-            made = (b.column(0), b.column(1), b.column(2), pa.array(node.astype(np.int32)), pa.array(np.sqrt(gap[np.arange(len(x)), node])), pa.array(norm), pa.array(angle), pa.array(kth), pa.array(order, pa.binary()))
+            made = (b.column(0), b.column(1), b.column(2), pa.array(node.astype(np.int32)), pa.array(np.sqrt(gap)), pa.array(norm), pa.array(angle), pa.array(kth), pa.array(order, pa.binary()))
             yield pa.RecordBatch.from_arrays(list(made), ["id", "v", "asks", "node", "gap", "norm", "angle", "kth", "by"])
 
     filed = rows.withColumnRenamed("id", id_col).select(F.col(id_col).alias("id"), "v", asks.alias("asks"))
@@ -357,7 +364,7 @@ def one_dim(rows: DataFrame, dim: int, asks: Column, k: int, id_col: str, meter:
                 if tree is None:
                     tree, all_ids, vs = Tree(matrix(vs, dim)), np.array(ids), []
                 q = np.frombuffer(q_ids, np.int64)
-                got, count = search(Tree(np.frombuffer(v, np.float64).reshape(len(q), dim)), q, tree, all_ids, np.frombuffer(kth, np.float64), k)
+                got, count = search(Tree(np.frombuffer(v, np.float64).reshape(len(q), dim), QUERY_LEAF), q, tree, all_ids, np.frombuffer(kth, np.float64), k)
                 found += [(q[at], i, s.astype(np.int64)) for at, s, i in got if len(at)]
                 for name, n in zip(("pairs", "pairs_cut", "products"), count.tolist()):
                     meter[name].add(n)
