@@ -44,15 +44,23 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
-    survives the loss of any executor."""
+    survives the loss of any executor. What is not discarded before goes when the
+    application ends."""
     spark = df.sparkSession
     path = new_folder(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
+    passing(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
+def passing(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for df in tables:

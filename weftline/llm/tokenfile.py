@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, prepare, width, written
+from .common import new_folder, passing, prepare, width, written
 from .tokens import encoder
 
 MAGIC, BLOCK, PERCENTILE = b"WPFR", 256, 0.9
@@ -240,8 +240,12 @@ def read_tokens(manifest: DataFrame, digest: bool = True) -> DataFrame:
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int | None = 2, byte_level: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write to a new folder in the shared one, and read back; see write_tokens for
-    what nulls, repeated ids and empty tables give. Rows come in any order; those
-    that repeat an id have a ``start`` each."""
+    """Write to a new folder in the shared one, which stays as long as the
+    application, and read back; see write_tokens for what nulls, repeated ids and
+    empty tables give. Rows come in any order; those that repeat an id have a
+    ``start`` each."""
     spark: SparkSession = docs.sparkSession
-    return read_tokens(write_tokens(docs, tokenizer, new_folder(spark, "tokens"), end_id, byte_level, id_col, text_col))
+    folder = new_folder(spark, "tokens")
+    manifest = write_tokens(docs, tokenizer, folder, end_id, byte_level, id_col, text_col)
+    passing(spark, folder)
+    return read_tokens(manifest)
