@@ -24,11 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
 def kept(df: DataFrame, tag: str, **measured: Column) -> DataFrame:
     """Write to the shared folder and read back: lineage ends here, and a lost
     executor costs nothing that was written. measured: aggregates by name, taken in
-    the same job; ``.seen`` of the result has their values."""
+    the same job; ``.seen`` of the result has their values. What is not dropped
+    before goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/graph-{tag}-{uuid.uuid4().hex}"
     watch = Observation() if measured else None
     (df.observe(watch, *[c.alias(n) for n, c in measured.items()]) if measured else df).write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to, out.seen = path, watch.get if measured else {}
     return out
