@@ -76,17 +76,20 @@ def fingerprints(docs: DataFrame, k: int = 4, seed: int = 42, id_col: str = "doc
     return rows.mapInArrow(run, "id long, fp long")
 
 
-def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each fingerprint's cell keys: (keys, index of the fingerprint). A key holds
-    the half and its counts."""
-    fp = fp.view(np.uint64)
+def own_cells(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For either half: (each fingerprint's counts, the key of its own cell). A key
+    holds the half and its counts."""
     shift = np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(SEGMENT_BITS)
-    counts = np.bitwise_count((fp[:, None] >> shift) & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64)
+    counts = np.bitwise_count((fp.view(np.uint64)[:, None] >> shift) & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64)
+    halves = [counts[:, half * HALF:(half + 1) * HALF] for half in range(2)]
+    return [(c, (half << (HALF * COUNT_BITS)) + (c << (COUNT_BITS * np.arange(HALF))).sum(axis=1)) for half, c in enumerate(halves)]
+
+
+def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each fingerprint's own cells and the next ones: (keys, index of the fingerprint)."""
     keys, of = [], []
     at = np.arange(len(fp))
-    for half in range(2):
-        c = counts[:, half * HALF:(half + 1) * HALF]
-        own = (half << (HALF * COUNT_BITS)) + (c << (COUNT_BITS * np.arange(HALF))).sum(axis=1)
+    for c, own in own_cells(fp):
         keys.append(own), of.append(at)
         for s in range(HALF):
             for step, ok in ((1, c[:, s] < SEGMENT_BITS), (-1, c[:, s] > 0)):
@@ -161,17 +164,26 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
 
-    def count(batches):
-        for batch in batches:
-            fp = batch.column(0).to_numpy()
-            for i in range(0, len(fp), 20_000):
-                key, n = np.unique(cells(fp[i:i + 20_000])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["cell", "n"])
+    def sizes(keys_of) -> DataFrame:
+        def count(batches):
+            for batch in batches:
+                fp = batch.column(0).to_numpy()
+                for i in range(0, len(fp), 20_000):
+                    key, n = np.unique(keys_of(fp[i:i + 20_000]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["cell", "n"])
+
+        return fps.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
     fps = distinct.select("fp")
-    sizes = fps.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > CELL)
-    large = written(sizes.select("cell", F.ceil(F.col("n") / CELL).cast("long").alias("blocks")), "large")
-    dealt = fps.mapInArrow(spread, "cell long, fp long").join(large, "cell", "left")
+    # A cell holds the fingerprints of so many own cells at most; without a full one among these no cell is too large.
+    full = sizes(lambda fp: np.concatenate([own for _, own in own_cells(fp)])).where(F.col("n") > CELL // (2 * HALF + 1))
+    dealt = fps.mapInArrow(spread, "cell long, fp long")
+    if full.isEmpty():
+        dealt = dealt.withColumn("blocks", F.lit(None).cast("long"))
+    else:
+        large = sizes(lambda fp: cells(fp)[0]).where(F.col("n") > CELL)
+        large = written(large.select("cell", F.ceil(F.col("n") / CELL).cast("long").alias("blocks")), "large")
+        dealt = dealt.join(large, "cell", "left")
     own = F.pmod(F.xxhash64("fp"), "blocks")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.least(k, own) * F.col("blocks") + F.greatest(k, own))
     dealt = dealt.select(F.explode(F.coalesce(pairs, F.array(F.lit(0).cast("long")))).alias("pair"), "cell", "fp")
