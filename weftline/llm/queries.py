@@ -4,9 +4,11 @@ express the result."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, packing, repeats, sharding, simhash, tokenfile, topk, urlfilter
+from . import decontaminate, fim, langid, line_dedup, packing, repeats, secretscan, sharding, simhash, tokenfile, topk, urlfilter, whitening
 
 
 def documents(spark, sf_dir):
@@ -77,6 +79,24 @@ def op9_language_id(spark, sf_dir):
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_secret_scan(spark, sf_dir):
+    out = secretscan.find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    base = [r.kind for r in secretscan.BASE]
+    return out.select(
+        "doc_id", *[secretscan.count_of(k).alias(f"n_{k}") for k in base],
+        F.sha2(secretscan.written_out(base), 256).alias("base_sha256"), secretscan.written_out().alias("spans"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whitened_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    out = fim.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"))
+    hashes = [F.sha2(c.cast("binary"), 256).alias(n) for c, n in ((F.col("output"), "output_sha256"), (fim.restored(F.col("output"), F.col("form")), "restored_sha256"))]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashes)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op9_language_id": op9_language_id,
@@ -88,8 +108,23 @@ QUERIES = {
     "op4_exact_top_k": op4_exact_top_k,
     "op5_line_dedup": op5_line_dedup,
     "op10_simhash": op10_simhash,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_whitening": op12_whitening,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
+
+def either_case(pattern: str) -> str:
+    """(?i:...) written out for ASCII letters alone: SQL's flag would also fold others to them."""
+    return re.sub(r"\(\?i:(.*?)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")", pattern)
+
+
+def matches_sql(k: int, rule: secretscan.Rule) -> str:
+    """All matches of a rule with what stands before each and its value."""
+    p = either_case(f"(?:{rule.head})({rule.value})").replace("'", "''")
+    return f"SELECT r, doc_id, {k} AS k, '{rule.kind}' AS kind, {rule.least} AS least, regexp_extract_all(t, '{p}') AS hit, regexp_extract_all(t, '{p}', 1) AS val, string_split_regex(t, '{p}') AS gap FROM d"
+
+
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE = {
@@ -124,4 +159,27 @@ j AS (SELECT k.doc_id, k.pos, k.line, o.key IS NOT NULL AND k.doc_id <> o.keeper
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id""",
+    "op11_secret_scan": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(matches_sql(k, rule) for k, rule in enumerate(secretscan.RULES))}),
+u AS (SELECT r, k, kind, least, unnest(hit) AS h, unnest(val) AS v, unnest(gap[:len(hit)]) AS g, generate_subscripts(hit, 1) AS i FROM m WHERE len(hit) > 0),
+p AS (SELECT r, k, kind, least, h, v, (sum(length(g) + length(h)) OVER (PARTITION BY r, k ORDER BY i))::BIGINT AS z FROM u),
+s AS (SELECT r, k, kind || ':' || (z - length(h)) || ':' || z AS span, z - length(h) AS a FROM p WHERE length(v) >= least),
+o AS (
+  SELECT r, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+         string_agg(span, ',' ORDER BY a, k) FILTER (WHERE k < 3) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o ON d.r = o.r""",
+    "op13_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+x AS (SELECT *, len(w) AS n, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT for i in range(4)] AS hs FROM d),
+c AS (
+  SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 50 THEN 'plain' WHEN hs[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM x),
+s AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:n], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM s""",
 }
