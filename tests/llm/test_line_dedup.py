@@ -44,6 +44,19 @@ def test_ties_repeats_nulls_and_clashing_names(clashing):
     assert [r.id for r in out.collect()] == ["x"] * 6
 
 
+def test_repeated_ids_with_texts_of_their_own(docs):
+    """Each row loses its common lines, not those at the positions of another row."""
+    own = "this line is nobody else's and of more than forty characters"
+    out = line_dedup.line_dedup(docs([(1, f"{LONG}\nown 1"), (1, f"{own}\n{LONG}\nown 2"), *((i, LONG) for i in range(2, 6))]))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, "own 1"), (1, f"{own}\nown 2"), (2, ""), (3, ""), (4, ""), (5, LONG)]
+
+
+def test_very_long_text(docs):
+    long = "\n".join(f"{LONG} {k % 2000}" for k in range(60_000))
+    rows = [(i, f"{LONG} {i}") for i in range(4)] + [(9, long)] + [(10 + i, f"{LONG} 7") for i in range(5)]
+    assert run(docs(rows)) == plain(rows)
+
+
 def test_empty_table(docs):
     assert line_dedup.line_dedup(docs([])).collect() == []
 

@@ -29,13 +29,14 @@ def key_of(line: Column) -> Column:
 
 
 def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 40, min_docs: int = 5) -> DataFrame:
-    """(id, gone): positions (from 0) of the lines to drop; only documents that lose a line."""
+    """(id, text_hash, gone): positions (from 0) of the lines to drop; only texts that
+    lose a line. Rows that repeat an id may hold different texts, so these count by hash."""
     key = key_of(F.col("line"))
     lines = (
-        docs.select(F.col(id_col).alias("id"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
-        .select("id", "pos", key.alias("key"))
+        docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
+        .select("id", "text_hash", "pos", key.alias("key"))
         .where(F.length("key") >= min_len)
-        .select("id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+        .select("id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     )
     lines = written(lines.where("id is not null"), "lines")
     often = (
@@ -46,7 +47,7 @@ def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     often = written(often, "often")
     return (
         lines.join(often, ["h1", "h2"]).where("id <> keeper")
-        .groupBy("id").agg(F.collect_set("pos").alias("gone"))
+        .groupBy("id", "text_hash").agg(F.collect_set("pos").alias("gone"))
     )
 
 
@@ -59,8 +60,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents hold lose all their lines except in the document with the largest id.
 
     Null or empty text: one empty line, text becomes "". Rows that repeat an id
-    count as one document and lose the same positions. A null id: nothing is
-    dropped from it and it does not count. An empty table gives an empty table.
+    count as one document; each loses its own lines. A null id: nothing is
+    dropped from it and it does not count. Very long texts are split whole. An
+    empty table gives an empty table.
     Input columns named n_lines or n_dropped, in any case, are replaced; so is any
     other spelling of text_col.
     """
@@ -68,8 +70,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Names of docs may clash with any of these, so its columns travel in a struct and come out last.
     other = [c for c in docs.columns if c.lower() not in (text_col.lower(), "n_lines", "n_dropped")]
     row = F.struct(*[F.col(f"`{c}`") for c in other]) if other else F.lit(None)
-    base = docs.select(row.alias("_row"), F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    met = base.join(gone, "id", "left").select("_row", "_text", F.col("gone").alias("_gone"), lines_of(F.col("_text")).alias("_lines"))
+    base = docs.select(row.alias("_row"), F.col(id_col).alias("id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("text_hash"))
+    met = base.join(gone, ["id", "text_hash"], "left").select("_row", "_text", F.col("gone").alias("_gone"), lines_of(F.col("_text")).alias("_lines"))
     n = F.size("_lines")  # with a second use of it, the optimiser keeps the split in a step of its own
     at = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone"))
     kept = F.when(F.col("_gone").isNull(), F.coalesce("_text", F.lit(""))).otherwise(
