@@ -28,7 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder, passing, prepare, width, written
@@ -38,6 +38,8 @@ MAGIC, BLOCK, PERCENTILE = b"WPFR", 256, 0.9
 HEAD = struct.Struct("<4sIQQQ")
 #: A file ends with the document that takes it over so many ids.
 FILE_IDS = 1 << 21
+#: So many ids are packed at a time.
+ENCODE_IDS = 1 << 17
 
 
 def shift_in(v: np.ndarray, w: int) -> np.ndarray:
@@ -120,12 +122,49 @@ def decode_blocks(start: np.ndarray, buf: np.ndarray, first: int = 0) -> np.ndar
     return (out + low[:, None]).reshape(-1)
 
 
+class Blocks:
+    """The blocks of ids that come a few at a time. At most ENCODE_IDS of them are
+    held in the wider arrays that packing needs; a long text is fed in pieces."""
+
+    def __init__(self, dtype):
+        self.held, self.n_held, self.n_ids, self.size = [], 0, 0, 0
+        self.dtype, self.starts, self.packed = dtype, [np.zeros(1, np.uint64)], []
+
+    def add(self, ids: np.ndarray) -> None:
+        for at in range(0, len(ids), ENCODE_IDS):
+            piece = ids[at:at + ENCODE_IDS]
+            self.held.append(piece)
+            self.n_held += len(piece)
+            self.n_ids += len(piece)
+            if self.n_held >= ENCODE_IDS:
+                self.pack(self.n_held // BLOCK * BLOCK)
+
+    def pack(self, n: int) -> None:
+        """Pack the first n of the ids that are held, whole blocks but at the end."""
+        flat = np.concatenate(self.held) if self.held else np.empty(0, self.dtype)
+        start, buf = encode_blocks(flat[:n])
+        self.starts.append(start[1:] + np.uint64(self.size))
+        self.size += len(buf)
+        self.packed.append(buf.tobytes())
+        self.held, self.n_held = [flat[n:].copy()], len(flat) - n
+
+    def close(self) -> tuple[np.ndarray, list[bytes]]:
+        self.pack(self.n_held)
+        return np.concatenate(self.starts), self.packed
+
+
+def file_parts(doc_ids: list[int], lengths: list[int], blocks: Blocks) -> list[bytes]:
+    start, packed = blocks.close()
+    first = np.zeros(len(lengths) + 1, "<u8")
+    np.cumsum(lengths, out=first[1:])
+    return [HEAD.pack(MAGIC, BLOCK, blocks.n_ids, len(start) - 1, len(doc_ids)), np.array(doc_ids, "<i8").tobytes(), first.tobytes(), start.astype("<u8").tobytes(), *packed]
+
+
 def to_bytes(doc_ids: list[int], ids: list[np.ndarray]) -> bytes:
-    flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-    start, buf = encode_blocks(flat)
-    first = np.zeros(len(ids) + 1, "<u8")
-    np.cumsum([len(x) for x in ids], out=first[1:])
-    return b"".join([HEAD.pack(MAGIC, BLOCK, len(flat), len(start) - 1, len(ids)), np.array(doc_ids, "<i8").tobytes(), first.tobytes(), start.astype("<u8").tobytes(), buf.tobytes()])
+    blocks = Blocks(np.uint32)
+    for x in ids:
+        blocks.add(np.asarray(x))
+    return b"".join(file_parts(doc_ids, list(map(len, ids)), blocks))
 
 
 class Reader:
@@ -163,7 +202,8 @@ def file_system(uri: str):
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, byte_level: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and write the ids in ascending order of ids. The
     manifest: (part, file_no, path, n_docs, n_ids), in file order by (part,
-    file_no). Null texts: no ids but the end id. Rows that repeat an id stay, next
+    file_no). Null texts: no ids but the end id. A very long text is encoded whole
+    and packed piece by piece. Rows that repeat an id stay, next
     to one another and in no fixed order, and may be dealt over several tasks. Rows
     without an id come first, under the smallest integer. An empty table: an empty
     manifest. Other columns are not read."""
@@ -175,24 +215,24 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
         from pyspark import TaskContext
 
         code, part = encoder(tokenizer, byte_level), TaskContext.get().partitionId()
-        rows, doc_ids, ids, total = [], [], [], 0
+        rows, doc_ids, lengths, blocks = [], [], [], Blocks(code.dtype)
 
         def close():
-            nonlocal doc_ids, ids, total
+            nonlocal doc_ids, lengths, blocks
             path = f"{folder}/{part:06d}-{len(rows):06d}-{uuid.uuid4().hex}.pfor"
             fs, at = file_system(path)
             with fs.open_output_stream(at) as out:
-                out.write(to_bytes(doc_ids, ids))
-            rows.append((part, len(rows), path, len(doc_ids), total))
-            doc_ids, ids, total = [], [], 0
+                for x in file_parts(doc_ids, lengths, blocks):
+                    out.write(x)
+            rows.append((part, len(rows), path, len(doc_ids), blocks.n_ids))
+            doc_ids, lengths, blocks = [], [], Blocks(code.dtype)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = code.encode([text or ""])[0]
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                got = code.encode([text.as_py() or ""])[0]
                 got = got if end_id is None else np.append(got, np.array([end_id], got.dtype))
-                doc_ids.append(doc), ids.append(got)
-                total += len(got)
-                if total >= FILE_IDS:
+                doc_ids.append(doc), lengths.append(len(got)), blocks.add(got)
+                if blocks.n_ids >= FILE_IDS:
                     close()
         if doc_ids:
             close()
@@ -208,14 +248,20 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
 
 def read_tokens(manifest: DataFrame, digest: bool = True) -> DataFrame:
     """Decode the files of a manifest: (doc_id, start, n_tokens, ids_crc32), or
-    with digest=False also ids (array of longs) in place of the crc. start counts
-    the ids of all documents before. The driver sees one row for each file."""
+    with digest=False also ids (array of longs) in place of the crc. An empty
+    manifest: no rows. start counts
+    the ids of all documents before: a running sum over the files of a task, plus
+    the sum of the tasks before it. The driver sees one number for each task that wrote."""
     spark = manifest.sparkSession
-    files = sorted((r.part, r.file_no, r.path, r.n_ids) for r in manifest.collect())
-    base, rows = 0, []
-    for _, _, path, n in files:
-        rows.append((path, base))
+    sums = sorted(map(tuple, manifest.groupBy("part").agg(F.sum("n_ids"), F.count("*")).collect()))
+    base, before = 0, []
+    for part, n, _ in sums:
+        before.append((part, base))
         base += n
+    within = Window.partitionBy("part").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
+    table = manifest.join(F.broadcast(spark.createDataFrame(before, "part int, base long")), "part")  # a row for each task
+    table = table.select("path", (F.col("base") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).alias("first"))
+    n_files = sum(n for *_, n in sums)
 
     def run(batches):
         for b in batches:
@@ -233,9 +279,8 @@ def read_tokens(manifest: DataFrame, digest: bool = True) -> DataFrame:
                     i = j
 
     schema = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>")
-    table = spark.createDataFrame(rows, "path string, first long")
-    if rows:
-        table = table.repartition(min(len(rows), width(spark)))
+    if n_files:
+        table = table.repartition(min(n_files, width(spark)))
     return table.mapInArrow(run, schema)
 
 

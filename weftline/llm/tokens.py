@@ -16,8 +16,10 @@ from array import array
 
 import numpy as np
 
-#: Pieces in either of the two generations that one Python worker keeps, about 200 bytes each.
-CACHE_PIECES = 500_000
+#: Bytes and pieces in either of the two generations that one Python worker keeps.
+CACHE_BYTES, CACHE_PIECES = 48 << 20, 500_000
+#: What an entry takes besides its characters and ids: two objects' heads and a dictionary's slot.
+ENTRY_BYTES = 160
 #: ASCII signs at a word's end that make a pre-token of their own after a letter.
 SIGNS = ".,;:!?$%&*#()"
 #: Byte-level alphabets write a byte as itself if printable in Latin-1, else as the next free code point from 256 on.
@@ -53,20 +55,26 @@ class Unsafe(Exception):
 
 class Known(dict):
     """Piece -> ids, learned on demand. Two generations: when the newer one is
-    full it takes the older one's place, and what is used again comes back."""
+    full it takes the older one's place, and what is used again comes back. Full is
+    counted in bytes, so that long pieces take no more than short ones."""
 
     def __init__(self, learn, share: float = 1.0):
         super().__init__()
-        self.learn, self.older, self.size = learn, {}, int(CACHE_PIECES * share)
+        self.learn, self.older, self.held = learn, {}, 0
+        self.room, self.most = int(CACHE_BYTES * share), int(CACHE_PIECES * share)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             ids = self.learn(piece)
-        if len(self) > self.size:
+        size = ENTRY_BYTES + len(piece) * (1 if piece.isascii() else 4) + len(ids)
+        if self.held + size > self.room or len(self) > self.most:
             self.older = dict(self)
             self.clear()
-        self[piece] = ids
+            self.held = 0
+        if size < self.room:
+            self[piece] = ids
+            self.held += size
         return ids
 
 
