@@ -2,8 +2,8 @@ import corpus_pipeline
 from weftline.llm import decontaminate as D
 from weftline.llm import queries
 
+from .test_jaccard import plain_left
 from .test_line_dedup import plain as plain_lines
-from .test_simhash import plain_components, plain_fingerprint
 from .test_tokens import check_packing
 
 
@@ -26,8 +26,8 @@ def test_stages_against_plain_versions(spark, sf):
     df, two = step(lines, df)
     assert two == {i: t for i, (t, _, _) in plain_lines(list(one.items())).items()}
     df, three = step(copies, df)
-    label = plain_components({i: plain_fingerprint(t) for i, t in two.items()})
-    assert three == {i: t for i, t in two.items() if label[i] == i}
+    stay = plain_left(two)
+    assert three == {i: t for i, t in two.items() if i in stay}
     df, four = step(leaks, df)
     bench = [" ".join(D.words(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     holds = {i for i, t in three.items() if any(b and f" {b} " in f" {' '.join(D.words(t))} " for b in bench)}
