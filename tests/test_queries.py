@@ -2,6 +2,8 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -46,3 +48,22 @@ def test_entry_without_the_text_operators():
     import __spark_entry__ as e
 
     assert set(Q.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_without_a_package_that_the_text_operators_need():
+    """The graph queries stay; an error of the repository's own modules rises."""
+    script = """
+import sys
+sys.modules[sys.argv[1]] = None
+import __spark_entry__ as e
+from weftline import queries as Q
+assert set(e.queries()) == set(Q.QUERIES), len(e.queries())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    import importlib.util
+
+    if importlib.util.find_spec("weftline.llm") is None:
+        return
+    for name, fine in (("xxhash", True), ("weftline.llm.common", False)):
+        done = subprocess.run([sys.executable, "-W", "ignore", "-c", script, name], cwd=root, capture_output=True, text=True)
+        assert (done.returncode == 0) == fine, done.stderr
