@@ -87,6 +87,11 @@ def normalized_key(name: Column, kind: Column, fold: bool = True, version: int =
     return F.concat_ws("|", F.lower(text(kind)), normalize_name(name, kind, fold, version))
 
 
+def value_part(key: Column) -> Column:
+    """The name of a normalized key."""
+    return F.substr(key, F.instr(key, "|") + 1)
+
+
 def short_sha1(c: Column) -> Column:
     return F.substring(F.sha1(c.cast("binary")), 1, 16)
 

@@ -81,11 +81,18 @@ def keyed_mentions(mentions: DataFrame, fold: bool = True, version: int = 1) ->
     return mentions.withColumn("normalized_key", key).withColumn("resolved_id", names.resolved_id(F.col("normalized_key")))
 
 
-def resolved_entities(mentions: DataFrame, fold: bool = True, version: int = 1) -> DataFrame:
-    """One row for each block of mentions with the same type and normal name: the
-    most frequent name (then the longest, then the first), the category of the
-    first mention by id, counts of mentions and documents, first and last seen."""
+def resolved_entities(mentions: DataFrame, fold: bool = True, version: int = 1, mapping: DataFrame | None = None) -> DataFrame:
+    """One row for each block of mentions with the same type and normal name, or of
+    those that ``mapping`` (entity_id, resolved_id) puts together: the most frequent
+    name (then the longest, then the first), the category of the first mention by
+    id, counts of mentions and documents, first and last seen. The key of several
+    is the one that the id is made of, if there is such a one, else the first."""
     m = keyed_mentions(mentions, fold, version)
+    if mapping is not None:
+        m = m.drop("resolved_id").join(mapping.select("entity_id", "resolved_id").distinct(), "entity_id")
+        own = F.when(names.resolved_id(F.col("normalized_key")) == F.col("resolved_id"), F.col("normalized_key"))
+        keys = m.groupBy("resolved_id").agg(F.coalesce(F.min(own), F.min("normalized_key")).alias("normalized_key"))
+        m = m.drop("normalized_key").join(keys, "resolved_id")
     names_of = m.where(F.coalesce(F.col("name"), F.lit("")) != "").groupBy("resolved_id", "name").agg(F.count("*").alias("n"))
     primary = names_of.groupBy("resolved_id").agg(F.min_by("name", F.struct(-F.col("n"), -F.length("name"), "name")).alias("name"))
     blocks = m.groupBy("resolved_id", "normalized_key").agg(
@@ -133,13 +140,14 @@ def in_scope(df: DataFrame, documents: list[str] | None = None, start=None, end=
     return df if end is None else df.where(F.col("created_at") < F.lit(end))
 
 
-def resolve(mentions: DataFrame, relations: DataFrame, documents: list[str] | None = None, fold: bool = True, version: int = 1) -> dict[str, DataFrame]:
-    """The resolved tables, by name; running it again over the same rows gives the same."""
+def resolve(mentions: DataFrame, relations: DataFrame, documents: list[str] | None = None, fold: bool = True, version: int = 1, matcher=None) -> dict[str, DataFrame]:
+    """The resolved tables, by name; running it again over the same rows gives the
+    same. matcher: see ``matchers``; mentions are matched by normal name without one."""
     mentions, relations = in_scope(mentions, documents), in_scope(relations, documents)
-    mapping = resolution_map(mentions, fold, version)
+    mapping = matcher.map(mentions, fold, version) if matcher else resolution_map(mentions, fold, version)
     provenance = resolved_mentions(relations, mapping)
     return {
-        "resolved_entities": resolved_entities(mentions, fold, version),
+        "resolved_entities": resolved_entities(mentions, fold, version, mapping if matcher else None),
         "entity_resolution_map": mapping,
         "resolved_relationships": resolved_edges(provenance),
         "resolved_relationship_mentions": provenance.select("resolved_relationship_id", "relationship_id", "document_id", "chunk_id").distinct(),
