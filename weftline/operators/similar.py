@@ -1,6 +1,6 @@
 """Similarity joins of names and of sets, exact, without comparing all pairs.
 
-Tokens of a row (character pairs of a name, members of a set) are sorted rarest
+Tokens of a row (stretches of a name, members of a set) are sorted rarest
 first; two rows that are similar enough share one of the first few of these (prefix
 filter), at near positions and with near lengths. Only rows that meet so are
 compared. Token counts are kept in a fixed number of buckets, so that they reach
@@ -22,7 +22,6 @@ from .iterate import dropped, kept
 BUCKETS = 1 << 14
 #: A key with more rows than this on one side is split into parts.
 SPLIT = 5_000
-GRAM = 2
 
 
 def bucket(token: Column) -> Column:
@@ -49,11 +48,11 @@ def parted(left: DataFrame, right: DataFrame, keys: list[str], name: str, split:
 # -- names by edit distance -------------------------------------------------------
 
 
-def grams(name: Column) -> Column:
-    """(position from 1, pair of characters) of a name; none for shorter ones."""
+def grams(name: Column, q: int) -> Column:
+    """(position from 1, q characters) of a name; none for shorter ones."""
     n = F.length(name)
-    each = F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.struct(i.alias("pos"), F.substr(name, i, F.lit(GRAM)).alias("g")))
-    return F.when(n >= GRAM, each).otherwise(F.array().cast("array<struct<pos:int,g:string>>"))
+    each = F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.struct(i.alias("pos"), F.substr(name, i, F.lit(q)).alias("g")))
+    return F.when(n >= q, each).otherwise(F.array().cast("array<struct<pos:int,g:string>>"))
 
 
 def shortened(name: Column, k: int) -> Column:
@@ -69,16 +68,18 @@ def edit_candidates(names: DataFrame, k: int = 1, split: int = SPLIT) -> DataFra
     """(block, a, b) of names that meet, some several times; a and b of one block and
     different. Every pair within ``k`` edits is among them.
 
-    k edits spoil at most k * GRAM of a name's pairs of characters, so the first
-    k * GRAM + 1 of either name, with all that equal the last, share one within k
+    k edits spoil at most k * q of a name's stretches of q characters, so the first
+    k * q + 1 of either name, with all that equal the last, share one within k
     places. A name with too few of them is met by what is left of it without k
-    characters instead, as are names that may be near such a one."""
+    characters instead, as are names that may be near such a one. q is 3 for one
+    edit, where that leaves few names too short for it, else 2."""
+    q = 3 if k == 1 else 2
     n = F.length("name")
     own = kept(names.where("name is not null").select(F.coalesce(F.col("block").cast("string"), F.lit("")).alias("block"), "name").distinct().withColumn("n", n), "names")
-    spoiled = k * GRAM
-    few = spoiled + GRAM - 1  # names of this length or less have too few pairs
-    count = counts(own.select(F.explode(grams(F.col("name"))["g"]).alias("g")), "g")
-    ranked = own.where(F.col("n") > few).withColumn("all", F.array_sort(F.transform(grams(F.col("name")), lambda x: F.struct(F.get(count, bucket(x["g"])).alias("c"), x["g"].alias("g"), x["pos"].alias("pos")))))
+    spoiled = k * q
+    few = spoiled + q - 1  # names of this length or less have too few of them
+    count = counts(own.select(F.explode(grams(F.col("name"), q)["g"]).alias("g")), "g")
+    ranked = own.where(F.col("n") > few).withColumn("all", F.array_sort(F.transform(grams(F.col("name"), q), lambda x: F.struct(F.get(count, bucket(x["g"])).alias("c"), x["g"].alias("g"), x["pos"].alias("pos")))))
     last = F.get(F.col("all"), F.lit(spoiled))
     first = F.filter("all", lambda x: (x["c"] < last["c"]) | ((x["c"] == last["c"]) & (x["g"] <= last["g"])))
     begun = kept(ranked.select("block", "name", "n", F.explode(first).alias("x")).select("block", "name", "n", "x.g", "x.pos"), "begun")

@@ -15,6 +15,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,16 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ok & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def unit(vectors: pd.Series) -> pd.Series:
+    """Unit vectors; divided by their largest entry first, so that no size overflows."""
+    def one(v):
+        v = v / np.abs(v).max()
+        return v / math.sqrt(v @ v)
+
+    return vectors.map(one)
+
+
 def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, vector) -> (id, root): equal vectors have one root, the least id; and
     (root, vector) with unit vectors of doubles. Vectors that are null, all zero or
@@ -41,10 +52,7 @@ def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = own.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit("second"), "vector"))
     roots = kept(own.groupBy("h1", "h2").agg(F.min_by(F.struct("id", "vector"), "id").alias("x")).select("h1", "h2", F.col("x.id").alias("root"), F.col("x.vector").alias("vector")), "roots")
     classes = own.select("id", "h1", "h2").join(roots.select("h1", "h2", "root"), ["h1", "h2"]).select("id", "root")
-    most = F.array_max(F.transform("vector", F.abs))  # before squaring, so that no size overflows
-    scaled = roots.withColumn("vector", F.transform("vector", lambda x: x / most))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    return classes, scaled.select("root", F.transform("vector", lambda x: x / norm).alias("vector"))
+    return classes, roots.select("root", unit("vector").alias("vector"))
 
 
 def probes(margins: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +108,9 @@ def candidates(roots: DataFrame, least: float, recall: float = 0.99, bits: int |
             for t in range(tables):
                 own, near = probes(v @ planes[t].T, n_probes)
                 times = near.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(v)), times)).cast(pa.int64()), pa.array(np.full(len(v) * times, t, np.int32)), pa.array(near.ravel()), pa.array(np.tile(np.arange(times) == 0, len(v)))], ["at", "table", "bucket", "own"]).append_column("root", b.column("root").take(pa.array(np.repeat(np.arange(len(v)), times)))).select(["root", "table", "bucket", "own"])
+                root = b.column("root").take(pa.array(np.repeat(np.arange(len(v)), times)))
+                cols = [root, pa.array(np.full(len(root), t, np.int32)), pa.array(near.ravel()), pa.array(np.tile(np.arange(times) == 0, len(v)))]
+                yield pa.RecordBatch.from_arrays(cols, ["root", "table", "bucket", "own"])
 
     same = roots.where(F.size("vector") == dim)
     filed = kept(same.mapInArrow(run, same.select("root").schema.add("table", T.IntegerType()).add("bucket", T.LongType()).add("own", T.BooleanType())), "filed")
@@ -127,7 +137,6 @@ def exact_pairs(roots: DataFrame, least: float, block: int = 4_000) -> DataFrame
     blocks = max(1, -(-n // block))
     own = roots.withColumn("own", F.pmod(F.xxhash64("root"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cells = own.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    kind = roots.schema["root"].dataType
 
     def run(cell: pa.Table) -> pa.Table:
         root, mine = cell.column("root").combine_chunks(), cell.column("own").to_numpy()
