@@ -25,7 +25,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from weftline.operators.resolve import keyed_mentions
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-KEY = "resolved_id string, part int"
 CHANGED = "resolved_id string, part int, added long"
 
 
@@ -44,7 +43,7 @@ class Tally(StatefulProcessor):
             key = (k,)
             tally.updateValue(key, ((tally.getValue(key)[0] if tally.containsKey(key) else 0) + int(n),))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         added = 0
         for batch in rows:
             batch = batch.sort_values(["at", "document_id"], kind="stable").drop_duplicates("entity_id")
@@ -53,7 +52,7 @@ class Tally(StatefulProcessor):
                 continue
             for i, at in zip(batch["entity_id"], batch["at"]):
                 self.seen.updateValue((i,), (int(at),))
-            self.add(self.names, batch["name"].dropna().value_counts().to_dict())
+            self.add(self.names, batch["name"].value_counts().to_dict())
             self.add(self.documents, batch["document_id"].dropna().value_counts().to_dict())
             first = batch.loc[batch["entity_id"].idxmin()]
             new = (first["normalized_key"], first["type"], first["category"], first["entity_id"], int(batch["at"].min()), int(batch["at"].max()))
@@ -66,8 +65,8 @@ class Tally(StatefulProcessor):
             added += len(batch)
         yield pd.DataFrame({"resolved_id": [key[0]], "part": [key[1]], "added": [added]})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        past = timers.getCurrentWatermarkInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        past = timerValues.getCurrentWatermarkInMs()
         for i in [i for i, at in self.seen.iterator() if at[0] // 1000 < past]:
             self.seen.removeKey(i)
         return iter(())
@@ -91,7 +90,7 @@ class MaintainedResolver:
         own = mentions.where(F.col(time).isNotNull() & F.col("entity_id").isNotNull()).withWatermark(time, self.late)
         keyed = keyed_mentions(own, self.fold, self.version)
         rows = keyed.select(
-            "resolved_id", F.pmod(F.xxhash64("entity_id"), F.lit(self.parts)).cast("int").alias("part"), "entity_id", F.nullif("name", F.lit("")).alias("name"), "document_id",
+            "resolved_id", F.pmod(F.xxhash64("entity_id"), F.lit(self.parts)).cast("int").alias("part"), "entity_id", F.coalesce("name", F.lit("")).alias("name"), "document_id",
             "normalized_key", "type", "category", F.unix_micros(F.col(time).cast("timestamp")).alias("at"), time)
         changed = rows.groupBy("resolved_id", "part").transformWithStateInPandas(Tally(), CHANGED, "Update", "EventTime")
         out = changed.writeStream.outputMode("update").option("checkpointLocation", f"{self.folder}/progress").trigger(**(trigger or {"availableNow": True}))
@@ -113,9 +112,10 @@ class MaintainedResolver:
         about = of("about").groupBy("resolved_id").agg(
             F.min("normalized_key").alias("normalized_key"), F.min_by("type", "first_id").alias("type"), F.min_by("category", "first_id").alias("category"),
             F.timestamp_micros(F.min("first_at")).alias("first_seen_at"), F.timestamp_micros(F.max("last_at")).alias("last_seen_at"))
-        # every mention counts under its document, or under no document
         by_name = of("names").groupBy("resolved_id", "name").agg(F.sum("n").alias("n"))
-        primary = by_name.groupBy("resolved_id").agg(F.min_by("name", F.struct(-F.col("n"), -F.length("name"), "name")).alias("name"), F.sum("n").alias("mention_count"))
+        # mentions without a name count under an empty one, which is no name
+        best = F.struct((F.col("name") == "").alias("none"), (-F.col("n")).alias("n"), (-F.length("name")).alias("l"), F.col("name").alias("name"))
+        primary = by_name.groupBy("resolved_id").agg(F.min_by("name", best).alias("name"), F.sum("n").alias("mention_count"))
         docs = of("documents").groupBy("resolved_id").agg(F.count_distinct("document_id").alias("doc_count"))
         met = about.join(primary, "resolved_id", "left").join(docs, "resolved_id", "left")
         return met.select("resolved_id", F.coalesce("name", F.lit("")).alias("name"), "type", "category", "normalized_key", F.coalesce("mention_count", F.lit(0)).alias("mention_count"), F.coalesce("doc_count", F.lit(0)).alias("doc_count"), "first_seen_at", "last_seen_at")
