@@ -251,3 +251,39 @@ def test_streaming_equals_batch(spark, tables, tmp_path):
     want = resolve.resolve(m, r)
     for k, t in inc.tables().items():
         assert {tuple(x) for x in t.collect()} == {tuple(x) for x in want[k].collect()}
+
+
+def test_added_nodes_are_rows_that_were_given(spark):
+    none = spark.createDataFrame([], "node_id string, type string, label string, documents array<string>")
+    new = spark.createDataFrame([("n", "b", "a", ["d1"]), ("n", "a", "z", ["d2"])], none.schema)
+    (got,) = store.add_nodes(none, new).collect()
+    assert (got.type, got.label, sorted(got.documents)) == ("a", "z", ["d1", "d2"])
+
+
+def ring(spark, n, extra=()):
+    pairs = [(f"n{i:02}", f"n{(i + 1) % n:02}") for i in range(n)] + list(extra)
+    return spark.createDataFrame([(f"n{i:02}",) for i in range(n)] + [("alone",)], "node_id string"), spark.createDataFrame(pairs, "src string, dst string")
+
+
+def test_colours_of_neighbours_differ(spark):
+    nodes, edges = ring(spark, 15, [("n00", "n07"), ("n00", "n00"), ("n03", "n09"), ("n00", "n07")])
+    got = dict(map(tuple, analytics.colouring(nodes, edges).collect()))
+    assert all(got[r.src] != got[r.dst] for r in edges.collect() if r.src != r.dst) and max(got.values()) <= 3 and got["alone"] == 0 and len(got) == 16
+    assert analytics.colouring(nodes.limit(0), edges).collect() == []
+
+
+def test_labels_in_turn_do_not_oscillate(spark):
+    # on a complete bipartite graph labels that move at once swap sides for ever
+    nodes = spark.createDataFrame([(x,) for x in "abcdefgh"], "node_id string")
+    edges = spark.createDataFrame([(x, y) for x in "abcd" for y in "efgh"], "src string, dst string")
+    assert len({r.community for r in analytics.label_propagation_in_turn(nodes, edges).collect()}) == 1
+    two = spark.createDataFrame([(x, y) for s in ("abcd", "efgh") for x in s for y in s if x < y] + [("d", "e")], "src string, dst string")
+    got = dict(map(tuple, analytics.label_propagation_in_turn(nodes, two).collect()))
+    assert len({got[x] for x in "abcd"}) == len({got[x] for x in "efgh"}) == 1 and got["a"] != got["h"]
+
+
+def test_estimated_closeness(spark):
+    nodes, edges = ring(spark, 40, [(f"n{i:02}", f"n{i * 7 % 40:02}") for i in range(0, 40, 3)])
+    exact = dict(map(tuple, analytics.closeness(nodes, edges).collect()))
+    got = {r.node_id: r for r in analytics.closeness_estimated(nodes, edges).collect()}
+    assert all(abs(got[n].closeness - c) <= 0.03 * c for n, c in exact.items()) and got["alone"].closeness == 0 and got["n00"].reached == 40

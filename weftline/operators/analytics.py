@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .iterate import components, dropped, kept
 
-__all__ = ["closed", "components", "closeness", "communities", "degree", "density", "isolates", "metrics", "pagerank", "label_propagation", "top_degree", "totals", "visible_subgraph"]
+__all__ = ["closed", "components", "closeness", "closeness_estimated", "colouring", "communities", "degree", "density", "isolates", "metrics", "pagerank", "label_propagation", "label_propagation_in_turn", "top_degree", "totals", "visible_subgraph"]
 
 
 def closed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -129,6 +129,82 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, max_iterations: int =
     return label.select("node_id", "community")
 
 
+def colouring(nodes: DataFrame, edges: DataFrame, max_rounds: int = 500) -> DataFrame:
+    """(node_id, colour from 0): neighbours differ. A round gives all nodes that come
+    before their neighbours without a colour, by a hash of their ids, the least colour
+    that no neighbour has (Jones and Plassmann); that takes few rounds, with any order
+    of the rows. A node's neighbours meet as their set of colours, never as rows."""
+    inside = closed(nodes, edges).where("src <> dst").select("src", "dst")
+    pairs = kept(inside.unionAll(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "pairs")
+    order = F.struct(F.md5(F.col("node_id").cast("string").cast("binary")).alias("h"), "node_id")
+    state = kept(nodes.select("node_id").distinct().select("node_id", F.lit(None).cast("int").alias("colour")), "colour")
+    for _ in range(max_rounds):
+        to = state.select(F.col("node_id").alias("dst"), F.col("colour").alias("c"), F.when(F.col("colour").isNull(), order).alias("waits"))
+        met = pairs.join(state.where("colour is null").select(F.col("node_id").alias("src")), "src", "left_semi").join(to, "dst").groupBy("src").agg(F.max("waits").alias("first"), F.collect_set("c").alias("used"))
+        used = F.coalesce("used", F.array().cast("array<int>"))
+        least = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(used)), used))
+        now = F.when(F.col("first").isNull() | (order > F.col("first")), least)
+        new = kept(state.join(met.withColumnRenamed("src", "node_id"), "node_id", "left").select("node_id", F.coalesce("colour", now).alias("colour")), "colour", open=F.count_if(F.col("colour").isNull()))
+        dropped(state)
+        state = new
+        if not state.seen["open"]:
+            dropped(pairs)
+            return state.select("node_id", "colour")
+    raise RuntimeError("colouring did not settle")
+
+
+def label_propagation_in_turn(nodes: DataFrame, edges: DataFrame, max_iterations: int = 20) -> DataFrame:
+    """(node_id, community): a node takes the label most frequent among its
+    neighbours (parallel edges count each, a loop twice), the smallest of equals; a
+    node without neighbours keeps its own. Nodes of one colour move at once and
+    colours in turn, so each sees the newest labels about it as if nodes moved one by
+    one, and no two neighbours swap labels for ever."""
+    shade = colouring(nodes, edges)
+    colours = sorted(r[0] for r in shade.select("colour").distinct().collect())  # fewer than a node's most neighbours, and two
+    inside = closed(nodes, edges).select("src", "dst")
+    both = inside.unionAll(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count("*").alias("w"))
+    pairs = kept(both.join(shade.withColumnRenamed("node_id", "src"), "src"), "pairs")
+    label = kept(shade.select("node_id", F.col("node_id").alias("community")), "label")
+    for _ in range(max_iterations):
+        moved = 0
+        for colour in colours:
+            votes = pairs.where(F.col("colour") == colour).join(label.withColumnRenamed("node_id", "dst"), "dst").groupBy("src", "community").agg(F.sum("w").alias("w"))
+            best = votes.groupBy("src").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("next"))
+            new = label.join(best.withColumnRenamed("src", "node_id"), "node_id", "left").select("node_id", F.coalesce("next", "community").alias("community"), F.coalesce(F.col("next") != F.col("community"), F.lit(False)).alias("moved"))
+            new = kept(new, "label", moved=F.count_if("moved"))
+            moved += new.seen["moved"]
+            dropped(label)
+            label = new
+        if not moved:
+            break
+    dropped(pairs)
+    return label.select("node_id", "community")
+
+
+def closeness_estimated(nodes: DataFrame, edges: DataFrame, lg_k: int = 12, max_rounds: int = 200) -> DataFrame:
+    """(node_id, closeness, reached, rounds): closeness of all nodes as ``closeness``
+    has it, estimated. Each node holds a HyperLogLog sketch of the nodes within t
+    steps; a round joins it with its neighbours' (HyperBall), so the cost is rounds
+    times edges and not pairs of nodes. ``reached`` counts the node itself. The
+    standard error of a count is about 1.04 / sqrt(2 ^ lg_k), 1.6 % by default."""
+    inside = closed(nodes, edges).where("src <> dst").select("src", "dst")
+    pairs = kept(inside.unionAll(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "pairs")
+    one = nodes.groupBy("node_id").agg(F.hll_sketch_agg(F.col("node_id").cast("string"), lg_k).alias("ball"))
+    ball = kept(one.select("node_id", "ball", F.lit(1).cast("long").alias("reached"), F.lit(0).cast("long").alias("total")), "ball")
+    for t in range(1, max_rounds + 1):
+        near = pairs.join(ball.select(F.col("node_id").alias("dst"), "ball"), "dst").groupBy("src").agg(F.hll_union_agg("ball").alias("near"))
+        met = ball.join(near.withColumnRenamed("src", "node_id"), "node_id", "left").withColumn("ball", F.when(F.col("near").isNull(), F.col("ball")).otherwise(F.hll_union("ball", "near")))
+        # an estimate may fall by rounding where a ball did not grow
+        now = met.withColumn("now", F.greatest("reached", F.hll_sketch_estimate("ball")))
+        new = kept(now.select("node_id", "ball", F.col("now").alias("reached"), (F.col("total") + t * (F.col("now") - F.col("reached"))).alias("total"), (F.col("now") > F.col("reached")).alias("grew")), "ball", grew=F.count_if("grew"))
+        dropped(ball)
+        ball = new
+        if not ball.seen["grew"]:
+            break
+    dropped(pairs)
+    return ball.select("node_id", F.coalesce(F.try_divide((F.col("reached") - 1).cast("double"), F.col("total").cast("double")), F.lit(0.0)).alias("closeness"), "reached", F.lit(t).alias("rounds"))
+
+
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(component, size): the connected components."""
     return components(nodes, closed(nodes, edges)).groupBy("component").agg(F.count("*").alias("size"))

@@ -152,10 +152,12 @@ def merge_nodes(nodes: DataFrame, edges: DataFrame, keep: str, remove: str) -> t
 def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """Nodes (node_id, documents, ...) with new ones. Of a node that is known the
     new documents are added to the old, and other columns change where the new row
-    has a value; of new rows with one id the first by its columns counts."""
+    has a value; of new rows with one id the first by its columns, as a whole, counts."""
     others = [c for c in nodes.columns if c not in ("node_id", "documents")]
     none = F.array().cast("array<string>")
-    fresh = new.groupBy("node_id").agg(*[F.min(c).alias(f"_{c}") for c in others if c in new.columns], F.array_distinct(F.flatten(F.collect_list("documents"))).alias("_documents"))
+    have = [c for c in others if c in new.columns]
+    fresh = new.groupBy("node_id").agg(F.min(F.struct(*[F.col(c) for c in have] or [F.lit(1).alias("_none")])).alias("_row"), F.array_distinct(F.flatten(F.collect_list("documents"))).alias("_documents"))
+    fresh = fresh.select("node_id", *[F.col("_row").getField(c).alias(f"_{c}") for c in have], "_documents")
     met = nodes.join(fresh, "node_id", "full")
     docs = F.array_union(F.coalesce("documents", none), F.coalesce("_documents", none))
     return met.select("node_id", *[F.coalesce(f"_{c}", c).alias(c) if c in new.columns else F.col(c) for c in others], docs.alias("documents")).select(*nodes.columns)
