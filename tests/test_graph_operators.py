@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 
+from weftline.operators import analytics
 from weftline.operators import analytics as A
 from weftline.operators import chunk, extract, profile, query, resolve, store
 from weftline.operators.query import Filter, Options
