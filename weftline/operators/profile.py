@@ -20,20 +20,29 @@ def long_form(df: DataFrame, columns: list[str], order: str | None = None) -> Da
     return df.select((F.col(order) if order else F.lit(0)).alias("ord"), F.inline(cells))
 
 
-def inferred_type(value: Column) -> Column:
-    """Of a group's values, an aggregate: the first of integer, float, bool and date
-    that all non-blank values are; string otherwise, and without values."""
+def type_tests(value: Column) -> dict[str, Column]:
+    """What a single trimmed value must be for its column to have a type, in the order
+    in which types are tried."""
     v = trim(value)
-    seen = v != ""
-    low = F.lower(v)
-
-    def every(c: Column) -> Column:
-        return F.coalesce(F.bool_and(F.when(seen, c)), F.lit(False))
-
     date = F.lit(False)
     for form in DATE_FORMS:
         date = date | v.rlike(form)
-    return F.when(every(v.rlike(INTEGER)), "integer").when(every(v.rlike(NUMBER)), "float").when(every(low.isin(*TRUE_WORDS[:3], *FALSE_WORDS[:1], "f", "no", "0", "1")), "bool").when(every(date), "date").otherwise("string")
+    return {"integer": v.rlike(INTEGER), "float": v.rlike(NUMBER), "bool": F.lower(v).isin(*TRUE_WORDS[:3], *FALSE_WORDS[:1], "f", "no", "0", "1"), "date": date}
+
+
+def first_type(holds: dict[str, Column]) -> Column:
+    """The first type that holds; string, if none does."""
+    types = F.lit("string")
+    for name in reversed(holds):
+        types = F.when(holds[name], name).otherwise(types)
+    return types
+
+
+def inferred_type(value: Column) -> Column:
+    """Of a group's values, an aggregate: the first of integer, float, bool and date
+    that all non-blank values are; string otherwise, and without values."""
+    seen = trim(value) != ""
+    return first_type({name: F.coalesce(F.bool_and(F.when(seen, is_so)), F.lit(False)) for name, is_so in type_tests(value).items()})
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None, order: str | None = None, examples: int = 3) -> DataFrame:

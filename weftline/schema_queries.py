@@ -4,10 +4,12 @@ that are merged. The SQL asks of every candidate whether it holds."""
 from __future__ import annotations
 
 import itertools
+import uuid
 
 from pyspark.sql import functions as F
 
-from weftline.operators import dependencies
+from weftline.operators import dependencies, profile_sketches
+from weftline.operators.iterate import shared_folder
 from weftline.queries import registered, table
 
 #: The tables' columns, by kind: w whole numbers, s strings, t times, f floats. Fixed values.
@@ -61,3 +63,31 @@ def discovered_dependencies(spark, sf_dir):
     t = tables(spark, sf_dir)
     wide = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select(*WIDE)
     return spark.createDataFrame([(f.columns[0], f.determines) for f in dependencies.functional(wide, "customer", 1)], "col string, determines string")
+
+
+STATED = ["l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_orderkey"]
+
+
+@registered(" UNION ALL ".join(
+    f"SELECT '{c}' AS name, count({c}) AS non_null, count(*) - count({c}) AS nulls, '{kind}' AS inferred_type, {most} AS most, {n} AS most_count, true AS distinct_close, true AS median_close FROM lineitem"
+    for c, kind, most, n in (
+        (c, kind, *(("NULL", "NULL::BIGINT") if c in ("l_orderkey", "l_quantity") else (f"(SELECT {c}::VARCHAR FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)", f"(SELECT count(*) FROM lineitem GROUP BY {c} ORDER BY 1 DESC LIMIT 1)")))
+        for c, kind in zip(STATED, ("integer", "string", "string", "float", "integer")))))
+def profiles_merged(spark, sf_dir):
+    """Profiles of the line items of each year, stored as they come and merged: exact
+    counts, types and (of columns with few values) most frequent values, and whether
+    distinct counts are within 5 % and medians within 4 % of ranks."""
+    items = table(spark, sf_dir, "lineitem")
+    years = [r[0] for r in items.select(F.year("l_shipdate")).distinct().collect()]  # a few years at any scale
+    t = profile_sketches.ProfileTable(spark, f"{shared_folder(spark)}/profiles-{uuid.uuid4().hex}")
+    for y in years:
+        t.add("lineitem", str(y), items.where(F.year("l_shipdate").eqNullSafe(F.lit(y))), STATED)
+    p = t.profile("lineitem", items=1)
+    medians = {r.name: r.quantiles[2] for r in p.where("quantiles is not null").collect()}  # one row a column
+    exact = items.agg(*[F.count_distinct(c).alias(f"d_{c}") for c in STATED], *[F.avg((F.col(c) < m).cast("int")).alias(f"b_{c}") for c, m in medians.items()], *[F.avg((F.col(c) <= m).cast("int")).alias(f"u_{c}") for c, m in medians.items()]).head()
+    many = F.create_map(*[F.lit(x) for c in STATED for x in (c, exact[f"d_{c}"])])
+    middle = F.create_map(*[F.lit(x) for c in STATED for x in (c, c not in medians or exact[f"b_{c}"] - 0.04 <= 0.5 <= exact[f"u_{c}"] + 0.04)])
+    shown = ~F.col("name").isin("l_orderkey", "l_quantity")
+    return p.select(
+        "name", "non_null", "nulls", "inferred_type", F.when(shown, F.col("frequent")[0]["value"]).alias("most"), F.when(shown, F.col("frequent")[0]["count"]).alias("most_count"),
+        (F.abs(F.col("distinct") - many[F.col("name")]) <= 0.05 * many[F.col("name")]).alias("distinct_close"), middle[F.col("name")].alias("median_close"))
