@@ -931,4 +931,4 @@ def graph_metrics(spark, sf_dir):
     return analytics.metrics(n, e, d)
 
 
-from weftline import match_queries, schema_queries, source_queries, state_queries, store_queries, text_queries  # noqa: E402, F401  (they register more)
+from weftline import match_queries, phrase_queries, schema_queries, source_queries, state_queries, store_queries, text_queries  # noqa: E402, F401  (they register more)
