@@ -84,6 +84,24 @@ def test_one_phrase_of_very_many_windows(spark, docs):
     assert run(df) == plain(rows)
 
 
+def test_passages_of_a_hot_phrase_are_copied_by_all_tasks(spark, docs, monkeypatch):
+    """A license in 3,000 texts: its first document sends each passage once, copies
+    are made by many tasks, and every shard has every passage."""
+    monkeypatch.setattr(repeats, "HOT", 4)
+    monkeypatch.setattr(repeats, "COPIES", 16)
+    license = " ".join(f"l{i}" for i in range(80))
+    df = docs([(i, f"u{i} {license} v{i}") for i in range(3000)])
+    found = repeats.written(repeats.profile(df, 50, "doc_id", "text"), "profile")
+    _, dealt = repeats.dealt_stretches(df, found, 50, "doc_id", "text")
+    sent = dealt.where("kind = 0").withColumn("task", F.spark_partition_id())
+    assert [r.id for r in sent.select("id").distinct().collect()] == [0]
+    per = [r["count"] for r in sent.groupBy("at").count().collect()]
+    assert per and set(per) == {750}
+    by_task = [r["count"] for r in sent.groupBy("task").count().collect()]
+    assert len(by_task) > 3 and max(by_task) < 0.5 * sum(by_task)
+    assert all(r.n_removed == (80 if r.doc_id else 0) for r in repeats.remove_repeats(df).collect())
+
+
 def test_repeated_and_missing_ids(docs):
     t = " ".join(f"w{i}" for i in range(60))
     got = repeats.remove_repeats(docs([(1, t), (1, t), (2, t + " more"), (None, t)])).collect()

@@ -16,7 +16,8 @@ also start in a document with a smaller id are removed.
    its phrase are streamed through, which finds every occurrence by the words
    themselves. A task holds one automaton at a time.
 5. A phrase of more than HOT documents is dealt over several shards by document:
-   its passages go to each of these, its stretches to one.
+   its passages go to each of these, its stretches to one. Passages leave their first
+   document once, are dealt over all tasks and copied there.
 6. A wide phrase, one of more than SHARD_WINDOWS / 2 different recurring windows,
    is dealt by window hash too, into shards of about that many windows, so no
    automaton outgrows SHARD_WINDOWS. Its stretches go to the shards of their own
@@ -45,6 +46,8 @@ PHRASE = 8
 HOT = 256
 #: Windows of an automaton. Their words are numbered by characters, and 50 words each are fewer than there are characters.
 SHARD_WINDOWS = 8_000
+#: Rows that a task holds before it sends them, and copies of a passage that one row becomes.
+ROWS, COPIES = 4_096, 64
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -161,42 +164,76 @@ def dealt_stretches(docs: DataFrame, found: DataFrame, window: int, id_col: str,
         known = met.join(starts, "id", "left").join(of_wide, ["id", "text_hash"], "left")
     hot, part = HOT, SHARD_WINDOWS // 2
 
-    def deal(batches):
-        for b in batches:
-            rows = []
-            for i, th, text, runs, known, wide in zip(*(b.column(c).to_pylist() for c in ("id", "text_hash", "text", "runs", "starts", "wide"))):
-                ws = text.split()
-                if xxhash.xxh3_128_digest(b" ".join(ws)) != th:
-                    continue
-                known, wide = np.array(sorted(known or []), np.int64), dict(wide or [])
-                h = stretch_hashes(word_hashes(ws), window) if wide else None
-                mix = xxhash.xxh64_intdigest(str(i)) >> 8
-                for r in runs:
-                    lo, hi, phrase = r["lo"], r["hi"], r["phrase"]
-                    own = known[np.searchsorted(known, lo):np.searchsorted(known, hi, "right")]
-                    if phrase not in wide:
-                        spread = -(-r["n"] // hot)
-                        rows.append((shard_of(phrase, 0, mix % spread), 1, i, th, lo, b" ".join(ws[lo:hi + window])))
-                        if len(own):
-                            for piece in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
-                                p, q = int(piece[0]), int(piece[-1])
-                                rows += [(shard_of(phrase, 0, s), 0, i, th, p, b" ".join(ws[p:q + window])) for s in range(spread)]
-                        continue
-                    cuts, spread = -(-wide[phrase] // part), -(-r["n"] // part)
-                    to = (h[lo:hi + 1] % np.uint64(cuts)).astype(np.int64)
-                    words = b" ".join(ws[lo:hi + window])
-                    rows += [(shard_of(phrase, c, mix % spread), 1, i, th, lo, words) for c in np.unique(to).tolist()]
-                    for p in own.tolist():
-                        words = b" ".join(ws[p:p + window])
-                        rows += [(shard_of(phrase, int(to[p - lo]), s), 0, i, th, p, words) for s in range(spread)]
-                if len(rows) > 10_000:
+    def texts(batch, *columns):
+        """(id, text_hash, words, the other columns...) of a batch, without other texts under the same id."""
+        for i, th, text, *other in zip(*(batch.column(c).to_pylist() for c in ("id", "text_hash", "text", *columns))):
+            ws = text.split()
+            if xxhash.xxh3_128_digest(b" ".join(ws)) == th:
+                yield i, th, ws, *other
+
+    def spread_of(phrase, n, wide):
+        return -(-n // (part if phrase in wide else hot))
+
+    def cut_of(h, phrase, wide):
+        return (h % np.uint64(-(-wide[phrase] // part))).astype(np.int64)
+
+    def in_batches(make):
+        def run(batches):
+            for b in batches:
+                rows = []
+                for row in make(b):
+                    rows.append(row)
+                    if len(rows) == ROWS:
+                        yield dealt_rows(rows)
+                        rows = []
+                if rows:
                     yield dealt_rows(rows)
-                    rows = []
-            if rows:
-                yield dealt_rows(rows)
 
-    dealt = known.select("id", "text_hash", "text", "runs", "starts", "wide").mapInArrow(deal, "shard long, kind int, id long, text_hash binary, at int, words binary")
-    return met.select("id", "text_hash", "text"), dealt
+        return run
+
+    def passages_of(b):
+        """Each passage once, with the number of shards that it goes to."""
+        for i, th, ws, runs, starts, wide in texts(b, "runs", "starts", "wide"):
+            starts, wide = np.array(sorted(starts), np.int64), dict(wide or [])
+            h = stretch_hashes(word_hashes(ws), window) if wide else None
+            for r in runs:
+                phrase, spread = r["phrase"], spread_of(r["phrase"], r["n"], wide)
+                own = starts[np.searchsorted(starts, r["lo"]):np.searchsorted(starts, r["hi"], "right")]
+                if phrase in wide:
+                    to = cut_of(h[own], phrase, wide)
+                    yield from ((phrase, c, spread, 0, i, th, p, b" ".join(ws[p:p + window])) for p, c in zip(own.tolist(), to.tolist()))
+                elif len(own):
+                    for piece in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
+                        p, q = int(piece[0]), int(piece[-1])
+                        yield phrase, 0, spread, 0, i, th, p, b" ".join(ws[p:q + window])
+
+    def stretches_of(b):
+        """Each stretch, for the one shard of its phrase and cut that its document has."""
+        for i, th, ws, runs, wide in texts(b, "runs", "wide"):
+            wide = dict(wide or [])
+            h = stretch_hashes(word_hashes(ws), window) if wide else None
+            mix = xxhash.xxh64_intdigest(str(i)) >> 8
+            for r in runs:
+                lo, hi, phrase = r["lo"], r["hi"], r["phrase"]
+                cuts = np.unique(cut_of(h[lo:hi + 1], phrase, wide)).tolist() if phrase in wide else [0]
+                words = b" ".join(ws[lo:hi + window])
+                yield from ((phrase, c, mix % spread_of(phrase, r["n"], wide), 1, i, th, lo, words) for c in cuts)
+
+    shape = "phrase long, cut long, part long, kind int, id long, text_hash binary, at int, words binary"
+    once = known.where("starts is not null").select("id", "text_hash", "text", "runs", "starts", "wide").mapInArrow(in_batches(passages_of), shape)
+    stretches = known.select("id", "text_hash", "text", "runs", "wide").mapInArrow(in_batches(stretches_of), shape)
+    dealt = replicated(once, width(docs.sparkSession)).unionByName(stretches)
+    return met.select("id", "text_hash", "text"), dealt.select(F.xxhash64("phrase", "cut", "part").alias("shard"), "kind", "id", "text_hash", "at", "words")
+
+
+def replicated(passages: DataFrame, tasks: int) -> DataFrame:
+    """Passages for each of their shards: ``part`` is their number, and becomes 0 and
+    up. They are dealt over all tasks in blocks of COPIES before they are made many, so the
+    task of a hot passage's first document sends it once for a block."""
+    blocks = passages.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("part") - 1) / COPIES))))
+    blocks = blocks.repartition(4 * tasks, "phrase", "id", "at", "block")
+    first = F.col("block") * COPIES
+    return blocks.withColumn("part", F.explode(F.sequence(first, F.least(first + COPIES, F.col("part")) - 1))).drop("block")
 
 
 def removed_spans(docs: DataFrame, found: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -226,13 +263,9 @@ def removed_spans(docs: DataFrame, found: DataFrame, window: int, id_col: str, t
     return met, spans.groupBy("id", "text_hash").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
-def shard_of(phrase: int, cut: int, part: int) -> int:
-    return xxhash.xxh64_intdigest(f"{phrase} {cut} {part}") >> 1
-
-
 def dealt_rows(rows: list) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["shard", "kind", "id", "text_hash", "at", "words"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["phrase", "cut", "part", "kind", "id", "text_hash", "at", "words"])
 
 
 class Machine:
