@@ -113,3 +113,25 @@ def test_repeated_and_missing_ids(docs):
 def test_query_on_whole_table(spark, sf):
     want = plain([(r.doc_id, r.text) for r in queries.documents(spark, sf).collect()])
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op2_substring_dedup(spark, sf).collect()} == want
+
+
+def test_many_phrases_share_an_automaton(spark, docs, monkeypatch):
+    """900 passages of 70 words, each in two documents: their phrases, several
+    thousand, lie in a bounded number of shards, and the result is the plain one, also
+    where a shard needs several automata."""
+    rows = []
+    for k in range(900):
+        body = " ".join(f"s{k}_{j}" for j in range(70))
+        rows += [(2 * k, f"left{k} {body}"), (2 * k + 1, f"{body} right{k}")]
+    df = docs(rows)
+    found = repeats.written(repeats.profile(df, 50, "doc_id", "text"), "profile")
+    _, dealt = repeats.dealt_stretches(df, found, 50, "doc_id", "text")
+    shards = [r["count"] for r in dealt.where("kind = 0").groupBy("shard").count().collect()]
+    assert len(shards) <= 16 * repeats.width(spark) and sum(shards) > 5 * len(shards)
+    want = plain(rows)
+    assert run(df) == want
+    monkeypatch.setattr(repeats, "SHARD_WINDOWS", 50)
+    full = repeats.Machine(50)
+    full.add([b"w%d" % i for i in range(60)], 1)
+    assert full.full(40, 50) and not full.full(39, 50) and not repeats.Machine(50).full(99, 50)
+    assert run(df) == want

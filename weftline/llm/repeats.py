@@ -11,10 +11,13 @@ also start in a document with a smaller id are removed.
 3. Confirmation: windows under the other phrases are counted by hash with the
    smallest and the largest id; those of two documents are recurring passages.
    Their words are taken from the document with the smallest id.
-4. Passages are dealt into shards by phrase. A shard compiles an Aho-Corasick
-   automaton over its passages' words, and all stretches of documents filed under
-   its phrase are streamed through, which finds every occurrence by the words
-   themselves. A task holds one automaton at a time.
+4. Phrases are dealt over shards, many to a shard, so that one has POOLED windows
+   on average. A shard compiles one Aho-Corasick automaton over the words of all
+   its phrases' passages, and all stretches of documents filed under any of these
+   are streamed through, which finds every occurrence by the words themselves. A
+   shard that happens to get more than SHARD_WINDOWS windows has a second automaton.
+   A task holds one shard's at a time. Every document was read whole to file its
+   stretches; a stretch under no recurring phrase has no occurrence and stays behind.
 5. A phrase of more than HOT documents is dealt over several shards by document:
    its passages go to each of these, its stretches to one. Passages leave their first
    document once, are dealt over all tasks and copied there.
@@ -48,6 +51,9 @@ HOT = 256
 SHARD_WINDOWS = 8_000
 #: Rows that a task holds before it sends them, and copies of a passage that one row becomes.
 ROWS, COPIES = 4_096, 64
+#: Windows and stretches that a shard of many phrases has on average.
+POOLED, POOLED_STRETCHES = SHARD_WINDOWS // 8, 65_536
+NOT_WIDE = -1
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -133,7 +139,7 @@ def dealt_stretches(docs: DataFrame, found: DataFrame, window: int, id_col: str,
     listed = runs.join(often, "phrase").groupBy("id", "text_hash").agg(F.collect_list(F.struct("phrase", "n", "lo", "hi")).alias("runs"))
     listed = written(listed, "listed")
     met = written(source(docs, id_col, text_col).join(listed, "id"), "met")
-    discard(own, often, listed)
+    discard(own, listed)
 
     def hashes(batches):
         for b in batches:
@@ -153,9 +159,11 @@ def dealt_stretches(docs: DataFrame, found: DataFrame, window: int, id_col: str,
     passages = written(passages.select("phrase", "id", "at"), "passages")
     starts = written(passages.groupBy("id").agg(F.collect_list("at").alias("starts")), "starts")
     # (id, text_hash, wide): how many windows the wide ones among a document's phrases have; as a rule none has any.
-    counted = passages.groupBy("phrase").agg(F.count("*").alias("windows")).where(F.col("windows") > SHARD_WINDOWS // 2)
-    counted = written(counted, "wide")
-    discard(passages)
+    weighed = passages.groupBy("phrase").agg(F.count("*").alias("windows"))
+    load = weighed.join(often, "phrase").where(F.col("windows") <= SHARD_WINDOWS // 2).agg(F.sum(F.col("windows") * F.ceil(F.col("n") / HOT)), F.sum("n")).first()
+    pools = max(16 * width(docs.sparkSession), (load[0] or 0) // POOLED, (load[1] or 0) // POOLED_STRETCHES)
+    counted = written(weighed.where(F.col("windows") > SHARD_WINDOWS // 2), "wide")
+    discard(passages, often)
     if counted.isEmpty():
         known = met.join(starts, "id", "left").withColumn("wide", F.lit(None).cast("map<long,long>"))
     else:
@@ -205,7 +213,7 @@ def dealt_stretches(docs: DataFrame, found: DataFrame, window: int, id_col: str,
                 elif len(own):
                     for piece in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
                         p, q = int(piece[0]), int(piece[-1])
-                        yield phrase, 0, spread, 0, i, th, p, b" ".join(ws[p:q + window])
+                        yield phrase, NOT_WIDE, spread, 0, i, th, p, b" ".join(ws[p:q + window])
 
     def stretches_of(b):
         """Each stretch, for the one shard of its phrase and cut that its document has."""
@@ -215,7 +223,7 @@ def dealt_stretches(docs: DataFrame, found: DataFrame, window: int, id_col: str,
             mix = xxhash.xxh64_intdigest(str(i)) >> 8
             for r in runs:
                 lo, hi, phrase = r["lo"], r["hi"], r["phrase"]
-                cuts = np.unique(cut_of(h[lo:hi + 1], phrase, wide)).tolist() if phrase in wide else [0]
+                cuts = np.unique(cut_of(h[lo:hi + 1], phrase, wide)).tolist() if phrase in wide else [NOT_WIDE]
                 words = b" ".join(ws[lo:hi + window])
                 yield from ((phrase, c, mix % spread_of(phrase, r["n"], wide), 1, i, th, lo, words) for c in cuts)
 
@@ -223,7 +231,8 @@ def dealt_stretches(docs: DataFrame, found: DataFrame, window: int, id_col: str,
     once = known.where("starts is not null").select("id", "text_hash", "text", "runs", "starts", "wide").mapInArrow(in_batches(passages_of), shape)
     stretches = known.select("id", "text_hash", "text", "runs", "wide").mapInArrow(in_batches(stretches_of), shape)
     dealt = replicated(once, width(docs.sparkSession)).unionByName(stretches)
-    return met.select("id", "text_hash", "text"), dealt.select(F.xxhash64("phrase", "cut", "part").alias("shard"), "kind", "id", "text_hash", "at", "words")
+    shard = F.when(F.col("cut") == NOT_WIDE, F.pmod(F.xxhash64("phrase", "part"), F.lit(pools))).otherwise(F.xxhash64("phrase", "cut", "part"))
+    return met.select("id", "text_hash", "text"), dealt.select(shard.alias("shard"), "kind", "id", "text_hash", "at", "words")
 
 
 def replicated(passages: DataFrame, tasks: int) -> DataFrame:
@@ -241,19 +250,22 @@ def removed_spans(docs: DataFrame, found: DataFrame, window: int, id_col: str, t
     to remove from these: id, text_hash, spans array of (begin, end))."""
     spark = docs.sparkSession
     met, dealt = dealt_stretches(docs, found, window, id_col, text_col)
+    largest = SHARD_WINDOWS
 
     def locate(batches):
-        shard, machine = None, None
+        shard, machines = None, []
         for b in batches:
             rows = []
             for s, kind, i, th, at, words in zip(*(c.to_pylist() for c in b.columns)):
                 if s != shard:
-                    shard, machine = s, Machine(window)
+                    shard, machines = s, [Machine(window)]
                 ws = words.split(b" ")
                 if kind == 0:
-                    machine.add(ws, i)
+                    if machines[-1].full(len(ws) - window + 1, largest):
+                        machines.append(Machine(window))
+                    machines[-1].add(ws, i)
                     continue
-                rows += [(i, th, at + x, at + y) for x, y in machine.spans(ws, i)]
+                rows += [(i, th, at + x, at + y) for machine in machines for x, y in machine.spans(ws, i)]
             if rows:
                 cols = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32()))], ["id", "text_hash", "begin", "end"])
@@ -277,6 +289,10 @@ class Machine:
 
         self.window, self.machine, self.letters, self.ready = window, ahocorasick.Automaton(), {}, False
 
+    def full(self, more: int, largest: int) -> bool:
+        """Whether it has windows and ``more`` would make them more than ``largest``."""
+        return 0 < len(self.machine) and len(self.machine) + more > largest
+
     def add(self, words: list[bytes], first: int) -> None:
         number = self.letters.setdefault
         text = "".join(letter(number(w, len(self.letters))) for w in words)
