@@ -18,6 +18,31 @@ def test_read_csv(spark, tmp_path):
     assert files.read_csv(spark, str(tmp_path / "x.csv"), limit=1).columns == ["name", "note", "n"]
 
 
+def test_csv_read_in_parts(spark, tmp_path):
+    """Files whose rows are lines are cut into parts with the same rows; a cell with
+    a line end anywhere, also far behind the first rows, keeps a file whole."""
+    cells = [(str(i), f'say ""{i}""; and' if i % 2 else "") for i in range(20_000)]
+    plain = "k;v\n" + "".join(f'{k};"{v}"\n' if v else f"{k};\n" for k, v in cells)
+    (tmp_path / "plain.csv").write_text(plain)
+    (tmp_path / "late.csv").write_text(plain + 'x;"two\nlines"\n')
+    want = [(k, v.replace('""', '"')) for k, v in cells]
+    name, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(name, "65536")
+    try:
+        df = files.read_csv(spark, str(tmp_path / "plain.csv"))
+        assert df.rdd.getNumPartitions() > 3 and sorted(map(tuple, df.collect())) == sorted(want)
+        late = files.read_csv(spark, str(tmp_path / "late.csv"))
+        assert late.rdd.getNumPartitions() == 1 and sorted(map(tuple, late.collect())) == sorted(want + [("x", "two\nlines")])
+    finally:
+        spark.conf.set(name, old)
+    for text in ('k;v\n1;5" pipe\n', 'k;v\r\n1;2\r\n', "k;v\n \n1;2\n", 'k;v\n1;"a"b\n'):
+        (tmp_path / "odd.csv").write_bytes(text.encode())
+        assert not files.rows_are_lines(spark, str(tmp_path / "odd.csv"), ";")
+    for text in ('k|v\n"a|""b"|""\n', "k|v\n\n1|2", ""):
+        (tmp_path / "even.csv").write_bytes(text.encode())
+        assert files.rows_are_lines(spark, str(tmp_path / "even.csv"), "|")
+
+
 def test_read_documents(spark, tmp_path):
     z = io.BytesIO()
     with zipfile.ZipFile(z, "w") as f:

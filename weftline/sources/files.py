@@ -37,10 +37,30 @@ def sniff_csv(spark: SparkSession, path: str, rows: int = 51) -> str:
     return delimiter_of([r.value for r in spark.read.text(path).limit(rows).collect()])
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, limit: int | None = None) -> DataFrame:
+def rows_are_lines(spark: SparkSession, path: str, delimiter: str) -> bool:
+    """Whether each row is surely one line, so that a file may be read in parts: once
+    the cells that are quoted from end to end are taken out of a line, no quote is
+    left. Every line is looked at, in parallel, until one does not say so. Carriage
+    returns and lines of blanks, which Spark's two ways of reading take differently,
+    do not say so either."""
+    d = re.escape(delimiter)
+    quoted = f'(?<=^|{d})"(?:[^"]++|"")*+"(?={d}|$)'
+    lines = spark.read.text(path, lineSep="\n")
+    bare = F.regexp_replace("value", quoted, "")
+    return lines.where(bare.contains('"') | F.col("value").contains("\r") | F.col("value").rlike(r"^[\x00-\x20]+$")).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, limit: int | None = None, multi_line: bool | None = None) -> DataFrame:
     """All cells as text under the header's names without blanks at the ends; short
-    rows are filled with "", long ones cut."""
-    df = spark.read.csv(path, header=True, sep=delimiter or sniff_csv(spark, path), inferSchema=False, multiLine=True, quote='"', escape='"', enforceSchema=False)
+    rows are filled with "", long ones cut.
+
+    multi_line: whether a cell may hold line ends, which makes every file one task.
+    Left out, it is found by one look at all lines, and files whose rows are lines
+    are read in parts; with ``limit`` nothing is looked at, for few rows are read."""
+    sep = delimiter or sniff_csv(spark, path)
+    if multi_line is None:
+        multi_line = limit is not None or not rows_are_lines(spark, path, sep)
+    df = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=multi_line, quote='"', escape='"', enforceSchema=False)
     df = df.toDF(*[c.strip() for c in df.columns]).na.fill("")
     return df if limit is None else df.limit(limit)
 

@@ -58,6 +58,19 @@ def csv_first_rows(spark, sf_dir):
     return files.read_csv(spark, nation_csv(spark, sf_dir, "\t"), limit=7)
 
 
+@registered("""
+SELECT o_orderkey::VARCHAR AS k, CASE o_orderkey % 3 WHEN 1 THEN 'he said "' || o_orderstatus || '"; ok' ELSE '' END AS a,
+  CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN o_custkey::VARCHAR ELSE o_orderstatus END AS b FROM orders""")
+def csv_ragged(spark, sf_dir):
+    """Orders as rows of one, three and five cells, some quoted: short rows are
+    filled, long ones cut, and the files are read in parts."""
+    path, kind = folder(spark, "ragged"), F.col("o_orderkey") % 3
+    said = F.concat(F.lit('"he said ""'), "o_orderstatus", F.lit('""; ok";'), F.col("o_custkey").cast("string"), F.lit(";extra;more"))
+    line = F.concat_ws(";", F.col("o_orderkey").cast("string"), F.when(kind == 1, said).when(kind == 2, F.concat(F.lit(";"), "o_orderstatus")))
+    table(spark, sf_dir, "orders").select(line.alias("k ;a; b")).write.csv(path, header=True, sep="\x01", quote="\x00", escapeQuotes=False)
+    return files.read_csv(spark, path, ";")
+
+
 @registered("SELECT * FROM (VALUES ('|', 0, 'n_nationkey', 5), ('|', 1, 'note', 5), ('|', 2, 'n_regionkey', 5)) v(delimiter, place, header, rows)")
 def csv_head(spark, sf_dir):
     """Delimiter, headers and a sample in one call."""

@@ -70,6 +70,45 @@ def chunk_chain(spark, sf_dir):
     return c.select("document_id", (~good).alias("bad")).groupBy("document_id").agg(F.count_if("bad").alias("wrong"))
 
 
+LEVEL = "(k * k + k // 3 + doc_id) % 6 + 1"
+#: Every line of a document as a section of its own, longer than half a chunk, under a heading of any of the six levels.
+HEADED_SQL = rf"""
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+h AS (SELECT doc_id, k, ({LEVEL})::INTEGER AS level, repeat('#', ({LEVEL})::INTEGER) || ' H' || k || CASE WHEN k % 4 = 0 THEN ' ##' ELSE '' END || chr(10) || '= ' || line || repeat(' ab', 170) AS body FROM l),
+w AS (SELECT *, sum(length(body) + 1) OVER (PARTITION BY doc_id) - 1 AS size, {", ".join(f"max(CASE WHEN level = {i} THEN k END) OVER (PARTITION BY doc_id ORDER BY k) AS l{i}" for i in range(1, 5))} FROM h),
+s AS (SELECT doc_id, body, CASE WHEN size <= {SIZE} THEN [] ELSE list_filter([l1, CASE WHEN l2 > coalesce(l1, 0) THEN l2 END, CASE WHEN l3 > greatest(coalesce(l1, 0), coalesce(l2, 0)) THEN l3 END, CASE WHEN l4 > greatest(coalesce(l1, 0), coalesce(l2, 0), coalesce(l3, 0)) THEN l4 END], lambda x: x IS NOT NULL) END AS path FROM w)"""
+
+
+def headed(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("k", F.col("at") + 1)
+    level = ((F.col("k") * F.col("k") + F.floor(F.col("k") / 3) + F.col("doc_id")) % 6 + 1).cast("int")
+    body = F.concat(F.repeat(F.lit("#"), level), F.lit(" H"), F.col("k").cast("string"), F.when(F.col("k") % 4 == 0, " ##").otherwise(""), F.lit("\n= "), "line", F.lit(" ab" * 170))
+    parts = d.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", body.alias("body")))).alias("parts"))
+    return parts.select("doc_id", F.array_join(F.transform("parts", lambda p: p["body"]), "\n").alias("text"))
+
+
+@registered(f"WITH {HEADED_SQL} SELECT doc_id AS document_id, array_to_string(list_transform(path, lambda x: 'H' || x), ' > ') AS section, sum({SHOWN.replace('text', 'body')})::BIGINT AS shown, true AS fits, 0 AS wrong FROM s GROUP BY ALL")
+def structured_sections(spark, sf_dir):
+    """Documents with headings of all six levels by their structure: each section has
+    the path of the headings above it and all its own non-blank characters; headings
+    below the fourth level belong to the section's text; no chunk is too long."""
+    return cover(chunk.chunk_documents(headed(spark, sf_dir), SIZE, id_col="doc_id"), "document_id,section")
+
+
+TYPED_SQL = f"""
+t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || chr(10) || '###### last' || chr(10) || 'end' WHEN 1 THEN text || chr(10) || '#none ####### none' WHEN 2 THEN text ELSE ' ' || chr(10) END AS text, doc_id % 4 AS kind FROM documents)"""
+
+
+@registered(f"WITH {TYPED_SQL} SELECT doc_id AS document_id, CASE kind WHEN 1 THEN 'recursive' ELSE 'structured_markdown' END AS strategy, {SHOWN} AS shown, true AS fits, 0 AS wrong FROM t WHERE kind < 3 AND {SHOWN} > 0")
+def chunk_strategies(spark, sf_dir):
+    """How documents are cut: by structure where a heading of any level stands in the
+    text or the type says Markdown, else recursively. Blank Markdown has no chunk."""
+    kind = F.col("doc_id") % 4
+    text = F.when(kind == 0, F.concat("text", F.lit("\n###### last\nend"))).when(kind == 1, F.concat("text", F.lit("\n#none ####### none"))).when(kind == 2, F.col("text")).otherwise(" \n")
+    d = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.when(kind >= 2, ".MD").otherwise("txt").alias("type"))
+    return cover(chunk.chunk_documents(d, SIZE, id_col="doc_id", type_col="type"), "document_id,strategy")
+
+
 #: A name, with what stands before it: a capital and letters, more such words after white space.
 NAME_SQL = r"(^|[^\p{L}\p{N}_])([A-Z][\p{L}\p{N}_]+(?:\s+[A-Z][\p{L}\p{N}_]+)*)"
 #: doc_id, sentence parts: text before the first name, then each name, chr(2) and what follows it.
