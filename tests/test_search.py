@@ -47,3 +47,46 @@ def test_a_frequent_trigram_has_blocks(spark, tmp_path, monkeypatch):
     long = "ab" * 40_000 + "needle"
     index.add(spark.createDataFrame([(long, "y")], "src string, dst string"))
     assert [r.dst for r in index.search("bneed").collect()] == ["y"]
+
+
+def test_merged_batches_find_the_same(spark, tmp_path):
+    """Many batches become few, large ones stay as they are, nothing is lost or comes
+    twice, and a text known from a merged batch gets no second posting."""
+    index = search.TrigramIndex(spark, str(tmp_path / "i"), ["label"], buckets=4)
+    every, batches = None, [made(spark, 10, 3000)] + [made(spark, k, 40) for k in range(11, 16)]
+    for b in batches:
+        index.add(b)
+        every = b if every is None else every.unionAll(b)
+    before = index.tables.record()
+    version = index.merge()
+    after = index.tables.record()
+    for name in ("rows", "postings"):
+        assert len(before[name]["parts"]) == 6 and len(after[name]["parts"]) == 2
+        assert len(set(before[name]["parts"]) & set(after[name]["parts"])) == 1  # the large one
+    index.add(batches[2])
+    every = every.unionAll(batches[2])
+    assert index.merge(share=1e9) == version + 2 and {len(e["parts"]) for e in index.tables.record().values()} == {1}
+    assert index.merge(share=1e9) == version + 2
+    ids = index.postings(["abc", "cab", "bbb"]).select("gram", F.explode("ids"))
+    assert ids.count() == ids.distinct().count() > 0
+    for q in ("abc", "cAb", "é🔑a", "a", "no such thing"):
+        assert sorted(index.search(q).collect(), key=str) == sorted(every.where(store.contains("label", q)).collect(), key=str), q
+
+
+def test_a_merge_and_an_addition_at_once(spark, tmp_path, monkeypatch):
+    """A batch that is added while others are merged stays; the merge runs again."""
+    index = search.TrigramIndex(spark, str(tmp_path / "i"), ["label"], buckets=4)
+    every = made(spark, 1, 50).unionAll(made(spark, 2, 50))
+    index.add(made(spark, 1, 50))
+    index.add(made(spark, 2, 50))
+    other, small, ran = search.TrigramIndex(spark, str(tmp_path / "i"), ["label"], buckets=4), index._small, []
+
+    def slow(parts, share):
+        if not ran:
+            ran.append(other.add(spark.createDataFrame([("needle in between", "d")], SCHEMA)))
+        return small(parts, share)
+
+    monkeypatch.setattr(index, "_small", slow)
+    index.merge(share=1e9)
+    assert [r.label for r in index.search("needle").collect()] == ["needle in between"]
+    assert index.search("").count() == every.where("label is not null").count() + 1

@@ -6,7 +6,9 @@ the folders of its own trigrams only: first how many ids each has, then the ids
 its rarest few, which are intersected; what is left is looked up in the folders of
 these ids and compared with the query itself. So an answer is what a scan finds.
 Rows are added in batches, each with postings of its own for the texts that are new;
-all tables change in one commit.
+all tables change in one commit. ``merge`` makes one batch of the small ones, so
+that an index of many batches has few files for a trigram; a row is written anew
+about as often as the number of rows has doubled.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ class TrigramIndex:
 
     def _with(self, tables: dict, name: str, df: DataFrame) -> dict:
         at = f"data/batch={uuid.uuid4().hex}"
-        df.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{at}")
+        df.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{at}")
         full = any(s.isDirectory() for s in self.tables.log.fs.listStatus(self.tables.log.path(f"{self.folder}/{at}")))
         parts = tables.get(name, {"parts": {}})["parts"] | ({at: at} if full else {})
         return {"schema": json.loads(df.drop("bucket").schema.json()), "parts": parts}
@@ -74,12 +76,50 @@ class TrigramIndex:
             # Every place of a text is looked ahead from, so that its length counts once and not for each place.
             grams = F.array_distinct(F.regexp_extract_all("_text", F.lit("(?s)(?=(" + "." * GRAM + "))"), F.lit(1)))
             met = kept(texts.select("_text_id", F.explode(grams).alias("gram")), "grams")
-            # As many blocks as a gram's ids need; the join has an exchange on either side, so that a frequent gram's rows can be split.
-            sizes = kept(met.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "sizes")
-            dealt = met.join(sizes, "gram").withColumn("deal", F.pmod("_text_id", "parts"))
-            blocks = dealt.groupBy("gram", "deal").agg(F.sort_array(F.collect_list("_text_id")).alias("ids"))
-            postings = blocks.select("gram", F.size("ids").alias("n"), "ids", hashed("gram", self.buckets).alias("bucket"))
-            return {"rows": self._with(tables, "rows", own), "postings": self._with(tables, "postings", postings)}
+            return {"rows": self._with(tables, "rows", own), "postings": self._with(tables, "postings", self._blocks(met))}
+
+        return self.tables.commit(make)
+
+    def _blocks(self, met: DataFrame) -> DataFrame:
+        """Posting blocks of written (gram, _text_id)."""
+        # As many blocks as a gram's ids need; the join has an exchange on either side, so that a frequent gram's rows can be split.
+        sizes = kept(met.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "sizes")
+        dealt = met.join(sizes, "gram").withColumn("deal", F.pmod("_text_id", "parts"))
+        blocks = dealt.groupBy("gram", "deal").agg(F.sort_array(F.collect_set("_text_id")).alias("ids"))
+        return blocks.select("gram", F.size("ids").alias("n"), "ids", hashed("gram", self.buckets).alias("bucket"))
+
+    def _small(self, parts: dict, share: float) -> dict:
+        """The small ones among a table's batches: from the smallest up, as long as
+        each is at most ``share`` times all before it together; none or two at least."""
+        fs, path = self.tables.log.fs, self.tables.log.path
+        by_size = sorted((fs.getContentSummary(path(f"{self.folder}/{at}")).getLength(), name) for name, at in parts.items())
+        chosen, total = [], 0
+        for size, name in by_size:
+            if len(chosen) > 1 and size > share * total:
+                break
+            if len(chosen) == 1 and size > share * total:
+                chosen = []  # far larger than the only one before it, which stays
+            chosen.append(name)
+            total += size
+        return {n: parts[n] for n in chosen} if len(chosen) > 1 else {}
+
+    def merge(self, share: float = 2.0) -> int:
+        """Make one batch of the small ones of each table, in one commit; the version
+        after it, which is the same where there is nothing to merge. Batches that
+        another writer adds meanwhile stay. Only what is merged is read."""
+
+        def make(tables: dict) -> dict:
+            made = {}
+            for name, entry in tables.items():
+                small = self._small(entry["parts"], share)
+                if not small:
+                    continue
+                df = self._stored({name: entry | {"parts": small}}, name).drop("batch")
+                if name == "postings":
+                    df = self._blocks(kept(df.select("gram", F.explode("ids").alias("_text_id")), "grams"))
+                rest = {n: at for n, at in entry["parts"].items() if n not in small}
+                made[name] = self._with({name: {"parts": rest}}, name, df)
+            return made
 
         return self.tables.commit(make)
 
@@ -107,7 +147,7 @@ class TrigramIndex:
                 rows = rows.limit(0)
             else:
                 rare = sorted(grams, key=lambda g: (counts[g], g))[:USED]
-                ids = found.where(F.col("gram").isin(rare)).select("gram", F.explode("ids").alias("_text_id")).groupBy("_text_id").agg(F.count("*").alias("n")).where(F.col("n") == len(rare)).select("_text_id")
+                ids = found.where(F.col("gram").isin(rare)).select("gram", F.explode("ids").alias("_text_id")).groupBy("_text_id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(rare)).select("_text_id")
                 near = ids.withColumn("bucket", hashed("_text_id", self.buckets))
                 places = sorted(r[0] for r in near.select("bucket").distinct().collect())  # a number for each bucket at most
                 rows = rows.where(F.col("bucket").isin(places)).join(near.select("_text_id"), "_text_id", "left_semi") if places else rows.limit(0)

@@ -131,6 +131,20 @@ def texts_indexed(spark, sf_dir):
     return index.search("on the").select("doc_id")
 
 
+@registered("""
+SELECT doc_id, source FROM documents WHERE contains(lower(text), 'the on')""")
+def texts_in_a_merged_index(spark, sf_dir):
+    """An index that every source was added to by itself, merged half way and at the
+    end: it finds what a scan finds."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    index = search.TrigramIndex(spark, folder(spark, "index"), ["text"], buckets=8)
+    for k in range(4):
+        index.add(d.where(F.pmod(F.hash("source"), F.lit(4)) == k))
+        if k % 2:
+            index.merge()
+    return index.search("the on").select("doc_id", "source")
+
+
 # -- measures in rounds -----------------------------------------------------------------
 
 TURN_PAIRS = "y AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges), z AS MATERIALIZED (SELECT DISTINCT a, b FROM y WHERE a <> b)"
