@@ -8,8 +8,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from weftline.operators import dependencies, profile_sketches
+from weftline.operators import conform, dependencies, profile_sketches
 from weftline.operators.iterate import shared_folder
+from weftline.plans import ontology
 from weftline.queries import registered, table
 
 #: The tables' columns, by kind: w whole numbers, s strings, t times, f floats. Fixed values.
@@ -91,3 +92,47 @@ def profiles_merged(spark, sf_dir):
     return p.select(
         "name", "non_null", "nulls", "inferred_type", F.when(shown, F.col("frequent")[0]["value"]).alias("most"), F.when(shown, F.col("frequent")[0]["count"]).alias("most_count"),
         (F.abs(F.col("distinct") - many[F.col("name")]) <= 0.05 * many[F.col("name")]).alias("distinct_close"), middle[F.col("name")].alias("median_close"))
+
+
+#: Orders as they are kept elsewhere: what the given ontology says of them does not hold for all.
+ORDERS_ONTOLOGY = {
+    "entities": [
+        {"name": "Order", "key": "o_orderkey", "attributes": [{"name": "o_orderpriority", "type": "integer"}, {"name": "o_totalprice", "type": "float"}]},
+        {"name": "Customer", "key": "customer", "attributes": [{"name": "o_orderstatus"}]}],
+    "relationships": [{"predicate": "placed", "source": "Customer", "target": "Order"}]}
+
+
+@registered("""
+WITH o AS (SELECT *, CASE WHEN o_totalprice > 300000 THEN NULL ELSE o_custkey END AS customer FROM orders)
+SELECT 'Customer' AS subject, 'key missing' AS issue, 'customer' AS detail, count(*) AS n FROM o WHERE customer IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'Order', 'not of its type', 'o_orderpriority', count(*) FROM o WHERE try_cast(o_orderpriority AS BIGINT) IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'placed', 'one end missing', 'customer', count(*) FROM o WHERE customer IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'Customer', 'values differ', 'o_orderstatus', count(*) FROM (SELECT customer FROM o WHERE customer IS NOT NULL GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1) HAVING count(*) > 0
+UNION ALL SELECT 'Customer', 'not in its table', 'customer', count(*) FROM (SELECT DISTINCT customer FROM o WHERE customer IS NOT NULL AND customer NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) HAVING count(*) > 0""")
+def ontology_conformance(spark, sf_dir):
+    """What speaks against an ontology in all orders."""
+    o = table(spark, sf_dir, "orders").withColumn("customer", F.when(F.col("o_totalprice") > 300000, None).otherwise(F.col("o_custkey")))
+    return conform.conformance(o, ORDERS_ONTOLOGY, {"Customer": (table(spark, sf_dir, "customer").where("c_acctbal > 0"), "c_custkey")})
+
+
+@registered("""
+SELECT 'most relationships' AS way, 'Customer' AS entity, 'o_custkey' AS key_column, o_custkey AS id, count(*) AS n FROM orders GROUP BY ALL
+UNION ALL SELECT 'key among headers', 'Order', 'o_orderkey', o_orderkey, count(*) FROM orders GROUP BY ALL
+UNION ALL SELECT 'first header', 'Thing', 'o_orderkey', o_orderkey, count(*) FROM orders GROUP BY ALL
+UNION ALL SELECT 'header in _id', 'Thing', 'cust_id', o_custkey, count(*) FROM orders GROUP BY ALL""")
+def main_entities(spark, sf_dir):
+    """The main entity of an ontology and its key column, picked in each of four
+    ways, with how many rows each of its ids has in all orders."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    renamed = o.withColumnRenamed("o_custkey", "cust_id")
+    ways = [
+        ("most relationships", o, {"entities": {"Order": {"key": "o_orderkey"}, "Customer": {"key": "o_custkey"}}, "relationships": ["Customer -> Order", "Customer → Clerk", "Order | Clerk"]}),
+        ("key among headers", o, {"entities": [{"name": "Clerk", "key": "clerk"}, {"name": "Order", "primary_key": ["o_orderkey"]}]}),
+        ("first header", o, {"entities": [{"name": "Thing"}]}),
+        ("header in _id", renamed, {"entities": [{"name": "Thing"}]})]
+    out = None
+    for way, df, spec in ways:
+        entity, column = ontology.main_entity(ontology.normalise(spec), ontology.Headers(df.columns))
+        part = df.groupBy(F.col(column).alias("id")).agg(F.count("*").alias("n")).select(F.lit(way).alias("way"), F.lit(entity).alias("entity"), F.lit(column).alias("key_column"), "id", "n")
+        out = part if out is None else out.unionAll(part)
+    return out

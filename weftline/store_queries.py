@@ -10,6 +10,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from weftline.functions import names, texts
 from weftline.functions import normalizers as N
@@ -226,6 +227,23 @@ def tables_made_and_dropped(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, what string")
 
 
+@registered("SELECT 'nodes' AS name, 'c' || c_custkey AS node_id FROM customer UNION ALL SELECT 'again', 'n' || c_custkey FROM customer")
+def tables_filled_and_dropped(spark, sf_dir):
+    """Tables made, filled with all customers, made once more (which leaves them as
+    they are), one dropped with its rows and filled anew."""
+    path, kinds = folder(spark, "tables"), {n: StructType([StructField("node_id", StringType())]) for n in ("nodes", "again")}
+    c, at = table(spark, sf_dir, "customer"), lambda name: VersionedTable(spark, f"{path}/{name}")
+    create_tables(spark, path, kinds)
+    for name in kinds:
+        at(name).write(c.select(F.concat(F.lit("c"), "c_custkey").alias("node_id")))
+    create_tables(spark, path, kinds)
+    drop_tables(spark, path, ["again"])
+    create_tables(spark, path, kinds)
+    new = at("again").read().unionByName(c.select(F.concat(F.lit("n"), "c_custkey").alias("node_id")))
+    at("again").write(new)
+    return at("nodes").read().select(F.lit("nodes").alias("name"), "node_id").unionAll(at("again").read().select(F.lit("again").alias("name"), "node_id"))
+
+
 @registered("""
 SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS name, true AS known FROM customer WHERE c_custkey <> 7""")
 def keyed_store(spark, sf_dir):
