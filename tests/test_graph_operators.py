@@ -288,3 +288,19 @@ def test_estimated_closeness(spark):
     exact = dict(map(tuple, analytics.closeness(nodes, edges).collect()))
     got = {r.node_id: r for r in analytics.closeness_estimated(nodes, edges).collect()}
     assert all(abs(got[n].closeness - c) <= 0.03 * c for n, c in exact.items()) and got["alone"].closeness == 0 and got["n00"].reached == 40
+
+
+def test_a_choice_of_very_many_documents(spark):
+    """Chosen documents beyond the number of literals are joined, with the same rows."""
+    from weftline.operators import analytics, resolve
+
+    nodes = spark.createDataFrame([(f"n{i}", [f"d{i}", f"d{i + 1}"] if i % 7 else []) for i in range(60)], "node_id string, documents array<string>")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i * 3 % 60}", f"d{i % 20}" if i % 6 else None) for i in range(60)], "src string, dst string, document_id string")
+    few = [f"d{i}" for i in range(0, 40, 5)]
+    many = few + few + [f"other{i}" for i in range(resolve.LITERALS)]
+    want, got = analytics.visible_subgraph(nodes, edges, few), analytics.visible_subgraph(nodes, edges, many)
+    assert [sorted(map(str, d.collect())) for d in got] == [sorted(map(str, d.collect())) for d in want] and 0 < got[1].count() < 60
+    assert got[1].columns == edges.columns
+    one, two = resolve.among(edges, "document_id", few), resolve.among(edges, "document_id", many)
+    assert sorted(one.collect()) == sorted(two.collect()) and two.columns == edges.columns and one.count() > 0
+    assert resolve.among(edges, "document_id", []).count() == 0

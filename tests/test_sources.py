@@ -72,3 +72,18 @@ def test_graph_json(spark, tmp_path):
     spec = files.read_mapping(spark, str(tmp_path / "m.json"))
     assert isinstance(spec, MappingSpec)
     assert [r[0] for r in graph.nodes(spark.createDataFrame([("1",), ("",)], "x string"), spec).collect()] == ["a:1"]
+
+
+def test_graph_documents_of_bounded_size(spark, tmp_path):
+    odd = ['say "x"', "two\nlines", "é🔑", "back\\slash", ""]
+    nodes = spark.createDataFrame([(x,) for x in odd + odd + [None] + [f"n{i}" for i in range(2000)]], "node_id string")
+    edges = spark.createDataFrame([(f"n{i}", odd[i % 5], f"n{i // 2}") for i in range(900)] + [("n1", None, "n2"), ("n0", odd[0], "n0")], "src string, predicate string, dst string")
+    path = str(tmp_path / "g")
+    files.write_graph_documents(nodes, edges, path, size=100)
+    raw = spark.read.json(path).collect()
+    assert len(raw) == 21 + 9 and max(len(r.entities) + len(r.relations) for r in raw) < 200
+    n, e = files.read_graph_json(spark, path, lines=True)
+    assert {r.node_id for r in n.collect()} == {*odd, *(f"n{i}" for i in range(2000))} and n.count() == 2005
+    assert {tuple(r) for r in e.collect()} == {(f"n{i}", odd[i % 5], f"n{i // 2}") for i in range(900)}
+    files.write_graph_documents(nodes.limit(0), edges.limit(0), str(tmp_path / "none"))
+    assert [d.count() for d in files.read_graph_json(spark, str(tmp_path / "none"), lines=True)] == [0, 0]

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .iterate import components, dropped, kept
+from .resolve import LITERALS, among
 
 __all__ = ["closed", "components", "closeness", "closeness_estimated", "colouring", "communities", "degree", "density", "isolates", "metrics", "pagerank", "label_propagation", "label_propagation_in_turn", "top_degree", "totals", "visible_subgraph"]
 
@@ -225,9 +226,15 @@ def visible_subgraph(nodes: DataFrame, edges: DataFrame, documents: list[str]) -
     chosen; a node if one of its documents is, or an edge at it is shown. No choice: all."""
     if not documents:
         return nodes, edges
-    chosen = F.array(*map(F.lit, documents))
-    linked = nodes.where(F.arrays_overlap("documents", chosen)).select("node_id").distinct()
+    if len(documents) <= LITERALS:
+        linked = nodes.where(F.arrays_overlap("documents", F.array(*map(F.lit, documents))))
+        own = edges.withColumn("o", F.col("document_id").isin(*documents))
+    else:
+        chosen = nodes.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(documents)], "document_id string")
+        linked = among(nodes.select("node_id", F.explode("documents").alias("document_id")), "document_id", documents)
+        own = edges.join(chosen.withColumn("o", F.lit(True)), "document_id", "left")
+    linked = linked.select("node_id").distinct()
     s, d = linked.select(F.col("node_id").alias("src"), F.lit(True).alias("s")), linked.select(F.col("node_id").alias("dst"), F.lit(True).alias("d"))
-    shown = edges.join(s, "src", "left").join(d, "dst", "left").where(F.col("document_id").isin(*documents) | F.col("s") | F.col("d")).select(*edges.columns)
+    shown = own.join(s, "src", "left").join(d, "dst", "left").where(F.col("o") | F.col("s") | F.col("d")).select(*edges.columns)
     ends = linked.unionByName(shown.select(F.explode(F.array("src", "dst")).alias("node_id"))).distinct()
     return nodes.join(ends, "node_id", "left_semi"), shown

@@ -131,10 +131,24 @@ def resolved_edges(provenance: DataFrame) -> DataFrame:
         F.min("created_at").alias("first_seen_at"), F.max("created_at").alias("last_seen_at"))
 
 
+#: So many values are compared as literals; more are a table to join.
+LITERALS = 200
+
+
+def among(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows whose column is one of the values, which may be many."""
+    if not values:
+        return df.limit(0)
+    if len(values) <= LITERALS:
+        return df.where(F.col(column).isin(*values))
+    chosen = df.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(values)], f"_chosen {df.schema[column].dataType.simpleString()}")
+    return df.join(chosen, F.col(column) == F.col("_chosen"), "left_semi")
+
+
 def in_scope(df: DataFrame, documents: list[str] | None = None, start=None, end=None) -> DataFrame:
     """Rows of some documents and of a time span (end not included)."""
     if documents is not None:
-        df = df.where(F.col("document_id").isin(*documents)) if documents else df.limit(0)
+        df = among(df, "document_id", documents)
     if start is not None:
         df = df.where(F.col("created_at") >= F.lit(start))
     return df if end is None else df.where(F.col("created_at") < F.lit(end))
@@ -171,7 +185,7 @@ def resolved_snapshot(tables: dict[str, DataFrame], mentions: DataFrame, documen
     found = tables["resolved_relationships"]
     entities = tables["resolved_entities"]
     if documents is not None:
-        own = tables["resolved_relationship_mentions"].where(F.col("document_id").isin(*documents)) if documents else tables["resolved_relationship_mentions"].limit(0)
+        own = among(tables["resolved_relationship_mentions"], "document_id", documents)
         found = found.join(own.select("resolved_relationship_id"), "resolved_relationship_id", "left_semi")
         ends = found.select(F.explode(F.array("source_resolved_id", "target_resolved_id")).alias("resolved_id"))
         entities = entities.join(ends, "resolved_id", "left_semi")

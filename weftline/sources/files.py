@@ -233,6 +233,22 @@ def write_graph_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
         write(b"]}\n")
 
 
+def write_graph_documents(nodes: DataFrame, edges: DataFrame, folder: str, size: int = 10_000) -> None:
+    """The graph as many documents {"entities": [id], "relations": [[s, p, t]]}, one a
+    line, in a new folder, written by all tasks: for graphs of any size. An id and a
+    relation stand in one document each; a document has about ``size`` of one of both,
+    sorted. Ids that are null and relations with a null part are left out."""
+
+    def dealt(df: DataFrame, columns: list[str], value, name: str) -> DataFrame:
+        d = df.select(*columns).dropna().distinct()
+        parts = max(1, -(-d.count() // size))
+        return d.groupBy(F.pmod(F.xxhash64(*columns), F.lit(parts)).alias("part")).agg(F.array_sort(F.collect_list(value)).alias(name)).drop("part")
+
+    entities = dealt(nodes, ["node_id"], F.col("node_id"), "entities").withColumn("relations", F.array().cast("array<array<string>>"))
+    relations = dealt(edges, ["src", "predicate", "dst"], F.array("src", "predicate", "dst"), "relations").withColumn("entities", F.array().cast("array<string>"))
+    entities.unionByName(relations).write.json(folder)
+
+
 @contextmanager
 def created(spark: SparkSession, path: str):
     """A new file of any file system that Spark knows; gives a function that writes bytes."""
@@ -263,9 +279,10 @@ def write_knowledge_bases(kbs: DataFrame, path: str) -> None:
         write(b"]}\n")
 
 
-def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A document {"entities": [id], "relations": [[s, p, t]]}, as nodes and edges."""
-    df = spark.read.schema("entities array<string>, relations array<array<string>>").json(path, multiLine=True)
+def read_graph_json(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents {"entities": [id], "relations": [[s, p, t]]}, as nodes and edges: one
+    a file, or one a line."""
+    df = spark.read.schema("entities array<string>, relations array<array<string>>").json(path, multiLine=not lines)
     nodes = df.select(F.explode("entities").alias("node_id")).distinct()
     r = F.col("r")
     edges = df.select(F.explode("relations").alias("r")).where(F.size(r) >= 3).select(r[0].alias("src"), r[1].alias("predicate"), r[2].alias("dst")).distinct()

@@ -199,6 +199,19 @@ def graph_document_round_trip(spark, sf_dir):
     return files.read_graph_json(spark, path)[1]
 
 
+@registered(f"""
+WITH {BASE_SQL}
+SELECT DISTINCT 'entity' AS kind, node_id AS src, NULL AS predicate, NULL AS dst FROM nodes UNION ALL SELECT DISTINCT 'relation', src, predicate, dst FROM edges""")
+def graph_documents_round_trip(spark, sf_dir):
+    """The whole customer-order graph as many JSON documents, read back."""
+    nodes, edges, _ = base_graph(spark, sf_dir)
+    path = folder(spark, "documents")
+    files.write_graph_documents(nodes, edges, path)
+    n, e = files.read_graph_json(spark, path, lines=True)
+    none = F.lit(None).cast("string")
+    return n.select(F.lit("entity").alias("kind"), F.col("node_id").alias("src"), none.alias("predicate"), none.alias("dst")).unionByName(e.select(F.lit("relation").alias("kind"), "src", "predicate", "dst"))
+
+
 @registered(f"SELECT DISTINCT unnest(['customer:' || o_custkey, 'order:' || o_orderkey, 'priority:' || {SLUG.format('o_orderpriority')}]) AS node_id FROM orders")
 def mapping_from_json(spark, sf_dir):
     path = f"{folder(spark, 'mapping')}.json"
