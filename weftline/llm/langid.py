@@ -228,7 +228,9 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score): one row a row of docs, from the whole text and
     nothing else. A null text, or one without a letter: ``und`` with score 0. Rows
-    that repeat an id or have none stay. A model of no languages: all ``und``."""
+    that repeat an id or have none stay. A model of no languages: all ``und``. Texts of
+    any length are read whole; a task holds one text's distinct features. An empty
+    table gives an empty table. Other columns are not read."""
     prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 

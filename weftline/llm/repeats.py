@@ -333,7 +333,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     space; null where nothing was removed. kept_sha256 is always given.
 
     Null, empty and blank texts: no words, nothing removed. Texts shorter than a
-    window lose nothing. Rows without an id are left out and count for nothing.
+    window lose nothing. Texts of any length are judged whole, in one task each; their
+    stretches go to shards apart. Rows without an id are left out and count for nothing.
     Rows that repeat an id are judged one by one and remove nothing from each
     other. An empty table gives an empty table. Other columns are not read.
     """

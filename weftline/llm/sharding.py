@@ -59,7 +59,9 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     in each shard. grown_shard is null, for this law does not fix where rows go
     when shards are added. Null texts are a group of their own, apart from empty
     ones, with no bytes and crc 0. Null and repeated ids are placed like any other
-    row. An empty table gives an empty table. Other columns are not read.
+    row. Very long texts are placed like any other; one larger than a shard's share
+    makes its shard the largest. An empty table gives an empty table. Other columns
+    are not read.
     """
     if shards < 1:
         raise ValueError("at least one shard")
