@@ -304,3 +304,28 @@ def test_a_choice_of_very_many_documents(spark):
     one, two = resolve.among(edges, "document_id", few), resolve.among(edges, "document_id", many)
     assert sorted(one.collect()) == sorted(two.collect()) and two.columns == edges.columns and one.count() > 0
     assert resolve.among(edges, "document_id", []).count() == 0
+
+
+def test_estimated_closeness_sends_no_sketch_of_a_leaf_and_broadcasts_none(spark, monkeypatch):
+    """Sketches are small on disk, so that Spark would broadcast them through the driver."""
+    wide, plans, kept = [], [], analytics.kept
+
+    def watched(df, tag, **measured):
+        if "ball" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = kept(df, tag, **measured)
+        if "ball" in out.columns:
+            wide.append(out.count())
+        return out
+
+    monkeypatch.setattr(analytics, "kept", watched)
+    path = [("a", "b"), ("b", "c"), ("c", "d")]
+    rays = [("a", f"l{i:03d}") for i in range(300)] + [("x", "y")]
+    ids = sorted({v for e in path + rays for v in e} | {"alone"})
+    nodes, edges = spark.createDataFrame([(v,) for v in ids], ["node_id"]), spark.createDataFrame(path + rays, ["src", "dst"])
+    got = {r.node_id: r for r in analytics.closeness_estimated(nodes, edges).collect()}
+    monkeypatch.undo()
+    exact = {r.node_id: r.closeness for r in analytics.closeness(nodes, edges).collect()}
+    assert max(wide) <= 6 and not any("Broadcast" in p for p in plans[1:])  # a, b, c, x, y and the one alone
+    assert got.keys() == exact.keys() and all(abs(got[v].closeness - c) <= 0.05 * c for v, c in exact.items())
+    assert {r.rounds for r in got.values()} == {5} and got["alone"].reached == 1 and got["y"].reached == 2

@@ -187,23 +187,43 @@ def closeness_estimated(nodes: DataFrame, edges: DataFrame, lg_k: int = 12, max_
     has it, estimated. Each node holds a HyperLogLog sketch of the nodes within t
     steps; a round joins it with its neighbours' (HyperBall), so the cost is rounds
     times edges and not pairs of nodes. ``reached`` counts the node itself. The
-    standard error of a count is about 1.04 / sqrt(2 ^ lg_k), 1.6 % by default."""
+    standard error of a count is about 1.04 / sqrt(2 ^ lg_k), 1.6 % by default.
+
+    A node with one neighbour, which has others, takes part in the first round
+    only: from then on its ball is that neighbour's of the round before, so its
+    numbers follow from the neighbour's. Sketches are small on disk and large in
+    memory, so sides that hold them are shuffled, never broadcast."""
     inside = closed(nodes, edges).where("src <> dst").select("src", "dst")
     pairs = kept(inside.unionAll(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "pairs")
-    one = nodes.groupBy("node_id").agg(F.hll_sketch_agg(F.col("node_id").cast("string"), lg_k).alias("ball"))
-    ball = kept(one.select("node_id", "ball", F.lit(1).cast("long").alias("reached"), F.lit(0).cast("long").alias("total")), "ball")
-    for t in range(1, max_rounds + 1):
-        near = pairs.join(ball.select(F.col("node_id").alias("dst"), "ball"), "dst").groupBy("src").agg(F.hll_union_agg("ball").alias("near"))
-        met = ball.join(near.withColumnRenamed("src", "node_id"), "node_id", "left").withColumn("ball", F.when(F.col("near").isNull(), F.col("ball")).otherwise(F.hll_union("ball", "near")))
+    ends = pairs.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("next"))
+    hub = ends.where("n > 1").select(F.col("src").alias("next"))
+    leaf = kept(ends.where("n = 1").join(hub, "next", "left_semi").select(F.col("src").alias("node_id"), "next"), "leaf")
+    core = kept(nodes.select("node_id").distinct().join(leaf, "node_id", "left_anti"), "core")
+    # a node's first ball is of ids alone, so that no sketch is sent for a leaf
+    near = pairs.join(core.withColumnRenamed("node_id", "src"), "src", "left_semi").select(F.col("src").alias("node_id"), F.col("dst").alias("of"))
+    near = near.unionAll(core.select("node_id", F.col("node_id").alias("of")))
+    one = near.groupBy("node_id").agg(F.hll_sketch_agg(F.col("of").cast("string"), lg_k).alias("ball"), F.count("*").alias("own"))
+    one = one.withColumn("reached", F.hll_sketch_estimate("ball")).withColumn("grew", F.col("own") > 1)
+    ball = kept(one.select("node_id", "ball", "reached", (F.col("reached") - 1).alias("total"), "grew", F.col("grew").cast("int").alias("last")), "ball", grew=F.count_if("grew"))
+    links = kept(pairs.join(leaf.withColumnRenamed("node_id", "src"), "src", "left_anti").join(leaf.select(F.col("node_id").alias("dst")), "dst", "left_anti").select("src", "dst"), "pairs")
+    dropped(pairs)
+    for t in range(2, max_rounds + 1):
+        if not ball.seen["grew"]:
+            break
+        near = links.hint("merge").join(ball.select(F.col("node_id").alias("dst"), "ball"), "dst").groupBy("src").agg(F.hll_union_agg("ball").alias("near"))
+        met = ball.hint("merge").join(near.withColumnRenamed("src", "node_id"), "node_id", "left").withColumn("ball", F.when(F.col("near").isNull(), F.col("ball")).otherwise(F.hll_union("ball", "near")))
         # an estimate may fall by rounding where a ball did not grow
-        now = met.withColumn("now", F.greatest("reached", F.hll_sketch_estimate("ball")))
-        new = kept(now.select("node_id", "ball", F.col("now").alias("reached"), (F.col("total") + t * (F.col("now") - F.col("reached"))).alias("total"), (F.col("now") > F.col("reached")).alias("grew")), "ball", grew=F.count_if("grew"))
+        now = met.withColumn("now", F.greatest("reached", F.hll_sketch_estimate("ball"))).withColumn("grew", F.col("now") > F.col("reached"))
+        new = kept(now.select("node_id", "ball", F.col("now").alias("reached"), (F.col("total") + t * (F.col("now") - F.col("reached"))).alias("total"), "grew", F.when(F.col("grew"), t).otherwise(F.col("last")).alias("last")), "ball", grew=F.count_if("grew"))
         dropped(ball)
         ball = new
-        if not ball.seen["grew"]:
-            break
-    dropped(pairs)
-    return ball.select("node_id", F.coalesce(F.try_divide((F.col("reached") - 1).cast("double"), F.col("total").cast("double")), F.lit(0.0)).alias("closeness"), "reached", F.lit(t).alias("rounds"))
+    measured = kept(ball.select("node_id", "reached", "total", "last"), "measured")
+    dropped(links, ball)
+    follows = leaf.join(measured.withColumnRenamed("node_id", "next"), "next").select("node_id", "reached", (F.col("total") + F.col("reached") - 2).alias("total"), (F.col("last") + 1).alias("last"))
+    out = kept(measured.unionByName(follows), "measured", last=F.max("last"))
+    rounds = min((out.seen["last"] or 0) + 1, max_rounds)
+    dropped(leaf, core, measured)
+    return out.select("node_id", F.coalesce(F.try_divide((F.col("reached") - 1).cast("double"), F.col("total").cast("double")), F.lit(0.0)).alias("closeness"), "reached", F.lit(rounds).alias("rounds"))
 
 
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
