@@ -137,3 +137,17 @@ def test_embedding_resolution(spark):
     for exact in (False, True):
         to = {r.entity_id: (r.resolved_id, r.strategy) for r in matchers.EmbeddingMatcher(of, 0.95, exact).map(m).collect()}
         assert to["e1"] == to["e4"] and to["e1"][1] == "embedding" and to["e5"] != to["e1"] and to["e3"][1] == "exact" and set(to) == {f"e{i}" for i in range(1, 7)}
+
+
+def test_a_recall_of_one_leaves_no_pair_out(spark):
+    """Several blocks, products in steps, vectors of two lengths, pairs of a block with itself."""
+    rng = np.random.default_rng(3)
+    v = [*rng.standard_normal((2_500, 12)), *rng.standard_normal((300, 5))]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    want = set()
+    for a, b in ((0, 2_500), (2_500, 2_800)):
+        u = np.array([x / np.sqrt(x @ x) for x in v[a:b]])
+        x, y = np.nonzero(np.triu(u @ u.T >= 0.8, 1))
+        want |= set(zip((x + a).tolist(), (y + a).tolist()))
+    got = [(r.a, r.b) for r in vectors.similar_pairs(vectors.vector_classes(df)[1], 0.8, recall=1).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1_000

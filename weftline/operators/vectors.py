@@ -26,6 +26,8 @@ from .similar import SPLIT, parted
 
 #: Probes flip some of so many least certain sides.
 UNSURE = 6
+#: Rows of a block, and pairs of a product, of the comparison of all.
+BLOCK, PRODUCTS = 16_384, 1 << 22
 SETS = np.array(sorted(itertools.product((0, 1), repeat=UNSURE), key=sum))
 
 
@@ -122,7 +124,10 @@ def candidates(roots: DataFrame, least: float, recall: float = 0.99, bits: int |
 def similar_pairs(roots: DataFrame, least: float, **how) -> DataFrame:
     """(a, b, cosine): pairs of different vectors (root, vector; see vector_classes)
     with a cosine of ``least`` or more, found by hashing; how: see candidates.
-    Vectors of another length than the first one's take no part."""
+    Vectors of another length than the first one's take no part. Hashing leaves out
+    what a recall under 1 allows for; a recall of 1 is the comparison of all."""
+    if how.get("recall") == 1:
+        return exact_pairs(roots, least)
     met = candidates(roots, least, **how)
     one = met.join(roots.select(F.col("root").alias("a"), F.col("vector").alias("u")), "a")
     both = one.join(roots.select(F.col("root").alias("b"), F.col("vector").alias("v")), "b")
@@ -130,29 +135,38 @@ def similar_pairs(roots: DataFrame, least: float, **how) -> DataFrame:
     return both.select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)
 
 
-def exact_pairs(roots: DataFrame, least: float, block: int = 4_000) -> DataFrame:
-    """The same pairs by comparing all, a cell of two blocks of rows at a time.
-    Work and shuffle grow with the square of the rows: for truth, not for scale."""
+def exact_pairs(roots: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """The same pairs by comparing all, a cell of two blocks of rows at a time. A task
+    holds two blocks and the products of PRODUCTS pairs at most; a row is sent once
+    for each block. Products grow with the square of the rows, and so, divided by
+    the block, does what is sent."""
     n = roots.count()
-    blocks = max(1, -(-n // block))
+    # a small table is divided too, so that several tasks share it
+    blocks = max(1, -(-n // block), min(8, n // 1_000))
     own = roots.withColumn("own", F.pmod(F.xxhash64("root"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cells = own.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    cells = own.select("root", "vector", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(cell: pa.Table) -> pa.Table:
         root, mine = cell.column("root").combine_chunks(), cell.column("own").to_numpy()
-        lengths = np.array([len(x) for x in cell.column("vector")])
-        found = []
+        vector = cell.column("vector").combine_chunks()
+        flat, start = vector.values.to_numpy(), vector.offsets.to_numpy()
+        lengths, i, j = np.diff(start), cell["i"][0].as_py(), cell["j"][0].as_py()
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         for d in np.unique(lengths):
-            here = np.flatnonzero(lengths == d)
-            v = np.array(cell.column("vector").take(pa.array(here)).to_pylist())
-            first, second = here[mine[here] == cell["i"][0].as_py()], here[mine[here] == cell["j"][0].as_py()]
-            place = {x: k for k, x in enumerate(here.tolist())}
-            s = v[[place[x] for x in first.tolist()]] @ v[[place[x] for x in second.tolist()]].T
-            x, y = np.nonzero(s >= least)
-            found.append((first[x], second[y], s[x, y]))
+            first, second = (np.flatnonzero((lengths == d) & (mine == k)) for k in (i, j))
+            v = flat[start[second][:, None] + np.arange(d)].T
+            step = max(1, PRODUCTS // max(1, len(second)))
+            for at in range(0, len(first), step):
+                some = first[at:at + step]
+                s = flat[start[some][:, None] + np.arange(d)] @ v
+                x, y = np.nonzero(s >= least)
+                s = s[x, y]
+                if i == j:  # of a block with itself each pair once
+                    once = some[x] < second[y]
+                    x, y, s = x[once], y[once], s[once]
+                found.append((some[x], second[y], s))
         x, y, s = (np.concatenate(c) for c in zip(*found))
-        a, b = root.take(pa.array(x)), root.take(pa.array(y))
-        return pa.table({"a": a, "b": b, "cosine": pa.array(s, pa.float64())})
+        return pa.table({"a": root.take(pa.array(x)), "b": root.take(pa.array(y)), "cosine": pa.array(s, pa.float64())})
 
     schema = roots.select(F.col("root").alias("a"), F.col("root").alias("b")).schema.add("cosine", T.DoubleType())
-    return cells.groupBy("i", "j").applyInArrow(run, schema).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").where("a <> b").dropDuplicates(["a", "b"])
+    return cells.groupBy("i", "j").applyInArrow(run, schema).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
