@@ -81,3 +81,14 @@ def test_routes_and_counts(apply):
 def test_slugs_are_stable(apply, values):
     once = apply(N.slug, *values)
     assert apply(N.slug, *once) == once and all(set(s) <= set("abcdefghijklmnopqrstuvwxyz0123456789-") for s in once)
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    from weftline.operators import chunk, extract
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(1, "Some Text")], "document_id long, text string")
+    for step in (chunk.chunk_documents, chunk.chunk_pages, extract.extract, lambda d: extract.described(d, lambda t: {})):
+        spark.conf.set(name, "10000")
+        step(docs)
+        assert int(spark.conf.get(name)) <= 128

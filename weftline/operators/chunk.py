@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from weftline.functions import texts
 from weftline.functions.normalizers import text as as_text
 
+from .iterate import text_batches
+
 SEPARATORS = ("\n\n", "\n", " ")
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)(?:\s+#+)?$", re.M)
 MAX_DEPTH = 4
@@ -162,7 +164,7 @@ def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 200, wante
     """Chunks with true offsets, word counts, section paths and neighbours. Null and
     blank texts have none."""
     how = strategy(F.col(text_col), F.col(type_col) if type_col else None, wanted)
-    d = docs.select(F.col(id_col).alias("document_id"), as_text(F.col(text_col)).alias("text"), how.alias("strategy"))
+    d = text_batches(docs).select(F.col(id_col).alias("document_id"), as_text(F.col(text_col)).alias("text"), how.alias("strategy"))
     c = d.select("document_id", "strategy", F.posexplode(chunk_spans(F.col("text"), F.col("strategy"), size, overlap)).alias("idx", "s"))
     c = c.select("document_id", "idx", F.col("s.content").alias("content"), F.col("s.begin").alias("start"), F.col("s.end").alias("end"), F.col("s.section").alias("section"), "strategy")
     return with_neighbours(c.withColumn("word_count", texts.word_count(F.col("content"))))
@@ -188,7 +190,7 @@ def chunk_pages(docs: DataFrame, size: int = 1000, overlap: int = 200, id_col: s
     """Pages without running lines, long ones cut further: chunks with page_number
     and strategy page or page+recursive."""
     none = F.array().cast("array<string>")
-    d = docs.select(F.col(id_col).alias("document_id"), as_text(F.col(text_col)).alias("text")).join(running_lines(docs, id_col, text_col, 0.6), "document_id", "left")
+    d = text_batches(docs).select(F.col(id_col).alias("document_id"), as_text(F.col(text_col)).alias("text")).join(running_lines(docs, id_col, text_col, 0.6), "document_id", "left")
     p = d.select("document_id", F.coalesce("headers", none).alias("h"), F.coalesce("footers", none).alias("f"), F.posexplode(texts.pages(F.col("text"))).alias("page", "raw"))
     p = p.select("document_id", (F.col("page") + 1).alias("page_number"), texts.normalized_page(F.col("raw"), F.col("h"), F.col("f")).alias("text")).where("text <> ''")
     c = p.select("document_id", "page_number", F.posexplode(chunk_spans(F.col("text"), F.lit("recursive"), size, overlap)).alias("part", "s"))

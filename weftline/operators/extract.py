@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from weftline.functions import texts
 
 from .chunk import chunk_documents
+from .iterate import text_batches
 
 Extractor = Callable[[str], tuple[Iterable[str], Iterable[tuple[str, str, str]]]]
 NAME = re.compile(r"\b[A-Z]\w+(?:\s+[A-Z]\w+)*")
@@ -53,7 +54,7 @@ def extract(docs: DataFrame, extractor: Extractor = by_capitals, id_cols: tuple[
                 rows += [(*own, e, None, None) for e in sorted(set(entities))] + [(*own, *r) for r in sorted(set(map(tuple, relations))) if len(r) >= 3]
             yield pd.DataFrame(rows, columns=[*ids, "src", "predicate", "dst"])
 
-    return docs.select(*ids, F.col(text_col)).mapInPandas(run, schema)
+    return text_batches(docs).select(*ids, F.col(text_col)).mapInPandas(run, schema)
 
 
 def extract_routed(docs: DataFrame, extractor: Extractor = by_capitals, limit: int = 8000, size: int = 1000, overlap: int = 200, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
@@ -110,7 +111,7 @@ def described(docs: DataFrame, model: Callable[[str], dict], id_cols: tuple[str,
                 rows.append((*own, *[list(dict.fromkeys(str(x) for x in said.get(k) or [])) for k in ("topics", "keywords")]))
             yield pd.DataFrame(rows, columns=[*ids, "topics", "keywords"])
 
-    return docs.select(*ids, F.col(text_col)).mapInPandas(run, schema)
+    return text_batches(docs).select(*ids, F.col(text_col)).mapInPandas(run, schema)
 
 
 def checked(triples: DataFrame, nodes: DataFrame | None = None, predicates: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,20 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Texts that go to Python at a time: what is made of them is many times as large.
+BATCH_ROWS = 128
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """The frame, after the session's Arrow batches were made small enough for whole
+    texts: lowers their rows to BATCH_ROWS where there may be more. Results are
+    computed later, so the setting stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir``. Where it
     is unset, a local run gets a temporary one; on a cluster that is an error."""
