@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import components, dropped, kept
+from .iterate import by_number, components, dropped, kept, numbered
 from .resolve import LITERALS, among
 
 __all__ = ["closed", "components", "closeness", "closeness_estimated", "colouring", "communities", "degree", "density", "isolates", "metrics", "pagerank", "label_propagation", "label_propagation_in_turn", "top_degree", "totals", "visible_subgraph"]
@@ -135,10 +135,11 @@ def colouring(nodes: DataFrame, edges: DataFrame, max_rounds: int = 500) -> Data
     before their neighbours without a colour, by a hash of their ids, the least colour
     that no neighbour has (Jones and Plassmann); that takes few rounds, with any order
     of the rows. A node's neighbours meet as their set of colours, never as rows."""
-    inside = closed(nodes, edges).where("src <> dst").select("src", "dst")
+    names = numbered(nodes, F.md5(F.col("node_id").cast("string").cast("binary")), "node_id")
+    inside = by_number(names, edges).where("src <> dst")
     pairs = kept(inside.unionAll(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "pairs")
-    order = F.struct(F.md5(F.col("node_id").cast("string").cast("binary")).alias("h"), "node_id")
-    state = kept(nodes.select("node_id").distinct().select("node_id", F.lit(None).cast("int").alias("colour")), "colour")
+    order = F.col("node_id")  # the number is the place in the order of hashes
+    state = kept(names.select(F.col("code").alias("node_id"), F.lit(None).cast("int").alias("colour")), "colour")
     for _ in range(max_rounds):
         to = state.select(F.col("node_id").alias("dst"), F.col("colour").alias("c"), F.when(F.col("colour").isNull(), order).alias("waits"))
         met = pairs.join(state.where("colour is null").select(F.col("node_id").alias("src")), "src", "left_semi").join(to, "dst").groupBy("src").agg(F.max("waits").alias("first"), F.collect_set("c").alias("used"))
@@ -150,7 +151,7 @@ def colouring(nodes: DataFrame, edges: DataFrame, max_rounds: int = 500) -> Data
         state = new
         if not state.seen["open"]:
             dropped(pairs)
-            return state.select("node_id", "colour")
+            return state.join(names.select(F.col("code").alias("node_id"), F.col("node_id").alias("name")), "node_id").select(F.col("name").alias("node_id"), "colour")
     raise RuntimeError("colouring did not settle")
 
 

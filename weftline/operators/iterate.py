@@ -58,6 +58,21 @@ def dropped(*frames: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def numbered(nodes: DataFrame, *order: Column | str) -> DataFrame:
+    """(node_id, code) of the different nodes, written: code is a long that sorts as
+    ``order`` does (by default node_id), so that rounds send numbers and no names."""
+    by = order or ("node_id",)
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ids = nodes.select("node_id").distinct().repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    return kept(sorted_ids.select("node_id", F.monotonically_increasing_id().alias("code")), "codes")
+
+
+def by_number(codes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst) as codes, of the edges both of whose ends have one."""
+    one = edges.select("src", "dst").join(codes.select(F.col("node_id").alias("src"), F.col("code").alias("s")), "src").select("s", "dst")
+    return one.join(codes.select(F.col("node_id").alias("dst"), F.col("code").alias("d")), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
+
+
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node_id, component): component is the least id that a node is connected to,
     whatever the edges' direction. Isolated nodes are components of their own.
