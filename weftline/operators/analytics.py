@@ -161,9 +161,11 @@ def label_propagation_in_turn(nodes: DataFrame, edges: DataFrame, max_iterations
     node without neighbours keeps its own. Nodes of one colour move at once and
     colours in turn, so each sees the newest labels about it as if nodes moved one by
     one, and no two neighbours swap labels for ever."""
-    shade = colouring(nodes, edges)
+    names = numbered(nodes)
+    named = colouring(nodes, edges).withColumnRenamed("node_id", "name")
+    shade = kept(named.join(names, F.col("name").eqNullSafe(F.col("node_id"))).select(F.col("code").alias("node_id"), "colour"), "shade")
     colours = sorted(r[0] for r in shade.select("colour").distinct().collect())  # fewer than a node's most neighbours, and two
-    inside = closed(nodes, edges).select("src", "dst")
+    inside = by_number(names, edges)
     both = inside.unionAll(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count("*").alias("w"))
     pairs = kept(both.join(shade.withColumnRenamed("node_id", "src"), "src"), "pairs")
     label = kept(shade.select("node_id", F.col("node_id").alias("community")), "label")
@@ -180,7 +182,9 @@ def label_propagation_in_turn(nodes: DataFrame, edges: DataFrame, max_iterations
         if not moved:
             break
     dropped(pairs)
-    return label.select("node_id", "community")
+    to = names.select(F.col("code").alias("community"), F.col("node_id").alias("name"))
+    own = label.select("node_id", "community").join(names.select(F.col("code").alias("node_id"), F.col("node_id").alias("own")), "node_id")
+    return own.join(to, "community").select(F.col("own").alias("node_id"), F.col("name").alias("community"))
 
 
 def closeness_estimated(nodes: DataFrame, edges: DataFrame, lg_k: int = 12, max_rounds: int = 200) -> DataFrame:
