@@ -329,3 +329,23 @@ def test_estimated_closeness_sends_no_sketch_of_a_leaf_and_broadcasts_none(spark
     assert max(wide) <= 6 and not any("Broadcast" in p for p in plans[1:])  # a, b, c, x, y and the one alone
     assert got.keys() == exact.keys() and all(abs(got[v].closeness - c) <= 0.05 * c for v, c in exact.items())
     assert {r.rounds for r in got.values()} == {5} and got["alone"].reached == 1 and got["y"].reached == 2
+
+
+def test_rounds_keep_numbers_and_no_names(spark, monkeypatch):
+    """Colouring, labels in turn and PageRank write and send longs between rounds; the
+    order of names and a node without an id make no difference to what they were."""
+    seen, kept = [], analytics.kept
+
+    def watched(df, tag, **measured):
+        seen.append({t for _, t in df.dtypes})
+        return kept(df, tag, **measured)
+
+    monkeypatch.setattr(analytics, "kept", watched)
+    nodes = spark.createDataFrame([("b",), ("a",), ("c",), ("lone",), (None,)], "node_id string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "nowhere")], ["src", "dst"])
+    colour = dict(map(tuple, analytics.colouring(nodes, edges).collect()))
+    turn = dict(map(tuple, analytics.label_propagation_in_turn(nodes, edges).collect()))
+    rank = dict(map(tuple, analytics.pagerank(nodes, edges).collect()))
+    assert all("string" not in t for t in seen) and colour.keys() == turn.keys() == rank.keys() == {"a", "b", "c", "lone", None}
+    assert colour["a"] != colour["b"] != colour["c"] and turn["lone"] == "lone" and turn["a"] == turn["b"] == turn["c"]
+    assert abs(sum(rank.values()) - 1) < 1e-6 and rank["c"] > rank["b"] > rank["a"]

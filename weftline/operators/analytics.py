@@ -53,11 +53,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
     """(node_id, pagerank): parallel edges count each, what sinks hold goes evenly to
     all; ends when the ranks move by less than ``eps`` in sum. A round is one job:
     what sinks hold and how far ranks moved are measured as its table is written."""
-    ids = nodes.select("node_id").distinct()
-    n = ids.count()
+    names = numbered(nodes)
+    n = names.count()
     if not n:
-        return ids.withColumn("pagerank", F.lit(0.0))
-    inside = closed(ids, edges)
+        return names.select("node_id", F.lit(0.0).alias("pagerank"))
+    inside, ids = kept(by_number(names, edges), "inside"), names.select(F.col("code").alias("node_id"))
     out = inside.groupBy("src").agg(F.count("*").alias("out"))
     links = kept(inside.groupBy("src", "dst").agg(F.count("*").alias("times")).join(out, "src").select("src", "dst", (F.col("times") / F.col("out")).alias("share")), "links")
     sunk = F.sum(F.when(F.col("sink"), F.col("pagerank")).otherwise(0.0))
@@ -73,8 +73,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
         rank = new
         if rank.seen["moved"] < eps:
             break
-    dropped(links)
-    return rank.select("node_id", "pagerank")
+    dropped(links, inside)
+    return rank.join(names.select(F.col("code").alias("node_id"), F.col("node_id").alias("name")), "node_id").select(F.col("name").alias("node_id"), "pagerank")
 
 
 def distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, depth: int | None = None) -> DataFrame:
