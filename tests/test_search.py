@@ -90,3 +90,21 @@ def test_a_merge_and_an_addition_at_once(spark, tmp_path, monkeypatch):
     index.merge(share=1e9)
     assert [r.label for r in index.search("needle").collect()] == ["needle in between"]
     assert index.search("").count() == every.where("label is not null").count() + 1
+
+
+def test_postings_go_by_blocks(spark, tmp_path, monkeypatch):
+    """A trigram of many texts is a short row a block, not a row a text, and blocks find all that a scan finds;
+    astral signs, equal texts, long texts in pieces and texts of known batches included."""
+    monkeypatch.setattr(search, "BLOCK_CHARS", 1000)
+    index = search.TrigramIndex(spark, str(tmp_path / "i"), ["label"], buckets=4)
+    long = "xyz🔑" * 700 + "w🔑🔑v"
+    one = made(spark, 21, 400).unionAll(spark.createDataFrame([(long, "d"), (long, "d"), ("same text", "d"), ("same text", "e")], SCHEMA))
+    index.add(one)
+    index.add(one.limit(50).unionAll(made(spark, 22, 300)))
+    every = one.unionAll(one.limit(50)).unionAll(made(spark, 22, 300))
+    stored = index._stored(index.tables.record(), "postings")
+    assert dict(stored.dtypes)["places"] == "array<smallint>" and "_text" not in index._stored(index.tables.record(), "rows").columns
+    assert stored.where("gram = 'abc'").count() < index.postings(["abc"]).agg(F.sum("n")).head()[0]
+    assert stored.where("gram = ''").agg(F.sum(F.size("texts"))).head()[0] == every.where("length(label) > 2").select(F.lower("label")).distinct().count()
+    for q in ("abc", "🔑🔑v", "z🔑x", "same text", "🔑ab"):
+        assert sorted(index.search(q).collect()) == sorted(every.where(store.contains("label", q)).collect()), q
