@@ -58,3 +58,22 @@ def test_topics(spark):
     assert len(got) == 81 and list(got[80].topics) == [] and got[80].share == 0
     for i in range(80):
         assert all(w.startswith(("sea", "ore")[i % 2]) for w in got[i].topics) and got[i].share > 0.9, got[i]
+
+
+def test_only_phrases_leave_their_document(spark, monkeypatch):
+    """Counts in pieces are those of all n-grams written out; rows that repeat an id count together, and what is
+    no phrase is not sent on."""
+    rng = random.Random(8)
+    rows = [(i % 50, " ".join(rng.choice(["Red", "sea", "öl", "x1", "it's", "a_b", "end.", "tab\tbed", "²"]) for _ in range(rng.randint(0, 40)))) for i in range(80)] + [(60, None), (61, "")]
+    docs = corpus(spark, rows)
+    monkeypatch.setattr(P, "PIECE", 7)
+    monkeypatch.setattr(P, "HELD", 20)
+    want = {(r.n, r.gram): r["count"] for r in P.grams(docs).groupBy("n", "gram").count().collect()}
+    got = {(r.n, r.gram): r["count"] for r in P.counted(docs, 3, "text").collect()}
+    assert {k: v for k, v in got.items() if k[1] is not None} == want
+    assert {n: got[n, None] for n in (1, 2, 3)} == {n: sum(c for (k, _), c in want.items() if k == n) for n in (1, 2, 3)}
+    wanted = spark.createDataFrame([("red sea",), ("x1 öl sea",)], "gram string")
+    met = P.phrases_met(docs, wanted, 3, "document_id", "text").groupBy("document_id", "gram").sum("tf").collect()
+    plain = P.grams(docs).where("gram in ('red sea', 'x1 öl sea')").groupBy("document_id", "gram").count().collect()
+    assert {tuple(r) for r in met if r.gram in ("red sea", "x1 öl sea")} == {tuple(r) for r in plain}
+    assert len({r.gram for r in met}) < 10 < len(want)

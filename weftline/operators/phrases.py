@@ -5,19 +5,30 @@ ends a segment, and a phrase lies within one. An n-gram is a phrase where, at ev
 place at which it may be cut in two, its halves meet more often than chance has it:
 by normalised pointwise mutual information (how much, -1 to 1) and by the likelihood
 ratio G2 of the two-by-two table (how surely). Counts are over the whole corpus,
-combined before they are shuffled; nothing is sampled. N-grams are counted once and
-written, the two joins that follow are on halves of the frequent ones only.
+combined in each task before they are shuffled; nothing is sampled. The frequent
+n-grams are written, the two joins that follow are on halves of these only. A
+document's phrases are counted where the document is, past a filter of fixed size
+that lets all phrases through, so only phrases and a few others are shuffled.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.iterate import kept
+from weftline.operators.iterate import kept, text_batches
 
 #: At one degree of freedom a G2 of 10.83 comes by chance once in a thousand.
 LONGEST, LEAST, NPMI, G2 = 3, 5, 0.3, 10.83
+#: Different n-grams that a task counts before it sends them on, and words of a text that it takes at a time.
+HELD, PIECE = 300_000, 100_000
+#: Bits of the filter that phrases are looked up in.
+FILTER_BITS = 1 << 24
 
 
 def segments(text: Column) -> Column:
@@ -39,14 +50,60 @@ def grams(docs: DataFrame, longest: int = LONGEST, id_col: str = "document_id",
     return s.select("document_id", F.inline(some))
 
 
+def lines(text: Column) -> Column:
+    """The text with a line for each segment, its words apart by blanks and tabs."""
+    return F.regexp_replace(F.lower(text.cast("string")), r"[^\p{L}\p{N}\x20\x09]+", "\n")
+
+
+def pieces(text: str, sizes: range, piece: int):
+    """The n-grams of ``lines``, some at a time: (n, how many, an iterable of them)."""
+    for line in text.split("\n"):
+        w = line.split()
+        for at in range(0, len(w), piece):
+            for n in sizes:
+                own = [w[at + k:at + piece + n - 1] for k in range(n)]
+                many = min(len(own[-1]), piece)
+                if many > 0:
+                    yield n, many, map(" ".join, zip(*own)) if n > 1 else own[0]
+
+
+def counted(docs: DataFrame, longest: int, text_col: str) -> DataFrame:
+    """(n, gram, count) of all texts, counted in each task first; rows with a null
+    gram have the number of all n-grams in place of a count."""
+    held, piece = HELD, PIECE
+
+    def run(batches):
+        found = [Counter() for _ in range(longest)]
+        every = [0] * longest
+
+        def sent():
+            for n, c in enumerate(found, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), n, np.int32)), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["n", "gram", "count"])
+                c.clear()
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                for n, many, some in pieces(text, range(1, longest + 1), piece):
+                    every[n - 1] += many
+                    found[n - 1].update(some)
+                    if n == longest and sum(map(len, found)) > held:
+                        yield from sent()
+        yield from sent()
+        yield pa.RecordBatch.from_arrays([pa.array(range(1, longest + 1), pa.int32()), pa.nulls(longest, pa.string()), pa.array(every, pa.int64())], ["n", "gram", "count"])
+
+    texts = text_batches(docs.select(lines(F.col(text_col)).alias("t")).where("t is not null"))
+    return texts.mapInArrow(run, "n int, gram string, count long").groupBy("n", "gram").agg(F.sum("count").alias("count"))
+
+
 def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, npmi: float = NPMI, g2: float = G2, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
     """(phrase, words, count, npmi, g2): the n-grams of two words or more that stand
     ``least`` times or more and reach both bounds at each of their cuts; the scores are
     those of the weakest cut. An empty corpus has none."""
     if longest < 2:
         raise ValueError("a phrase has two words or more")
-    found = kept(grams(docs, longest, id_col, text_col).groupBy("n", "gram").agg(F.count("*").alias("count")), "grams")
-    totals = {r.n: r.total for r in found.groupBy("n").agg(F.sum("count").alias("total")).collect()}  # ``longest`` rows
+    found = kept(counted(docs, longest, text_col).where(F.col("gram").isNull() | (F.col("count") >= least)), "grams")
+    totals = {r.n: r["count"] for r in found.where("gram is null and count > 0").collect()}  # ``longest`` rows
+    found = found.where("gram is not null")
     if len(totals) < 2:
         return found.where("false").select(F.col("gram").alias("phrase"), F.col("n").alias("words"), "count", F.lit(0.0).alias("npmi"), F.lit(0.0).alias("g2"))
     total = F.create_map(*[F.lit(x) for n, t in totals.items() for x in (n, float(t))])
@@ -74,14 +131,45 @@ def likelihood(both: Column, left: Column, right: Column, neither: Column) -> Co
     return 2 * (term(both, both + left, both + right) + term(left, both + left, left + neither) + term(right, right + neither, both + right) + term(neither, right + neither, left + neither))
 
 
+def phrases_met(docs: DataFrame, wanted: DataFrame, longest: int, id_col: str, text_col: str) -> DataFrame:
+    """(document_id, gram, tf): n-grams of two words or more of each row with their
+    number in it: all that are ``wanted`` (gram), and others whose hash has the same
+    bit of a filter. Its FILTER_BITS go through the driver, whatever the input."""
+    bit = F.crc32(F.col("gram").cast("binary")) % FILTER_BITS
+    rows = wanted.groupBy(F.floor(bit / 64).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(crc32(cast(gram AS binary)) % 64 AS int))")).alias("bits")).collect()
+    filled = np.zeros(FILTER_BITS // 64, np.int64)
+    for at, bits in rows:
+        filled[at] = bits
+    passes = docs.sparkSession.sparkContext.broadcast(np.unpackbits(filled.view(np.uint8), bitorder="little").tobytes())
+    piece, most = PIECE, FILTER_BITS
+
+    def run(batches):
+        held = passes.value
+        for b in batches:
+            place, gram, tf = [], [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                c = Counter()
+                for _, _, some in pieces(text, range(2, longest + 1), piece):
+                    c.update(x for x in some if held[zlib.crc32(x.encode()) % most])
+                place += [i] * len(c)
+                gram += c.keys()
+                tf += c.values()
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(place, pa.int64())), pa.array(gram, pa.string()), pa.array(tf, pa.int64())], ["document_id", "gram", "tf"])
+
+    texts = text_batches(docs.select(F.col(id_col).alias("document_id"), lines(F.col(text_col)).alias("t")).where("t is not null"))
+    return texts.mapInArrow(run, f"document_id {texts.schema['document_id'].dataType.simpleString()}, gram string, tf long")
+
+
 def key_phrases(docs: DataFrame, mined: DataFrame, n: int = 5, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
     """(document_id, rank, phrase, tf, df, weight): of each document the n phrases of
     greatest weight, tf * ln(documents / df); of equals the first by alphabet. df and
     the number of documents are over the whole corpus. Documents without a phrase have
     no row. weight is rounded to nine places, so that equals are equal."""
+    mined = kept(mined.select("phrase", "words"), "phrases")
     longest = mined.agg(F.max("words")).head()[0] or 2
     wanted = mined.select(F.col("phrase").alias("gram"))
-    tf = kept(grams(docs, longest, id_col, text_col).where("n > 1").groupBy("document_id", "gram").agg(F.count("*").alias("tf")).join(wanted, "gram", "left_semi"), "phrases-tf")
+    met = phrases_met(docs, wanted, longest, id_col, text_col).join(wanted, "gram", "left_semi")
+    tf = kept(met.groupBy("document_id", "gram").agg(F.sum("tf").alias("tf")), "phrases-tf")
     documents = docs.select(id_col).distinct().count()
     df = tf.groupBy("gram").agg(F.count("*").alias("df"))
     weight = F.round(F.col("tf") * F.ln(F.lit(float(documents)) / F.col("df")), 9)
