@@ -144,3 +144,17 @@ def test_recall_on_edited_copies(spark, docs):
     for s in range(4):
         own = {p for p in want if p[0] // 30 == s}
         assert len(own & got) >= 0.9 * len(own), (s, len(own & got), len(own))
+
+
+def test_a_word_that_repeats_is_no_reason_to_align(monkeypatch):
+    """A passage is aligned only if the item's words, each as often as the item has it, can reach the least score."""
+    item = "the quick brown fox of the wood jumps over a lazy dog near old mill town by night".split()
+    block = D.Block([(1, item)])
+    common = ("the quick brown " + "the over the of the " * 6).split()
+    copy = "and the quick brown fox of the wood jumps over one lazy cat near old mill town".split()
+    calls, align = [], D.align
+    monkeypatch.setattr(D, "align", lambda *a: calls.append(a) or align(*a))
+    assert list(block.matches(block.ids(common))) == [] and not calls
+    assert [m[0] for m in block.matches(block.ids(copy))] == [1] and len(calls) == 1
+    x = block.ids(common + copy)
+    assert block.shared(0, x) >= align(block.items[0][1], x)[0]
