@@ -115,6 +115,10 @@ def ontology_conformance(spark, sf_dir):
     return conform.conformance(o, ORDERS_ONTOLOGY, {"Customer": (table(spark, sf_dir, "customer").where("c_acctbal > 0"), "c_custkey")})
 
 
+#: Rows whose ids one task counts: what it holds does not grow with the table.
+ROWS_A_TASK = 500_000
+
+
 @registered("""
 SELECT 'most relationships' AS way, 'Customer' AS entity, 'o_custkey' AS key_column, o_custkey AS id, count(*) AS n FROM orders GROUP BY ALL
 UNION ALL SELECT 'key among headers', 'Order', 'o_orderkey', o_orderkey, count(*) FROM orders GROUP BY ALL
@@ -130,9 +134,11 @@ def main_entities(spark, sf_dir):
         ("key among headers", o, {"entities": [{"name": "Clerk", "key": "clerk"}, {"name": "Order", "primary_key": ["o_orderkey"]}]}),
         ("first header", o, {"entities": [{"name": "Thing"}]}),
         ("header in _id", renamed, {"entities": [{"name": "Thing"}]})]
+    # A fixed number of tasks is not made one again, as small shuffles of many different ids are.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-o.count() // ROWS_A_TASK))
     out = None
     for way, df, spec in ways:
         entity, column = ontology.main_entity(ontology.normalise(spec), ontology.Headers(df.columns))
-        part = df.groupBy(F.col(column).alias("id")).agg(F.count("*").alias("n")).select(F.lit(way).alias("way"), F.lit(entity).alias("entity"), F.lit(column).alias("key_column"), "id", "n")
+        part = df.repartition(tasks, column).groupBy(F.col(column).alias("id")).agg(F.count("*").alias("n")).select(F.lit(way).alias("way"), F.lit(entity).alias("entity"), F.lit(column).alias("key_column"), "id", "n")
         out = part if out is None else out.unionAll(part)
     return out
