@@ -27,6 +27,16 @@ def test_encoder_equals_the_tokenizer(path, byte_level, monkeypatch):
         assert got.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("path", "byte_level"), [(BYTES, True), (WORDS, False)])
+def test_a_word_is_encoded_once_with_whatever_signs(path, byte_level):
+    e, asked = Encoder(path, byte_level), []
+    tokenize = e.tokenize
+    e.tokenize = lambda x: asked.append(x) or tokenize(x)
+    text = "x schöneheit, schöneheit. schöneheit*** schöneheit%%% schöneheit x\u024f. \u0250x. x\u0250,"
+    assert e.encode([text])[0].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sum("heit" in x for x in asked) == 1
+
+
 SPECIAL = ["<|endoftext|>", "end <|endoftext|> next", "<|endoftext|><|endoftext|>", "a<|startoftext|>b", "<|ENDOFTEXT|> x", " <|endoftext|>", "<|endoftext|>\n", "<|endoftext", "x <|startoftext|> <|endoftext|> y" * 50]
 
 

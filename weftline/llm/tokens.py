@@ -13,11 +13,13 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from codecs import charmap_decode
+from operator import attrgetter
 
 import numpy as np
 
 #: Bytes and pieces in either of the two generations that one Python worker keeps.
-CACHE_BYTES, CACHE_PIECES = 48 << 20, 500_000
+CACHE_BYTES, CACHE_PIECES = 96 << 20, 500_000
 #: What an entry takes besides its characters and ids: two objects' heads and a dictionary's slot.
 ENTRY_BYTES = 160
 #: ASCII signs at a word's end that make a pre-token of their own after a letter.
@@ -25,6 +27,9 @@ SIGNS = ".,;:!?$%&*#()"
 #: Byte-level alphabets write a byte as itself if printable in Latin-1, else as the next free code point from 256 on.
 _same = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 ALPHABET = {b: b for b in _same} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _same)}
+#: The same as one string of 256 characters.
+LATIN = "".join(chr(ALPHABET[b]) for b in range(256))
+ID = attrgetter("id")
 #: Between a non-space and a single space or line end that a non-space follows, byte-level pre-tokenizers always cut.
 SAFE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
@@ -112,10 +117,18 @@ class Encoder:
         return array(self.kind, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def learn_spaced(self, piece: str) -> bytes:
-        """\0 and a word that no space precedes, a line end, or a word after a space."""
+        """\0 and a word that no space precedes, a line end, or a word after a space.
+        Most pieces are letters with signs after them or none, so these come first."""
+        word = piece[1:] if piece[:1] == "\0" else piece
+        base = word.rstrip(SIGNS)
+        if base.isalpha():
+            if len(base) == len(word):
+                spaced = word if word is not piece else " " + word
+                return self.letters(word, "" if word is not piece else "\u0120") or self.whole(spaced)
+            n = len(base) - len(word)  # the word without its signs is kept too
+            return self.plain[piece[:n]] + self.safe[piece[n:]]
         if piece == "\n":
             return self.whole(piece)
-        word = piece[1:] if piece[:1] == "\0" else piece
         if not is_plain(word):
             raise Unsafe
         return self.learn(word if word is not piece else " " + word)
@@ -132,8 +145,7 @@ class Encoder:
         if not last[-1:].isalnum():
             return self.whole(piece)
         key = base[1:] if self.byte_level and base[:1] == " " else "\0" + base if self.byte_level else base
-        ids = self.plain.get(key) or self.word(base)
-        return ids + self.safe[piece[len(base):]] if ids else self.whole(piece)
+        return self.plain[key] + self.safe[piece[len(base):]]  # the word without its signs is kept too
 
     def word(self, piece: str) -> bytes | None:
         """The ids of letters with perhaps a space before them, one pre-token; else None."""
@@ -141,13 +153,16 @@ class Encoder:
         letters = piece[1:] if spaced else piece
         if not self.byte_level:
             letters = letters.lower()
-        if not letters.isalpha():
-            return None
+        return self.letters(letters, "\u0120" if spaced else "") if letters.isalpha() else None
+
+    def letters(self, letters: str, before: str) -> bytes | None:
+        """The ids of letters after what the alphabet has for ``before``; None from U+0250 on."""
         if not letters.isascii():
-            if max(letters) >= "\u0250":
+            coded = letters.encode()
+            if max(coded) > 0xC9:  # the first byte of U+024F
                 return None
-            letters = letters.encode().decode("latin-1").translate(ALPHABET)
-        return array(self.kind, [t.id for t in self.tokenize("\u0120" + letters if spaced else letters)]).tobytes()
+            letters = charmap_decode(coded, "strict", LATIN)[0]
+        return array(self.kind, list(map(ID, self.tokenize(before + letters)))).tobytes()
 
     def encoded(self, text: str) -> bytes:
         """The ids of a text as the library gives them without adding special tokens, in this encoder's dtype."""
