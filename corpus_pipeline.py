@@ -42,7 +42,8 @@ def drop_common_lines(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """The row with the smallest id of each group of near copies, as it is. Null and
+    """The row with the smallest id of each group of near copies, as it is. Candidates
+    come by op10's fingerprints and by MinHash; shingle sets decide. Null and
     empty texts are equal to each other, so one of them stays. Rows without an id
     stay; of rows that repeat an id all stay or none. Null lang, source and n_chars
     stay null; columns beyond those of documents are dropped. Empty: empty."""

@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from weftline.llm import jaccard, queries
+from weftline.llm import jaccard, queries, simhash
 
 
 def plain_sets(texts):
@@ -55,6 +55,28 @@ def test_pipeline_stage_takes_every_pair_at_eight_tenths(spark, sf):
     assert left(corpus_pipeline.drop_near_copies(spark, docs, sf)) == plain_left(texts)
 
 
+def test_fingerprints_find_candidates_too(spark):
+    """Pairs without a MinHash key in common are found if op10 links them, and their sets decide."""
+    long = [f"w{i}" for i in range(3000)]
+    texts = {1: " ".join(long), 2: " ".join(long[:-1]), 3: "some other text", 4: " ".join([*long, "x"]), 5: "one more"}
+    made = {i: jaccard.shingles(t.encode()) for i, t in texts.items()}
+    fp = {i: simhash.fingerprint(t.encode()) for i, t in texts.items()} | {5: simhash.fingerprint(texts[3].encode()) ^ 1}
+    assert all((fp[1] ^ fp[i]).bit_count() <= simhash.MAX_BITS for i in (2, 4))
+    signed = lambda x: int(np.uint64(x).astype(np.int64))
+    distinct = spark.createDataFrame([(signed(k), i, len(s), [100 * i + j for j in range(3)], signed(fp[i])) for i, (k, s) in made.items()], "key long, first long, size long, bands array<long>, fp long")
+    rows = spark.createDataFrame([(i, t.encode()) for i, t in texts.items()], "id long, t binary")
+    found = {frozenset((r.a, r.b)) for r in jaccard.links(distinct, rows, 0.8).collect()}
+    of = {signed(k): i for i, (k, _) in made.items()}
+    assert len(found) == 2 and {of[k] for pair in found for k in pair} == {1, 2, 4}
+
+
+def test_sets_are_made_of_needed_texts_only(docs):
+    some = docs([(i, f"text {i}") for i in (7, -3, 10**12)]).selectExpr("doc_id")
+    rows = docs([(i, f"text {i}") for i in (*range(-5, 400), 10**12)]).selectExpr("doc_id as id", "cast(text as binary) as t")
+    got = {r.id for r in rows.mapInArrow(jaccard.sets(jaccard.needed(some)), "id long, key long, set binary").collect()}
+    assert got >= {7, -3, 10**12} and len(got) < 20
+
+
 def test_small_and_large_buckets(docs, monkeypatch):
     texts = {**copies(40, 100, 8), **{100 + i: t for i, t in copies(30, 60, 4, 2).items()}, 200: "one", 201: "ONE", 202: "one two three", 203: "", 204: " \n"}
     want = plain_left(texts)

@@ -1,12 +1,15 @@
-"""Near-copies by the Jaccard similarity of word shingles: MinHash bands find
-candidates, the shingle sets themselves decide.
+"""Near-copies by the Jaccard similarity of word shingles: SimHash fingerprints and
+MinHash bands find candidates, the shingle sets themselves decide.
 
 1. Texts with the same words (A-Z lower-cased, ASCII white space) are one node.
-2. BANDS keys of ROWS minima each; at a similarity of 0.8 a pair has a key in
+2. Op10's SimHash: nodes whose fingerprints are linked, over any number of links,
+   form a bucket. Few of the pairs at a similarity of 0.8 are within its four bits, so
+   there are BANDS keys of ROWS minima each as well; at a similarity of 0.8 a pair has a key in
    common but for 1.3 cases in ten million, and fewer above.
 3. Nodes with a key in common form a bucket. Buckets of the same nodes, as near
    copies have in many bands, are one.
-4. Each bucket's nodes meet in one task with their whole sets, a bucket at a time.
+4. Sets are made where the texts lie, of nodes in a bucket (and of a few others that
+   share a bit with one); no text leaves its task. Each bucket's nodes meet in one task with their whole sets, a bucket at a time.
    It is searched from one node to the next: what is similar to a node is linked to
    it and compared with the rest only, so a bucket gives a forest of links, fewer
    than it has nodes, that connects whatever is similar in it. No pair is a row.
@@ -23,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, discard, grouped, prepare, text_bytes, width, written
 
 K, LEAST = 5, 0.8
@@ -31,6 +35,8 @@ BANDS, ROWS = 40, 5
 SMALL = 32
 #: Shingles of a cell, or of a block of one: 8 bytes each.
 ELEMENTS = 4_000_000
+#: Bits, 64 to a row, that tell tasks which ids may be in a bucket; too few let more through, and change no result.
+NEEDED = 1 << 24
 MULTIPLIERS = np.random.default_rng(42).integers(1, 2**63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -67,14 +73,43 @@ def sketches(batches):
         key = np.array([k for k, _ in found], np.uint64).view(np.int64)
         flat = np.concatenate([bands(s) for _, s in found]) if found else np.empty(0, np.int64)
         listed = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), pa.array([len(s) for _, s in found], pa.int64()), listed], ["id", "key", "size", "bands"])
+        fp = np.array([simhash.fingerprint(x) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), pa.array([len(s) for _, s in found], pa.int64()), listed, pa.array(fp)], ["id", "key", "size", "bands", "fp"])
 
 
-def sets(batches):
-    for b in batches:
-        found = [shingles(x) for x in b.column(1).to_pylist()]
-        key = np.array([k for k, _ in found], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), pa.array([s.tobytes() for _, s in found], pa.binary())], ["need", "key", "set"])
+def spread(ids: np.ndarray) -> np.ndarray:
+    """The bit of each id, the same for equal ids."""
+    h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % np.uint64(NEEDED)
+
+
+def needed(ids: DataFrame) -> np.ndarray:
+    """NEEDED bits, as bytes: those of the longs in the only column. Each task sends a
+    row for 64 bits at most, and so does the driver's result."""
+
+    def bits(batches):
+        for b in batches:
+            at = spread(b.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array((at // 64).astype(np.int32)), pa.array((np.uint64(1) << at % 64).view(np.int64))], ["at", "bit"])
+
+    got = ids.mapInArrow(bits, "at int, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(NEEDED // 64, np.int64)
+    out[got["at"].to_numpy()] = got["bits"].to_numpy()
+    return out
+
+
+def sets(marks: np.ndarray):
+    """For mapInArrow: (id, key, set) of the rows whose id may be needed."""
+
+    def run(batches):
+        for b in batches:
+            at = spread(b.column(0).to_numpy())
+            b = b.filter(pa.array((marks[at // 64].view(np.uint64) >> at % 64 & np.uint64(1)).astype(bool)))
+            found = [shingles(x) for x in b.column(1).to_pylist()]
+            key = np.array([k for k, _ in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), pa.array([s.tobytes() for _, s in found], pa.binary())], ["id", "key", "set"])
+
+    return run
 
 
 def forest(found: list[np.ndarray], least: float, small: int) -> list[tuple[int, int]]:
@@ -116,17 +151,20 @@ def forest(found: list[np.ndarray], least: float, small: int) -> list[tuple[int,
 
 def links(distinct: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """(a, b): links between nodes that connect all that are similar. distinct: key,
-    size, bands and first, an id whose text has that key."""
+    size, bands, fp and first, an id whose text has that key."""
     spark, small = distinct.sparkSession, SMALL
-    members = distinct.select("key", "size", F.explode("bands").alias("band"))
+    close = written(components(simhash.links(distinct.select("fp").distinct())).select(F.col("node").alias("fp"), "root"), "close")
+    alike = distinct.select("key", "size", "fp").join(close, "fp", "left").select("key", "size", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("band"))
+    members = distinct.select("key", "size", F.explode("bands").alias("band")).unionAll(alike)
     buckets = members.groupBy("band").agg(
         F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("key")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("second"), "key")).alias("h2")).where("n > 1")
     buckets = buckets.groupBy("n", "h1", "h2").agg(F.min("band").alias("band"), F.max("total").alias("total"))
     buckets = written(buckets.select("band", F.greatest(F.lit(1), F.ceil(F.col("total") / ELEMENTS)).cast("long").alias("blocks")), "buckets")
     members = written(members.join(buckets, "band").select("band", "key", "blocks"), "members")
     need = written(members.select("key").distinct().join(distinct.select("key", "first"), "key").select(F.col("key").alias("need"), "first"), "need")
-    texts = rows.join(need, rows["id"] == need["first"]).select("need", "t")
-    held = written(texts.mapInArrow(sets, "need long, key long, set binary").where("need = key").groupBy("key").agg(F.first("set").alias("set")), "sets")
+    made = rows.mapInArrow(sets(needed(need.select("first"))), "id long, key long, set binary")
+    made = made.join(need, (made["id"] == need["first"]) & (made["key"] == need["need"])).select("key", "set")
+    held = written(made.groupBy("key").agg(F.first("set").alias("set")), "sets")
     own = F.pmod(F.xxhash64("key"), "blocks")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.least(k, own) * F.col("blocks") + F.greatest(k, own))
     cells = members.join(held, "key").select("band", F.explode(pairs).alias("pair"), "key", "set")
@@ -150,7 +188,7 @@ def links(distinct: DataFrame, rows: DataFrame, least: float) -> DataFrame:
 
     dealt = cells.repartition(4 * width(spark), "band", "pair").sortWithinPartitions("band", "pair")
     out = written(dealt.mapInArrow(grouped(search), "a long, b long"), "links")
-    discard(buckets, members, need, held)
+    discard(close, buckets, members, need, held)
     return out
 
 
@@ -165,8 +203,8 @@ def one_of_each(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", t
     """
     prepare(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"))
-    found = written(rows.mapInArrow(sketches, "id long, key long, size long, bands array<long>"), "sketch")
-    distinct = written(found.groupBy("key").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")), "distinct")
+    found = written(rows.mapInArrow(sketches, "id long, key long, size long, bands array<long>, fp long"), "sketch")
+    distinct = written(found.groupBy("key").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "distinct")
     roots = components(links(distinct, rows, least))
     known = distinct.select("key", "first").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     known = written(known, "known")
