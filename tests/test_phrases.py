@@ -77,3 +77,25 @@ def test_only_phrases_leave_their_document(spark, monkeypatch):
     plain = P.grams(docs).where("gram in ('red sea', 'x1 öl sea')").groupBy("document_id", "gram").count().collect()
     assert {tuple(r) for r in met if r.gram in ("red sea", "x1 öl sea")} == {tuple(r) for r in plain}
     assert len({r.gram for r in met}) < 10 < len(want)
+
+
+def test_rare_ngrams_are_not_sent_on(spark, monkeypatch):
+    """With a least count hardly any n-gram below it becomes a string, and all others have their count, also where
+    no window or piece holds enough of them, words are cut by pieces and blanks differ."""
+    rng = random.Random(4)
+    words = ["a", "über", "x²", "longerword" * 5, "ｆｕｌｌ", "é", "𝟘𝟙"]
+    rows = [(i, rng.choice([" ", "\t", "  \t "]).join(rng.choice([*words, *(f"w{rng.randrange(1 << 40):x}" for _ in range(4)), "end\n", ". "]) for _ in range(rng.randint(0, 60)))) for i in range(120)] + [(500, None), (501, ""), (502, " \t"), (503, "one")]
+    docs = corpus(spark, rows)
+    want = {(r.n, r.gram): r["count"] for r in P.grams(docs).groupBy("n", "gram").count().collect()}
+    for held, piece in ((P.HELD, P.PIECE), (15, 9), (200, 1)):
+        monkeypatch.setattr(P, "HELD", held)
+        monkeypatch.setattr(P, "PIECE", piece)
+        got = {(r.n, r.gram): r["count"] for r in P.counted(docs, 3, "text", 4).collect()}
+        every = {n: got.pop((n, None)) for n in (1, 2, 3)}
+        assert every == {n: sum(c for (k, _), c in want.items() if k == n) for n in (1, 2, 3)}
+        frequent = {k for k, c in want.items() if c >= 4}
+        assert {k: got[k] for k in frequent} == {k: want[k] for k in frequent} and all(want[k] == c for k, c in got.items())
+        assert len(got) < 1.1 * len(frequent) < 0.1 * len(want)
+    wanted = spark.createDataFrame([(g,) for n, g in frequent if n > 1], "gram string")
+    met = {(r.document_id, r.gram): r.tf for r in P.phrases_met(docs, wanted, 3, "document_id", "text").groupBy("document_id", "gram").agg({"tf": "sum"}).withColumnRenamed("sum(tf)", "tf").join(wanted, "gram").collect()}
+    assert met == {(r.document_id, r.gram): r["count"] for r in P.grams(docs).join(wanted, "gram").groupBy("document_id", "gram").count().collect()}

@@ -5,30 +5,30 @@ ends a segment, and a phrase lies within one. An n-gram is a phrase where, at ev
 place at which it may be cut in two, its halves meet more often than chance has it:
 by normalised pointwise mutual information (how much, -1 to 1) and by the likelihood
 ratio G2 of the two-by-two table (how surely). Counts are over the whole corpus,
-combined in each task before they are shuffled; nothing is sampled. The frequent
+combined in each task before they are shuffled; nothing is sampled. Most n-grams
+stand once or twice, so a first pass counts their hashes, and only those whose hash
+is frequent enough become strings and are counted as such. The frequent
 n-grams are written, the two joins that follow are on halves of these only. A
-document's phrases are counted where the document is, past a filter of fixed size
+document's phrases are counted where the document is, past a filter of bounded size
 that lets all phrases through, so only phrases and a few others are shuffled.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import ngrams
 from weftline.operators.iterate import kept, text_batches
 
 #: At one degree of freedom a G2 of 10.83 comes by chance once in a thousand.
 LONGEST, LEAST, NPMI, G2 = 3, 5, 0.3, 10.83
-#: Different n-grams that a task counts before it sends them on, and words of a text that it takes at a time.
-HELD, PIECE = 300_000, 100_000
-#: Bits of the filter that phrases are looked up in.
-FILTER_BITS = 1 << 24
+#: N-grams that a task holds before it counts them and sends them on, and bytes of texts that it takes at a time.
+HELD, PIECE = 2_000_000, 1 << 20
+#: Most bits of a filter that n-grams are looked up in.
+FILTER_BITS = 1 << 28
 
 
 def segments(text: Column) -> Column:
@@ -55,43 +55,121 @@ def lines(text: Column) -> Column:
     return F.regexp_replace(F.lower(text.cast("string")), r"[^\p{L}\p{N}\x20\x09]+", "\n")
 
 
-def pieces(text: str, sizes: range, piece: int):
-    """The n-grams of ``lines``, some at a time: (n, how many, an iterable of them)."""
-    for line in text.split("\n"):
-        w = line.split()
-        for at in range(0, len(w), piece):
-            for n in sizes:
-                own = [w[at + k:at + piece + n - 1] for k in range(n)]
-                many = min(len(own[-1]), piece)
-                if many > 0:
-                    yield n, many, map(" ".join, zip(*own)) if n > 1 else own[0]
+def read(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:
+    """(t, *more): the texts' ``lines``, each with a line end."""
+    return text_batches(docs.select(F.concat(lines(F.col(text_col)), F.lit("\n")).alias("t"), *more).where("t is not null"))
+
+
+def passes(hashes: DataFrame) -> np.ndarray:
+    """A filter that lets ``hash`` and few others through. Its bits, 32 MB at most, go
+    through the driver, whatever the input."""
+    many = min(max(16 * hashes.count(), 1 << 16), FILTER_BITS)
+    bits = 1 << (many - 1).bit_length()
+    chunk = max(bits // 64, 8)
 
+    def run(t: pa.Table) -> pa.Table:
+        bit = t["hash"].to_numpy().view(np.uint64) & np.uint64(bits - 1)
+        own = np.zeros(chunk, np.uint8)
+        own[(bit % np.uint64(chunk)).astype(np.int64)] = 1
+        return pa.table({"at": pa.array([int(bit[0]) // chunk], pa.int32()), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
 
-def counted(docs: DataFrame, longest: int, text_col: str) -> DataFrame:
-    """(n, gram, count) of all texts, counted in each task first; rows with a null
-    gram have the number of all n-grams in place of a count."""
-    held, piece = HELD, PIECE
+    at = F.shiftrightunsigned(F.col("hash").bitwiseAND(F.lit(bits - 1)), chunk.bit_length() - 1)
+    held = np.zeros(bits // 8, np.uint8)
+    for k, own in hashes.select("hash").groupBy(at.alias("chunk")).applyInArrow(run, "at int, bits binary").collect():  # 64 rows
+        held[k * chunk // 8:(k + 1) * chunk // 8] = np.frombuffer(own, np.uint8)
+    return held
+
+
+def repeated(texts: DataFrame, longest: int, least: int) -> DataFrame:
+    """(hash): of the n-grams that stand ``least`` times or more. Only numbers of four
+    bytes are shuffled, an array for each part of all hashes; of n-grams that share a
+    hash none is left out."""
+    held, piece, parts = HELD, PIECE, 1 << ngrams.PART_BITS
+
+    def run(batches):
+        some, many = [], 0
+
+        def sent():
+            h = np.sort(ngrams.short(np.concatenate(some)))
+            first, count = ngrams.runs(h)
+            h = np.repeat(h[first], np.minimum(count, least))
+            some.clear()
+            cut = np.searchsorted(h, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
+            part = np.nonzero(np.diff(cut))[0]
+            own = h.astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([own[cut[k]:cut[k + 1]].tobytes() for k in part], pa.binary())], ["part", "own"])
+
+        for b in batches:
+            for p in ngrams.pieces(ngrams.buffer(b.column(0))[0], longest, piece):
+                for _, at, (g,) in p.grams(longest):
+                    some.append(g)
+                    many += len(at)
+                if many > held:
+                    yield from sent()
+                    many = 0
+        if many:
+            yield from sent()
+
+    def frequent(batches):
+        now, some = None, []
+
+        def sent():
+            h = np.sort(np.frombuffer(b"".join(some), np.uint32))
+            some.clear()
+            first, count = ngrams.runs(h)
+            found = h[first[count >= least]].astype(np.int64) + (now << 32)
+            yield pa.RecordBatch.from_arrays([pa.array(found)], ["hash"])
+
+        for b in batches:
+            for part, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if part != now and some:
+                    yield from sent()
+                now = part
+                some.append(own)
+        if some:
+            yield from sent()
+
+    dealt = texts.select("t").mapInArrow(run, "part int, own binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(frequent, "hash long")
+
+
+def counted(docs: DataFrame, longest: int, text_col: str, least: int = 1) -> DataFrame:
+    """(n, gram, count) of all texts, counted in each task first: those that
+    stand ``least`` times or more, and a few others whose hash passes the same filter;
+    rows with a null gram have the number of all n-grams in place of a count."""
+    texts = read(docs, text_col)
+    spark, piece, most = docs.sparkSession, PIECE, HELD
+    shared = spark.sparkContext.broadcast(passes(kept(repeated(texts, longest, least), "repeated")) if least > 1 else None)
 
     def run(batches):
-        found = [Counter() for _ in range(longest)]
         every = [0] * longest
+        some, many, size = [], 0, 0
 
         def sent():
-            for n, c in enumerate(found, 1):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), n, np.int32)), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["n", "gram", "count"])
-                c.clear()
+            data = np.concatenate([d for d, _ in some])
+            n, begins, ends, g, h = (np.concatenate([x[k] for _, x in some]) for k in range(5))
+            order = np.argsort(g)
+            first, count = ngrams.runs(g[order], h[order])
+            first = order[first]
+            some.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(n[first]), ngrams.strings(data, begins[first], ends[first]), pa.array(count)], ["n", "gram", "count"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                for n, many, some in pieces(text, range(1, longest + 1), piece):
-                    every[n - 1] += many
-                    found[n - 1].update(some)
-                    if n == longest and sum(map(len, found)) > held:
-                        yield from sent()
-        yield from sent()
+            for p in ngrams.pieces(ngrams.buffer(b.column(0))[0], longest, piece):
+                for n, at, (g, h) in p.grams(longest, 2):
+                    every[n - 1] += len(at)
+                    go = ngrams.passing(shared.value, g)
+                    at, g, h = at[go], g[go], h[go]
+                    some.append((p.data if n == 1 else p.data[:0], (np.full(len(at), n, np.int32), p.begins[at] + size, p.ends[at + n - 1] + size, g, h)))
+                    many += len(at)
+                size += len(p.data)
+                if many > most or size > 16 * most:
+                    yield from sent()
+                    many = size = 0
+        if some:
+            yield from sent()
         yield pa.RecordBatch.from_arrays([pa.array(range(1, longest + 1), pa.int32()), pa.nulls(longest, pa.string()), pa.array(every, pa.int64())], ["n", "gram", "count"])
 
-    texts = text_batches(docs.select(lines(F.col(text_col)).alias("t")).where("t is not null"))
     return texts.mapInArrow(run, "n int, gram string, count long").groupBy("n", "gram").agg(F.sum("count").alias("count"))
 
 
@@ -101,7 +179,7 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, npmi: f
     those of the weakest cut. An empty corpus has none."""
     if longest < 2:
         raise ValueError("a phrase has two words or more")
-    found = kept(counted(docs, longest, text_col).where(F.col("gram").isNull() | (F.col("count") >= least)), "grams")
+    found = kept(counted(docs, longest, text_col, least).where(F.col("gram").isNull() | (F.col("count") >= least)), "grams")
     totals = {r.n: r["count"] for r in found.where("gram is null and count > 0").collect()}  # ``longest`` rows
     found = found.where("gram is not null")
     if len(totals) < 2:
@@ -131,32 +209,50 @@ def likelihood(both: Column, left: Column, right: Column, neither: Column) -> Co
     return 2 * (term(both, both + left, both + right) + term(left, both + left, left + neither) + term(right, right + neither, both + right) + term(neither, right + neither, left + neither))
 
 
+def hashes(wanted: DataFrame) -> DataFrame:
+    """(hash) of each ``gram`` as a whole."""
+
+    def run(batches):
+        for b in batches:
+            data, at = ngrams.buffer(b.column(0))
+            found = np.zeros(len(b), np.uint64)
+            for p in ngrams.pieces(data, 1, len(data)):
+                line = np.searchsorted(at, p.place, "right") - 1
+                first, words = ngrams.runs(line)
+                for n, start, (g,) in p.grams(int(words.max(initial=1))):
+                    whole = np.isin(start, first[words == n])
+                    found[line[start[whole]]] = g[whole]
+            yield pa.RecordBatch.from_arrays([pa.array(ngrams.short(found).view(np.int64))], ["hash"])
+
+    return wanted.select(F.concat("gram", F.lit("\n")).alias("t")).mapInArrow(run, "hash long")
+
+
 def phrases_met(docs: DataFrame, wanted: DataFrame, longest: int, id_col: str, text_col: str) -> DataFrame:
     """(document_id, gram, tf): n-grams of two words or more of each row with their
-    number in it: all that are ``wanted`` (gram), and others whose hash has the same
-    bit of a filter. Its FILTER_BITS go through the driver, whatever the input."""
-    bit = F.crc32(F.col("gram").cast("binary")) % FILTER_BITS
-    rows = wanted.groupBy(F.floor(bit / 64).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(crc32(cast(gram AS binary)) % 64 AS int))")).alias("bits")).collect()
-    filled = np.zeros(FILTER_BITS // 64, np.int64)
-    for at, bits in rows:
-        filled[at] = bits
-    passes = docs.sparkSession.sparkContext.broadcast(np.unpackbits(filled.view(np.uint8), bitorder="little").tobytes())
-    piece, most = PIECE, FILTER_BITS
+    number in it: all that are ``wanted`` (gram), and others whose hash passes the
+    same filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(passes(hashes(wanted)))
+    piece = PIECE
 
     def run(batches):
-        held = passes.value
         for b in batches:
-            place, gram, tf = [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                c = Counter()
-                for _, _, some in pieces(text, range(2, longest + 1), piece):
-                    c.update(x for x in some if held[zlib.crc32(x.encode()) % most])
-                place += [i] * len(c)
-                gram += c.keys()
-                tf += c.values()
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(place, pa.int64())), pa.array(gram, pa.string()), pa.array(tf, pa.int64())], ["document_id", "gram", "tf"])
-
-    texts = text_batches(docs.select(F.col(id_col).alias("document_id"), lines(F.col(text_col)).alias("t")).where("t is not null"))
+            data, start = ngrams.buffer(b.column(0))
+            for p in ngrams.pieces(data, longest, piece):
+                row = np.searchsorted(start, p.place, "right") - 1
+                parts = []
+                for n, at, (g, h) in p.grams(longest, 2):
+                    if n > 1:
+                        go = ngrams.passing(shared.value, g)
+                        at, g, h = at[go], g[go], h[go]
+                        parts.append((row[at], p.begins[at], p.ends[at + n - 1], g, h))
+                if parts:
+                    r, begins, ends, g, h = map(np.concatenate, zip(*parts))
+                    order = np.lexsort((g, r))
+                    first, count = ngrams.runs(r[order], g[order], h[order])
+                    first = order[first]
+                    yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(r[first])), ngrams.strings(p.data, begins[first], ends[first]), pa.array(count)], ["document_id", "gram", "tf"])
+
+    texts = read(docs, text_col, F.col(id_col).alias("document_id"))
     return texts.mapInArrow(run, f"document_id {texts.schema['document_id'].dataType.simpleString()}, gram string, tf long")
 
 
